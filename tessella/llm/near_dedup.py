@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -33,11 +33,13 @@ from .words import LOWER, SPACES, hash_spans, mix, signed, slices, split_words,
 SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 16, 5, 1
 PLACES = CHUNKS * CHUNK
-#: Places in which signatures of linked sets may differ: over five standard deviations beyond the mean at 0.75.
-FAR = 41
+#: More minhashes, of which 8 bits each serve to tell near from far before sets are compared.
+SKETCH = 512
+#: Places in which linked sets may differ, of the whole sketch and of its first 128: 4.7 standard deviations beyond the mean at 0.75.
+FAR, FAR_IN_128 = 174, 55
 _rng = np.random.Generator(np.random.PCG64(7))
-_XOR = _rng.integers(0, 1 << 63, size=PLACES, dtype=np.uint64)
-_ODD = _rng.integers(0, 1 << 63, size=PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, size=SKETCH, dtype=np.uint64)
+_ODD = _rng.integers(0, 1 << 63, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -69,12 +71,13 @@ def text_windows_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """16 bits of each minhash."""
-    least = np.full(PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for low in range(0, len(items), 4096):
-        part = (items[low : low + 4096][None, :] ^ _XOR[:, None]) * _ODD[:, None]
+    """16 bits of the first PLACES minhashes, then 8 bits of all SKETCH."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(items), 1024):
+        part = (items[low : low + 1024][None, :] ^ _XOR[:, None]) * _ODD[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    return (mix(least) >> np.uint64(48)).astype(np.uint16)
+    least = mix(least)
+    return np.concatenate([(least[:PLACES] >> np.uint64(48)).astype(np.uint16).view(np.uint8), (least & np.uint64(255)).astype(np.uint8)])
 
 
 def _signed_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,15 +88,16 @@ def _signed_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size.append(len(items))
                 one.append(int(items.sum(dtype=np.uint64)))
                 two.append(int(mix(items + np.uint64(1)).sum(dtype=np.uint64)))
-                signs.append(signature(items).tobytes() if len(items) else None)
+                signs.append(signature(items) if len(items) else None)
             columns = [
                 batch.column(0),
                 pa.array(size, pa.int64()),
                 pa.array(signed(np.array(one, np.uint64))),
                 pa.array(signed(np.array(two, np.uint64))),
-                pa.array(signs, pa.binary()),
+                pa.array([x if x is None else x[: 2 * PLACES].tobytes() for x in signs], pa.binary()),
+                pa.array([x if x is None else x[2 * PLACES :].view(np.int64) for x in signs], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "sig"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "sig", "sketch"])
 
 
 def _bucket_keys(column: pa.Array) -> pa.Array:
@@ -112,10 +116,16 @@ def _bucket_keys(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
 
 
-def _near_signatures(a: pa.Array, b: pa.Array) -> pa.Array:
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint16).reshape(-1, PLACES)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint16).reshape(-1, PLACES)
-    return pa.array((x != y).sum(axis=1) <= FAR)
+def _far_places(x: Column, y: Column) -> Column:
+    """Bytes in which two sketches (arrays of long) differ."""
+
+    def differing(p: Column, q: Column) -> Column:
+        bits = p.bitwiseXOR(q)
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(bits)
+
+    return F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda total, n: total + n)
 
 
 def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +140,7 @@ def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of 0.75 or more."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    sets = materialize(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_arrays, "doc_id long, items array<long>"))
+    sets = materialize(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_arrays, "doc_id long, items array<long>"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -174,26 +184,24 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signs = materialize(texts.mapInArrow(_signed_docs, "doc_id long, n long, s1 long, s2 long, sig binary"))
+    signs = materialize(texts.mapInArrow(_signed_docs, "doc_id long, n long, s1 long, s2 long, sig binary, sketch array<long>"))
     nodes = signs.where("n > 0 AND doc_id IS NOT NULL")
-    reps = materialize(nodes.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig")))
+    reps = materialize(nodes.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
 
     # buckets that hold two sets or more, each with a leader of its own choice
     keys = F.arrow_udf(_bucket_keys, "array<long>")
     members = reps.select("rep", F.explode(keys("sig")).alias("key"))
-    rank = F.struct(F.xxhash64("key", "rep").alias("by"), "rep")
+    # in every other bucket the smallest doc_id leads, for copies are often younger than what they copy
+    rank = F.struct(F.when(F.col("key") % 2 == 0, 0).otherwise(F.xxhash64("key", "rep")).alias("by"), "rep")
     leaders = materialize(members.groupBy("key").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead.rep"))
     buckets = materialize(members.join(leaders.withColumnRenamed("rep", "lead"), "key"))
-    near = F.arrow_udf(_near_signatures, "boolean")
-    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
-    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y"))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-        return materialize(sized.where(near("x", "y")).select("a", "b").distinct())
+    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.slice("sketch", 1, 16).alias("x"))
+    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.slice("sketch", 1, 16).alias("y"))
+    sized = F.expr("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    places = _far_places(F.col("x"), F.col("y"))
 
     starred = buckets.where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-    tried = close(starred)
+    tried = materialize(starred.join(a, "a").join(b, "b").where(sized).where(places <= FAR_IN_128).select("a", "b").distinct())
     links = materialize(_confirm(tried, texts))
 
     # what a leader did not join: members of a bucket that are still in different components
@@ -201,11 +209,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     placed = materialize(placed)
     split = materialize(placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
-    rest = materialize(placed.join(split, "key").join(reps.select("rep", "n"), "rep"))
-    p, q = rest.alias("p"), rest.alias("q")
-    apart = (F.col("p.key") == F.col("q.key")) & F.expr("p.part < q.part AND 4 * least(p.n, q.n) >= 3 * greatest(p.n, q.n)")
-    others = p.join(q, apart).select(F.greatest("p.rep", "q.rep").alias("a"), F.least("p.rep", "q.rep").alias("b")).distinct()
-    others = close(others.join(tried, ["a", "b"], "left_anti"))
+    rest = materialize(placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep"))
+    p = rest.select("key", F.col("part").alias("pa"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    q = rest.select(F.col("key").alias("kb"), F.col("part").alias("pb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    # sizes and sketches are compared inside the join, so that only near pairs become rows
+    apart = (F.col("key") == F.col("kb")) & (F.col("pa") < F.col("pb")) & sized & (places <= FAR)
+    others = p.join(q, apart).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
+    others = materialize(others.join(tried, ["a", "b"], "left_anti"))
     if not others.isEmpty():
         more = _confirm(others, texts)
         labels = components(links.unionAll(more))
