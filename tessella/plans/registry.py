@@ -2,5 +2,436 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import dates, labels, text
+from tessella.operators import audit, match, metrics, records, skills
+from tessella.plans.bindings import CANDIDATE_SKILLS, CANDIDATES, JOB_SKILLS, JOBS, Tables
+from tessella.streaming import funnel as live
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name, with its SQL."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- scoring -----------------------------------------------------------------
+
+_PAIRS = f"""cs AS ({CANDIDATE_SKILLS}), js AS ({JOB_SKILLS}), c AS ({CANDIDATES}), j AS ({JOBS}),
+hits AS (SELECT candidate_id, job_id, count(*) FILTER (tier = 'required') AS r, count(*) FILTER (tier = 'preferred') AS p
+  FROM cs JOIN js USING (skill) GROUP BY ALL),
+scored AS (SELECT candidate_id, job_id, round(least(100.0, greatest(0.0, 100 * (0.0 + 0.5 * (r / 8.0) + 0.15 * (p / 4.0)
+  + 0.15 * (CASE WHEN wanted <= 0 OR years >= wanted THEN 1.0 WHEN years > 0 THEN greatest(0.35, years / wanted) ELSE 0.30 END)
+  + 0.1 * (CASE WHEN nation = job_nation THEN 1.0 WHEN nation % 5 = job_nation % 5 THEN 0.85 ELSE 0.5 END)
+  + 0.1 * (CASE WHEN projects >= 2 THEN 1.0 WHEN projects = 1 THEN 0.75 ELSE 0.4 END)))), 4) AS score
+  FROM hits JOIN c USING (candidate_id) JOIN j USING (job_id))"""
+
+
+def _scored(t: Tables) -> DataFrame:
+    hits = skills.overlap(t.candidate_skills, t.job_skills.select("job_id", "skill", "tier"))
+    rows = hits.join(t.candidates, "candidate_id").join(t.jobs, "job_id")
+    nation, wanted = F.col("nation"), F.col("job_nation")
+    parts = {
+        "required": F.col("required_hits") / 8.0,
+        "preferred": F.col("preferred_hits") / 4.0,
+        "experience": match.experience_part(F.col("years"), F.col("wanted")),
+        "education": F.when(nation == wanted, 1.0).when(nation % 5 == wanted % 5, 0.85).otherwise(0.5),
+        "projects": F.when(F.col("projects") >= 2, 1.0).when(F.col("projects") == 1, 0.75).otherwise(0.4),
+    }
+    return rows.select("candidate_id", "job_id", match.match_score(parts).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT job_id, candidate_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM scored) WHERE rank <= 10")
+def candidate_job_rank(t):
+    """The ten best candidates of every job."""
+    return match.ranked(_scored(t), "job_id", "candidate_id", 10).select("job_id", "candidate_id", "score", "rank")
+
+
+@query(f"WITH {_PAIRS} SELECT job_id, candidate_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, job_id) AS rank FROM scored) WHERE rank <= 5")
+def jobs_for_candidate_topk(t):
+    return match.ranked(_scored(t), "candidate_id", "job_id", 5).select("job_id", "candidate_id", "score", "rank")
+
+
+_BANDS = "CASE WHEN score >= 80 THEN 'Excellent Fit' WHEN score >= 65 THEN 'Strong Fit' WHEN score >= 50 THEN 'Moderate Fit' WHEN score >= 35 THEN 'Partial Fit' ELSE 'Low Fit' END"
+
+
+@query(f"WITH {_PAIRS} SELECT {_BANDS} AS label, count(*) AS n FROM scored GROUP BY 1")
+def fit_labels(t):
+    return _scored(t).groupBy(labels.banded(F.col("score"), labels.FIT_BANDS, "Low Fit").alias("label")).agg(F.count("*").alias("n"))
+
+
+_GAP = f"""WITH cs AS (SELECT candidate_id, list(skill) AS held FROM ({CANDIDATE_SKILLS}) GROUP BY 1),
+js AS (SELECT job_id, list(skill) AS req FROM ({JOB_SKILLS}) WHERE tier = 'required' GROUP BY 1)
+SELECT candidate_id, job_id, len(list_filter(req, lambda x: list_contains(held, x))) AS n_matched,
+  array_to_string(list_sort(list_filter(req, lambda x: NOT list_contains(held, x))), ',') AS missing,
+  len(list_filter(held, lambda x: NOT list_contains(req, x))) AS n_additional,
+  round(100.0 * len(list_filter(req, lambda x: list_contains(held, x))) / greatest(1, len(req)), 1) AS match_pct
+FROM cs JOIN js ON job_id = 1 + candidate_id % (SELECT count(*) FROM supplier)"""
+
+
+@query(_GAP)
+def skill_gap(t):
+    """Every candidate against one job: matched, missing and additional skills."""
+    held = t.candidate_skills.groupBy("candidate_id").agg(F.collect_set("skill").alias("held"))
+    req = t.job_skills.where("tier = 'required'").groupBy("job_id").agg(F.collect_set("skill").alias("req"))
+    total = t.supplier.agg(F.count("*").alias("total"))
+    own = held.join(F.broadcast(total)).withColumn("job_id", 1 + F.col("candidate_id") % F.col("total"))
+    g = own.join(req, "job_id").withColumn("g", skills.gap(F.col("held"), F.col("req")))
+    return g.select("candidate_id", "job_id", F.size("g.matched").alias("n_matched"), F.array_join("g.missing", ",").alias("missing"), F.size("g.additional").alias("n_additional"), "g.match_pct")
+
+
+# roles: part types with the names seen most; tiers by rank
+_ROLES = """SELECT role, skill, CASE WHEN n <= 4 THEN 'core' WHEN n <= 8 THEN 'important' WHEN n <= 12 THEN 'recommended' END AS tier FROM (
+  SELECT p_type AS role, p_name AS skill, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_name) AS n FROM part GROUP BY 1, 2) WHERE n <= 12"""
+
+
+def _roles(t: Tables) -> DataFrame:
+    counted = t.part.groupBy(F.col("p_type").alias("role"), F.col("p_name").alias("skill")).agg(F.count("*").alias("c"))
+    top = audit.Window.partitionBy("role").orderBy(F.desc("c"), "skill")
+    tier = labels.upper_band(F.col("n"), ((4, "core"), (8, "important"), (12, "recommended")), "none")
+    return counted.withColumn("n", F.row_number().over(top)).where("n <= 12").select("role", "skill", tier.alias("tier"))
+
+
+@query(f"""WITH cs AS ({CANDIDATE_SKILLS}), r AS ({_ROLES}),
+hits AS (SELECT candidate_id, role, count(*) FILTER (tier = 'core') / 4.0 AS c, count(*) FILTER (tier = 'important') / 4.0 AS i,
+  count(*) FILTER (tier = 'recommended') / 4.0 AS o FROM cs JOIN r USING (skill) GROUP BY ALL),
+s AS (SELECT candidate_id, role, round(CASE WHEN c > 0 THEN least(96.0, 125 * (0.6 * c + 0.25 * i + 0.15 * o)) ELSE 30 * i + 15 * o END, 4) AS score FROM hits)
+SELECT candidate_id, role, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, role) AS rank FROM s) WHERE rank <= 3""")
+def role_reco_tiered(t):
+    """The three best roles of every candidate by tiered shares."""
+    tiers = {k: (F.count_if(F.col("tier") == k) / 4.0).alias(k) for k in ("core", "important", "recommended")}
+    hits = t.candidate_skills.join(_roles(t), "skill").groupBy("candidate_id", "role").agg(*tiers.values())
+    scored = hits.withColumn("score", match.role_score(F.col("core"), F.col("important"), F.col("recommended")))
+    return match.ranked(scored, "candidate_id", "role", 3).select("candidate_id", "role", "score", "rank")
+
+
+@query(f"""WITH cs AS ({CANDIDATE_SKILLS}), e AS (SELECT DISTINCT a.skill AS src, b.skill AS dst FROM ({_ROLES}) a JOIN ({_ROLES}) b
+  ON a.role = b.role AND a.tier = 'core' AND b.tier = 'core' AND a.skill <> b.skill),
+near AS (SELECT DISTINCT candidate_id, dst AS skill FROM cs JOIN e ON skill = src)
+SELECT candidate_id, count(*) AS reachable FROM near n WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.candidate_id = n.candidate_id AND cs.skill = n.skill) GROUP BY 1""")
+def one_hop_credit(t):
+    core = _roles(t).where("tier = 'core'").select("role", "skill")
+    edges = core.select("role", F.col("skill").alias("src")).join(core.select("role", F.col("skill").alias("dst")), "role").where("src <> dst").select("src", "dst").distinct()
+    return skills.one_hop(t.candidate_skills, edges).groupBy("candidate_id").agg(F.count("*").alias("reachable"))
+
+
+@query(f"""WITH cs AS ({CANDIDATE_SKILLS}), r AS (SELECT skill, min(role) AS category FROM ({_ROLES}) GROUP BY 1)
+SELECT candidate_id, category, string_agg(skill, ',' ORDER BY skill) AS skills FROM cs JOIN r USING (skill) GROUP BY ALL""")
+def category_matrix(t):
+    category = _roles(t).groupBy("skill").agg(F.min("role").alias("category"))
+    rows = skills.category_matrix(t.candidate_skills.join(category, "skill"))
+    return rows.select("candidate_id", "category", F.array_join("skills", ",").alias("skills"))
+
+
+@query("""SELECT candidate_id, skill, priority, seq FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, skill ORDER BY priority DESC, seq) AS n FROM (
+  SELECT o_custkey AS candidate_id, p_name AS skill, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 ELSE 1 END AS priority,
+  o_orderkey AS seq FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)) WHERE n = 1""")
+def evidence_argmax(t):
+    """The strongest evidence of every candidate's skill; the earliest order wins ties."""
+    priority = F.when(F.col("o_orderpriority") == "1-URGENT", 5).when(F.col("o_orderpriority") == "2-HIGH", 4).when(F.col("o_orderpriority") == "3-MEDIUM", 3).otherwise(1)
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    evidence = rows.select(F.col("o_custkey").alias("candidate_id"), F.col("p_name").alias("skill"), priority.alias("priority"), F.col("o_orderkey").alias("seq"))
+    return skills.best_evidence(evidence)
+
+
+@query(f"""WITH c AS ({CANDIDATES}), j AS ({JOBS}), p AS (SELECT candidate_id, CASE WHEN nation % 3 = 0 THEN NULL ELSE years * 10 END AS skill,
+  CASE WHEN projects = 0 THEN NULL ELSE least(100.0, projects * 5.0) END AS exp, CASE WHEN years < 5 THEN 0.0 ELSE 100.0 END AS edu FROM c)
+SELECT candidate_id, round((coalesce(skill * 0.7, 0) + coalesce(exp * 0.2, 0) + edu * 0.1) / (CASE WHEN skill IS NULL THEN 0.0 ELSE 0.7 END + CASE WHEN exp IS NULL THEN 0.0 ELSE 0.2 END + 0.1), 4) AS score FROM p""")
+def weighted_present(t):
+    """Weighted mean over the parts that a candidate has."""
+    c = t.candidates
+    parts = {
+        "skills": F.when(F.col("nation") % 3 != 0, F.col("years") * 10),
+        "experience": F.when(F.col("projects") > 0, F.least(F.lit(100.0), F.col("projects") * 5.0)),
+        "education": F.when(F.col("years") < 5, 0.0).otherwise(100.0),
+    }
+    return c.select("candidate_id", F.round(match.present_mean(parts, match.JD_WEIGHTS), 4).alias("score"))
+
+
+@query(f"""WITH cs AS ({CANDIDATE_SKILLS}), js AS ({JOB_SKILLS}), h AS (SELECT job_id, candidate_id, count(*) FILTER (tier = 'required') AS r, count(*) FILTER (tier = 'preferred') AS p FROM cs JOIN js USING (skill) GROUP BY ALL),
+pairs AS (SELECT c_custkey AS candidate_id, 1 + c_custkey % (SELECT count(*) FROM supplier) AS job_id FROM customer)
+SELECT candidate_id, job_id, CASE WHEN coalesce(r, 0) + coalesce(p, 0) = 0 THEN 0.0 ELSE round(100.0 * (r + 0.5 * p) / 10.0, 4) END AS score FROM pairs LEFT JOIN h USING (candidate_id, job_id)""")
+def jd_zero_skill(t):
+    """Every candidate against one job description; without a matched skill the score is 0."""
+    total = t.supplier.agg(F.count("*").alias("total"))
+    pairs = t.customer.join(F.broadcast(total)).select(F.col("c_custkey").alias("candidate_id"), (1 + F.col("c_custkey") % F.col("total")).alias("job_id"))
+    wanted = pairs.join(t.job_skills.select("job_id", "skill", "tier"), "job_id")
+    hits = wanted.join(t.candidate_skills, ["candidate_id", "skill"]).groupBy("candidate_id", "job_id").agg(
+        F.round(100.0 * F.sum(F.when(F.col("tier") == "required", 1.0).otherwise(0.5)) / 10.0, 4).alias("s"))
+    return pairs.join(hits, ["candidate_id", "job_id"], "left").select("candidate_id", "job_id", F.coalesce("s", F.lit(0.0)).alias("score"))
+
+
+@query(f"SELECT CASE WHEN years <= 1 THEN 'entry' WHEN years <= 2 THEN 'junior' WHEN years <= 4 THEN 'mid' ELSE 'senior' END AS band, count(*) AS n FROM ({CANDIDATES}) GROUP BY 1")
+def salary_band(t):
+    return t.candidates.groupBy(labels.upper_band(F.col("years"), labels.SALARY_BANDS, "senior").alias("band")).agg(F.count("*").alias("n"))
+
+
+# --- text and corpus audits --------------------------------------------------
+
+_HTML = "trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, sha256({_HTML}) AS clean_sha256, length({_HTML}) AS n_chars FROM pages")
+def html_clean(t):
+    clean = text.strip_html(F.col("html"))
+    return t.pages.select("page_id", F.sha2(clean, 256).alias("clean_sha256"), F.length(clean).alias("n_chars"))
+
+
+def _form(c: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _print(c: str) -> str:
+    return f"sha256({_form(c)})"
+
+
+@query(f"SELECT doc_id, {_print('text')} AS fingerprint FROM documents")
+def text_fingerprint(t):
+    """SHA-256 of the hash form of every whole text."""
+    return t.documents.select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+_UNION = f"""SELECT 'documents' AS ds, sha256({_form('text')}) AS h FROM documents UNION ALL SELECT 'benchmark', sha256({_form('text')}) FROM benchmark
+  UNION ALL SELECT 'conversations', sha256({_form('text')}) FROM conversations"""
+
+
+def _corpora(t: Tables) -> DataFrame:
+    h = F.sha2(text.hash_form(F.col("text")), 256).alias("h")
+    return t.documents.select(F.lit("documents").alias("ds"), h).unionByName(t.benchmark.select(F.lit("benchmark").alias("ds"), h)).unionByName(t.conversations.select(F.lit("conversations").alias("ds"), h))
+
+
+@query(f"SELECT ds, count(*) AS total, count(DISTINCT h) AS distinct_keys, count(*) - count(DISTINCT h) AS duplicates, round(100.0 * (count(*) - count(DISTINCT h)) / count(*), 2) AS dup_rate FROM ({_UNION}) GROUP BY 1")
+def intra_dups(t):
+    return audit.duplicate_summary(_corpora(t), "ds", "h")
+
+
+@query(f"WITH u AS (SELECT DISTINCT * FROM ({_UNION})), n AS (SELECT DISTINCT ds FROM u) SELECT a.ds AS a, b.ds AS b, (SELECT count(*) FROM u x JOIN u y USING (h) WHERE x.ds = a.ds AND y.ds = b.ds) AS shared FROM n a JOIN n b ON a.ds < b.ds")
+def cross_overlap(t):
+    return audit.pairwise_overlap(_corpora(t), "ds", "h")
+
+
+@query(f"SELECT doc_id, h FROM (SELECT doc_id, sha256({_form('text')}) AS h, row_number() OVER (PARTITION BY sha256({_form('text')}) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def keep_first(t):
+    rows = t.documents.select("doc_id", F.sha2(text.hash_form(F.col("text")), 256).alias("h"))
+    return audit.keep_first(rows, ["h"], ["doc_id"])
+
+
+_BUCKET = "('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 10"
+_SPLIT = f"CASE WHEN {_BUCKET} < 8 THEN 'train' WHEN {_BUCKET} = 8 THEN 'validation' ELSE 'test' END"
+
+
+@query(f"SELECT doc_id, {_SPLIT} AS split FROM documents")
+def split_801010(t):
+    return t.documents.select("doc_id", audit.split_name(F.col("doc_id")).alias("split"))
+
+
+@query(f"WITH s AS (SELECT DISTINCT {_SPLIT} AS g, {_print('text')} AS h FROM documents), n AS (SELECT DISTINCT g FROM s) SELECT a.g AS a, b.g AS b, (SELECT count(*) FROM s x JOIN s y USING (h) WHERE x.g = a.g AND y.g = b.g) AS shared FROM n a JOIN n b ON a.g < b.g")
+def split_leak_audit(t):
+    rows = t.documents.select(audit.split_name(F.col("doc_id")).alias("g"), text.fingerprint(F.col("text")).alias("h"))
+    return audit.pairwise_overlap(rows, "g", "h")
+
+
+@query("""SELECT lang, count(*) AS n, round(avg(v), 2) AS mean, round(median(v), 2) AS median, min(v) AS lo, max(v) AS hi, round(stddev_pop(v), 2) AS std,
+  max(v) FILTER (r = floor(0.25 * c) + 1) AS p25, max(v) FILTER (r = floor(0.75 * c) + 1) AS p75
+FROM (SELECT lang, length(text) AS v, row_number() OVER (PARTITION BY lang ORDER BY length(text)) AS r, count(*) OVER (PARTITION BY lang) AS c FROM documents) GROUP BY lang""")
+def length_stats(t):
+    return audit.length_summary(t.documents.withColumn("v", F.length("text")), "lang", "v")
+
+
+# Fixed values of this binding: rules over a whole turn.
+TASKS = (("[?]", "question"), ("(^|[^a-z])(the|and)([^a-z]|$)", "english"), ("(^|[^a-z])(der|die|und)([^a-z]|$)", "german"), ("[|]", "table"))
+_HEAD = "lower(coalesce(text, ''))"
+_TASKS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_HEAD}, '{p}') THEN '{n}' END" for p, n in TASKS) + "], lambda x: x IS NOT NULL)"
+
+
+def _task_rows(t: Tables) -> DataFrame:
+    head = F.lower(F.coalesce("text", F.lit("")))
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", labels.all_matches(head, TASKS, "other").alias("tasks"))
+
+
+@query(f"""WITH r AS (SELECT CASE WHEN len({_TASKS}) = 0 THEN ['other'] ELSE {_TASKS} END AS tasks FROM conversations WHERE role = 'user')
+SELECT task, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM r), 2) AS pct FROM (SELECT unnest(tasks) AS task FROM r) GROUP BY 1""")
+def task_labels(t):
+    """Labels of user turns; a turn may have several, so shares may add to more than 100."""
+    rows = _task_rows(t)
+    total = rows.agg(F.count("*").alias("total"))
+    counted = rows.select(F.explode("tasks").alias("task")).groupBy("task").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(total)).select("task", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
+
+
+@query(f"SELECT array_to_string(list_sort(CASE WHEN len({_TASKS}) = 0 THEN ['other'] ELSE {_TASKS} END), ' + ') AS combo, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1")
+def task_combos(t):
+    return _task_rows(t).groupBy(F.array_join(F.array_sort("tasks"), " + ").alias("combo")).agg(F.count("*").alias("n"))
+
+
+_QA = """SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS body, arg_min(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY 1"""
+_REASON = """CASE WHEN trim(coalesce(body, '')) = '' THEN 'missing body' WHEN trim(coalesce(answer, '')) = '' THEN 'missing answer'
+  WHEN length(body) < 200 THEN 'body too short' WHEN length(answer) < 20 THEN 'answer too short' END"""
+
+
+def _first_turns(t: Tables) -> DataFrame:
+    first = lambda role: F.min_by(F.col("text"), F.when(F.col("role") == role, F.col("turn")))
+    return t.conversations.groupBy("conv_id").agg(first("user").alias("body"), first("assistant").alias("answer"))
+
+
+@query(f"SELECT conv_id, length(body) AS n_body, length(answer) AS n_answer FROM ({_QA}) WHERE {_REASON} IS NULL")
+def quality_gate(t):
+    rows = _first_turns(t).withColumn("why", audit.reject_reason(F.col("body"), F.col("answer")))
+    return rows.where("why IS NULL").select("conv_id", F.length("body").alias("n_body"), F.length("answer").alias("n_answer"))
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM ({_QA})) WHERE reason IS NOT NULL GROUP BY 1")
+def reject_reasons(t):
+    rows = _first_turns(t).select(audit.reject_reason(F.col("body"), F.col("answer")).alias("reason"))
+    return rows.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '(^|[^a-z0-9_])(blue|green|red|steel)([^a-z0-9_]|$)')")
+def keyword_mask(t):
+    return t.part.where(F.lower("p_name").rlike("(^|[^a-z0-9_])(blue|green|red|steel)([^a-z0-9_]|$)")).select("p_partkey", "p_name")
+
+
+@query("SELECT source, n, round(100.0 * n / sum(n) OVER (), 2) AS pct FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, source LIMIT 5")
+def value_counts_topn(t):
+    return audit.value_counts(t.documents, "source", 5)
+
+
+@query("SELECT 'conv_id' AS column_name, count(*) FILTER (conv_id IS NULL)::BIGINT AS nulls, 0::BIGINT AS blanks FROM conversations UNION ALL SELECT 'turn', count(*) FILTER (turn IS NULL), 0 FROM conversations UNION ALL SELECT 'role', count(*) FILTER (role IS NULL), count(*) FILTER (trim(role) = '') FROM conversations UNION ALL SELECT 'text', count(*) FILTER (text IS NULL), count(*) FILTER (trim(text) = '') FROM conversations")
+def null_inventory(t):
+    return audit.null_inventory(t.conversations)
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{text.EMAIL}')) AS n_emails, len(list_filter(regexp_extract_all(coalesce(text, ''), '{text.PHONE.replace(chr(92) + '+', '[+]')}'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)) AS n_phones FROM documents")
+def email_phone_extract(t):
+    return t.documents.select("doc_id", F.size(text.emails(F.col("text"))).alias("n_emails"), F.size(text.phones(F.col("text"))).alias("n_phones"))
+
+
+# --- records -----------------------------------------------------------------
+
+@query("WITH s(stage_no, stage) AS (VALUES (0, 'F'), (1, 'O'), (2, 'P'), (3, 'Selected')) SELECT stage_no, stage, (SELECT count(*) FROM orders WHERE o_orderstatus = stage) AS n FROM s")
+def funnel_zero_fill(t):
+    return records.funnel(t.orders, "o_orderstatus", ("F", "O", "P", "Selected"))
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS jobs, (SELECT count(*) FROM customer) AS candidates, count(*) AS applications, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS shortlisted FROM orders")
+def kpi_row(t):
+    apps = t.orders.agg(F.count("*").alias("applications"), F.count_if(F.col("o_orderstatus").isin("F", "P")).alias("shortlisted"))
+    return t.supplier.agg(F.count("*").alias("jobs")).join(t.customer.agg(F.count("*").alias("candidates"))).join(apps)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '77') OR contains(lower(c_mktsegment), '77')")
+def search_filter(t):
+    return records.search(t.customer, "77", ["c_name", "c_mktsegment"]).select("c_custkey", "c_name")
+
+
+@query("WITH e AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P') SELECT o_custkey, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM n WHERE o_custkey NOT IN (SELECT o_custkey FROM e)) GROUP BY 1")
+def insert_if_absent(t):
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
+    out = records.insert_if_absent(rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), rows.where("o_orderstatus <> 'P'").drop("o_orderstatus"), ["o_custkey"])
+    return out.groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS stored_id, 'u' || o_custkey || '@x.org' AS s_email, 'Customer ' || (o_custkey % 50) AS s_name, o_orderdate AS created FROM orders),
+n AS (SELECT s_suppkey AS new_id, 'U' || (s_suppkey * 3) || '@x.org' AS email, CASE WHEN s_suppkey % 2 = 0 THEN 'unnamed candidate' ELSE 'customer ' || s_suppkey END AS name FROM supplier),
+h AS (SELECT new_id, stored_id, created FROM n JOIN s ON lower(email) = lower(s_email) OR (name <> 'unnamed candidate' AND lower(name) = lower(s_name)))
+SELECT new_id, stored_id FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY created DESC, stored_id) AS k FROM h) WHERE k = 1""")
+def entity_resolution(t):
+    """The newest stored record with a new record's e-mail or name."""
+    mail = lambda k: F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org"))
+    stored = t.orders.select(F.col("o_orderkey").alias("stored_id"), mail(F.col("o_custkey")).alias("s_email"), F.concat(F.lit("Customer "), (F.col("o_custkey") % 50).cast("string")).alias("s_name"), F.col("o_orderdate").alias("created"))
+    name = F.when(F.col("s_suppkey") % 2 == 0, "unnamed candidate").otherwise(F.concat(F.lit("customer "), F.col("s_suppkey").cast("string")))
+    new = t.supplier.select(F.col("s_suppkey").alias("new_id"), F.upper(mail(F.col("s_suppkey") * 3)).alias("email"), name.alias("name"))
+    return records.resolve(new, stored)
+
+
+@query("SELECT s_suppkey, count(l_orderkey) AS n_children FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+def apps_per_job(t):
+    return records.count_by_parent(t.supplier.select("s_suppkey"), t.lineitem, "s_suppkey", "l_suppkey")
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_status(t):
+    return records.latest(t.events, "user_id", ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT o_custkey, greatest(1, round(days / 30.44)::INT) AS months, round(greatest(1, round(days / 30.44)::INT) / 12.0, 2) AS years FROM (SELECT o_custkey, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days FROM orders GROUP BY 1)")
+def date_durations(t):
+    span = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    months = dates.months_between_days(F.col("a"), F.col("b"))
+    return span.select("o_custkey", months.alias("months"), dates.years_of(months).alias("years"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS w_start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(t):
+    """Batch form of the live funnel."""
+    return live.windowed_counts(t.events).select("event_type", F.col("w.start").alias("w_start"), "n", F.round("total", 2).alias("total"))
+
+
+# --- metrics -----------------------------------------------------------------
+
+_PRED = "SELECT l.doc_id, l.quality AS y, CASE WHEN length(d.text) >= 1000 THEN 1 ELSE 0 END AS p, length(d.text) AS s FROM labels l JOIN documents d USING (doc_id)"
+
+
+def _predicted(t: Tables) -> DataFrame:
+    return t.labels.join(t.documents, "doc_id").select("doc_id", F.col("quality").alias("y"), F.when(F.length("text") >= 1000, 1).otherwise(0).alias("p"), F.length("text").alias("s"))
+
+
+@query(f"""WITH r AS ({_PRED}), c AS (SELECT DISTINCT y AS cls FROM r UNION SELECT DISTINCT p FROM r), m AS (SELECT cls, (SELECT count(*) FROM r WHERE y = cls) AS support,
+  (SELECT count(*) FROM r WHERE p = cls) AS said, (SELECT count(*) FROM r WHERE y = cls AND p = cls) AS tp FROM c),
+q AS (SELECT *, coalesce(tp / nullif(said, 0), 0.0) AS pr, coalesce(tp / nullif(support, 0), 0.0) AS re FROM m)
+SELECT cls, support, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0.0), 6) AS f1 FROM q""")
+def class_metrics(t):
+    return metrics.class_report(_predicted(t), "y", "p")
+
+
+@query("SELECT round(avg(abs(l_extendedprice - 900 * l_quantity)), 4) AS mae, round(sqrt(avg((l_extendedprice - 900 * l_quantity) ** 2)), 4) AS rmse, round(1 - sum((l_extendedprice - 900 * l_quantity) ** 2) / sum((l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) ** 2), 4) AS r2 FROM lineitem")
+def regression_metrics(t):
+    return metrics.regression_report(t.lineitem.withColumn("guess", 900 * F.col("l_quantity")), "l_extendedprice", "guess")
+
+
+@query(f"WITH r AS ({_PRED}), k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS a FROM r) SELECT round((sum(a) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM k")
+def roc_auc(t):
+    return metrics.roc_auc(_predicted(t), "y", "s")
+
+
+_CENTROID = "SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL"
+
+
+def _cosine_rank(t: Tables) -> DataFrame:
+    """Rank of the true label among all centroids by cosine; the labels are few, the vectors many."""
+    mean = t.embeddings.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    centroids = mean.groupBy(F.col("label").alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = t.embeddings.join(centroids)  # every vector against the stated set of centroids
+    cos = F.round(dot("embedding", "c") / F.sqrt(dot("c", "c")), 9)
+    w = audit.Window.partitionBy("vec_id").orderBy(F.desc("cos"), "other")
+    return pairs.select("vec_id", "label", "other", cos.alias("cos")).withColumn("rank", F.row_number().over(w)).where("label = other")
+
+
+_RANKED = f"""WITH c AS ({_CENTROID}), z AS (SELECT label AS other, list(m ORDER BY i) AS c FROM c GROUP BY 1),
+p AS (SELECT vec_id, label, other, round(list_dot_product(embedding::DOUBLE[], c) / sqrt(list_dot_product(c, c)), 9) AS cos FROM embeddings, z),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, other) AS rank FROM p)"""
+
+
+@query(f"{_RANKED} SELECT round(avg((rank <= 1)::INT), 6) AS top1, round(avg((rank <= 3)::INT), 6) AS top3, round(avg((rank <= 5)::INT), 6) AS top5 FROM k WHERE label = other")
+def topk_accuracy(t):
+    return metrics.top_k_accuracy(_cosine_rank(t))
+
+
+@query(f"{_RANKED} SELECT vec_id, label, rank FROM k WHERE label = other")
+def centroid_cosine(t):
+    return _cosine_rank(t).select("vec_id", "label", "rank")
