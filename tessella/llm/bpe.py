@@ -175,7 +175,7 @@ class Utf8Stream:
             lead = raw[-back]
             if lead & 0xC0 == 0x80:
                 continue  # a continuation byte: look further back for its lead
-            need = 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1
+            need = 1 if lead >= 0xF8 else 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1
             if need > back:
                 cut = len(raw) - back
             break

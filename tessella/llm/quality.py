@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, SPACES, Texts, Words, byte_table, hash_spans, mix, slices, split_words, text_windows, texts_of
+from .words import LOWER, SPACES, Texts, hash_spans, slices, split_words, text_windows, texts_of
 
 BITS = 18
 GRAMS = (3, 4)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .words import LOWER, SPACES, Texts, byte_table, hash_spans, mix, signed, slices, split_words, texts_of
+from .words import LOWER, SPACES, Texts, hash_spans, mix, signed, slices, split_words, texts_of
 
 LONG = 32
 _STOPS = np.zeros(256, dtype=bool)
@@ -64,8 +64,9 @@ class Sentences:
         at = np.flatnonzero(self.whole)
         low, high = self.start[at], self.stop[self.run_end[at] - 1]
         base, inverse = 0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 1 << 64)
-        power = np.cumprod(np.concatenate([[1], np.full(len(self.hashes), base, np.uint64)]).astype(np.uint64))
-        back = np.cumprod(np.concatenate([[1], np.full(len(self.hashes), inverse, np.uint64)]).astype(np.uint64))
+        power, back = (np.full(len(self.hashes) + 1, b, dtype=np.uint64) for b in (base, inverse))
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power), np.cumprod(back)
         out = []
         for values in (self.hashes, mix(self.hashes + np.uint64(1))):
             running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
