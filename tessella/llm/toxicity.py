@@ -91,8 +91,8 @@ class ConvText:
             return np.zeros(len(first) - 1)
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(rows, first) + self.shift, -40, 40)))
 
-    def fit(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.05, seed: int = 3) -> None:
-        """AdaGrad on the logistic loss; a gradient flows through the word where a filter answered most."""
+    def fit(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = 1400, batch: int = 32, rate: float = 0.05, seed: int = 3) -> None:
+        """``steps`` batches of AdaGrad on the logistic loss; a gradient flows through the word where a filter answered most."""
         rng = np.random.default_rng(seed)
         gains = {id(p): np.full_like(p, 1e-6) for p in [*self.filters, *self.shifts, self.out]}
         row_gain = np.full((1 << BITS, 1), 1e-4, np.float32)
@@ -102,7 +102,7 @@ class ConvText:
             gains[id(p)] += g * g
             p -= rate * g / np.sqrt(gains[id(p)])
 
-        for _ in range(epochs):
+        for _ in range(-(-steps * batch // len(labels))):
             order = rng.permutation(len(labels))
             for low in range(0, len(order), batch):
                 pick = order[low : low + batch]
