@@ -204,7 +204,7 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self.bpe = BpeTransducer(read_ranks(raw))
         # chunks seen lately, in two generations so that frequent ones stay
-        self.max_chunks, self.young, self.old = 150_000, {}, {}
+        self.max_chunks, self.young, self.old = 300_000, {}, {}
 
     @classmethod
     def of(cls, vocabulary, pattern: str) -> "Tokenizer":
