@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import dates, labels, text
-from tessella.operators import audit, match, metrics, records, skills
+from tessella.operators import audit, match, metrics, models, profiles, records, sections, skills
 from tessella.plans.bindings import CANDIDATE_SKILLS, CANDIDATES, JOB_SKILLS, JOBS, Tables
 from tessella.streaming import funnel as live
 
@@ -435,3 +435,128 @@ def topk_accuracy(t):
 @query(f"{_RANKED} SELECT vec_id, label, rank FROM k WHERE label = other")
 def centroid_cosine(t):
     return _cosine_rank(t).select("vec_id", "label", "rank")
+
+
+# --- lines, sections and profiles --------------------------------------------
+
+_LINES = r"""lines AS (SELECT doc_id, i - 1 AS line_no, trim(parts[i], ' ') AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS parts FROM documents)) WHERE trim(parts[i], ' ') <> '')"""
+
+
+def _lines(t: Tables) -> DataFrame:
+    return sections.lines_of(t.documents, "doc_id", "text")
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT *, CASE WHEN length(line) <= 20 THEN line END AS head FROM lines),
+s AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), 'personal_info_header') AS section FROM p)
+SELECT doc_id, section, min(line_no) AS first_line, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS body_sha256 FROM s WHERE head IS NULL GROUP BY ALL""")
+def sections_by_header(t):
+    """Sections of every document; a line of at most 20 characters is a header here."""
+    head = F.when(F.length("line") <= 20, F.col("line"))
+    out = sections.split_sections(_lines(t), "doc_id", head)
+    return out.select("doc_id", "section", "first_line", "n_lines", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT *, regexp_matches(line, '[0-9]') AS is_head FROM lines),
+o AS (SELECT *, is_head AND NOT coalesce(lag(is_head) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS opens FROM m),
+r AS (SELECT *, (sum(opens::BIGINT) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS record FROM o)
+SELECT doc_id, record, count(*) FILTER (is_head) AS n_heads, count(*) FILTER (NOT is_head) AS n_details FROM r WHERE record > 0 GROUP BY ALL""")
+def line_records(t):
+    """Records that open at lines with a digit."""
+    rows = sections.records_by_head(_lines(t), "doc_id", F.col("line").rlike("[0-9]"))
+    return rows.groupBy("doc_id", "record").agg(F.count_if("is_head").alias("n_heads"), F.count_if(~F.col("is_head")).alias("n_details"))
+
+
+@query(f"""WITH {_LINES}, i AS (SELECT doc_id, lower(trim(unnest(regexp_split_to_array(regexp_replace(line, '{sections.BULLET}', ''), '[,;]')), ' ')) AS item FROM lines)
+SELECT doc_id, count(DISTINCT item) AS n_items FROM i WHERE item <> '' GROUP BY 1""")
+def line_items(t):
+    return sections.list_items(_lines(t), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_items"))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, arg_min(line, line_no) FILTER (line_no < 5 AND regexp_matches(line, '{sections.NAME.replace("'", "''")}')) AS name,
+  arg_min(line, line_no) FILTER (line_no < 15 AND regexp_matches(line, '{sections.PLACE}')) AS location FROM lines GROUP BY 1""")
+def name_and_place(t):
+    return sections.name_and_place(_lines(t), "doc_id")
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9+#]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH b AS (SELECT {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark), t AS (SELECT DISTINCT array_to_string(w[i:i + 1], ' ') AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b)),
+{_LINES}, d AS (SELECT doc_id, line_no, {_WORDS.format("line")} AS w FROM lines),
+g AS (SELECT doc_id, line_no, array_to_string(w[i:i + 1], ' ') AS term FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d))
+SELECT doc_id, count(DISTINCT term) AS n_terms, min(line_no) AS first_line, count(*) AS n FROM g JOIN t USING (term) GROUP BY 1""")
+def taxonomy_scan(t):
+    """Word pairs of the benchmark, as a taxonomy, found in the lines of documents."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9+#]+"), lambda w: w != "")
+    rows = t.benchmark.select(words.alias("w")).select(F.explode(F.arrays_zip(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("v"))).alias("p"))
+    terms = rows.where("p.v IS NOT NULL").select(F.concat_ws(" ", "p.w", "p.v").alias("term")).distinct()
+    found = sections.find_terms(_lines(t), "doc_id", terms.withColumn("skill", F.col("term")), 2)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.min("first_line").alias("first_line"), F.sum("n").alias("n"))
+
+
+@query(f"""WITH w AS (SELECT candidate_id, list_filter([CASE WHEN projects = 0 THEN 'no projects' END, CASE WHEN years = 0 THEN 'no experience' END,
+  CASE WHEN projects > 12 THEN 'many projects' END], lambda x: x IS NOT NULL) AS warnings FROM ({CANDIDATES}))
+SELECT candidate_id, array_to_string(warnings, ',') AS warnings, round(1 - least(0.6, 0.05 * len(warnings)), 4)::DOUBLE AS score, len(warnings) <= 6 AS valid FROM w""")
+def structural_warnings(t):
+    rules = {"no projects": F.col("projects") == 0, "no experience": F.col("years") == 0, "many projects": F.col("projects") > 12}
+    out = profiles.structural_warnings(t.candidates, rules)
+    return out.select("candidate_id", F.array_join("warnings", ",").alias("warnings"), F.col("score").cast("double").alias("score"), "valid")
+
+
+@query("""WITH b AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1),
+a AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_custkey, array_to_string(list_filter([CASE WHEN b.urgent IS NOT NULL AND a.urgent IS NULL THEN 'urgent' END, CASE WHEN b.n > coalesce(a.n, 0) THEN 'n' END], lambda x: x IS NOT NULL), ',') AS lost FROM b LEFT JOIN a USING (o_custkey)""")
+def information_loss(t):
+    def summed(rows: DataFrame) -> DataFrame:
+        urgent = F.max(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")))
+        return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), urgent.alias("urgent"))
+
+    out = profiles.information_loss(summed(t.orders), summed(t.orders.where("o_orderstatus = 'F'")), "o_custkey", ["urgent"], ["n"])
+    return out.select("o_custkey", F.array_join("lost", ",").alias("lost"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS nation FROM customer),
+j AS (SELECT k, name, nation, s_name, s_nationkey AS s_nation FROM f LEFT JOIN supplier ON s_suppkey = k),
+x AS (SELECT *, (name IS NULL AND s_name IS NOT NULL)::INT AS p1, (nation IS NULL AND s_nation IS NOT NULL)::INT AS p2, (nation IS NULL AND coalesce(s_nation >= 10, false))::INT AS a2 FROM j)
+SELECT k, coalesce(name, s_name) AS name, CASE WHEN a2 = 1 THEN s_nation ELSE nation END AS nation, p1 + p2 AS proposed, p1 + a2 AS accepted, p2 - a2 AS rejected FROM x""")
+def merge_sources(t):
+    """Gaps of one source filled from another; nations only from 10 on."""
+    k = F.col("c_custkey")
+    first = t.customer.select(k.alias("k"), F.when(k % 3 != 0, F.col("c_name")).alias("name"), F.when(k % 4 != 0, F.col("c_nationkey")).alias("nation"))
+    second = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return profiles.merge_sources(first, second, "k", {"name": F.lit(True), "nation": F.col("s_nation") >= 10})
+
+
+@query(f"SELECT role AS role_id, role, string_agg(skill, ';' ORDER BY skill) AS skills, count(*) AS n_skills FROM ({_ROLES}) GROUP BY 1, 2")
+def taxonomy_export(t):
+    rows = _roles(t).groupBy(F.col("role").alias("role_id"), "role").agg(F.array_sort(F.collect_list("skill")).alias("skills"))
+    aliases = t.part.select(F.lower("p_name").alias("alias"), F.col("p_name").alias("skill")).distinct()
+    return profiles.taxonomy_tables(rows, aliases)["roles"]
+
+
+@query(f"""SELECT candidate_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.4::DOUBLE * (years * 8) + 0.35::DOUBLE * 100 * (CASE WHEN projects > 5 THEN 0.75 ELSE 0.25 END)::DOUBLE
+  + 0.25::DOUBLE * (0.3::DOUBLE * (years * 10) + 0.2::DOUBLE * nation + 0.15::DOUBLE * 50 + 0.15::DOUBLE * 40 + 0.2::DOUBLE * least(projects, 100)))), 6) AS score FROM ({CANDIDATES})""")
+def success_blend(t):
+    """The blend of regressed score, chance and pillars, on columns of candidates in their place."""
+    pillars = [F.col("years") * 10, F.col("nation"), F.lit(50), F.lit(40), F.least(F.col("projects"), F.lit(100))]
+    chance = F.when(F.col("projects") > 5, 0.75).otherwise(0.25)
+    return t.candidates.select("candidate_id", F.round(profiles.success_score(pillars, F.col("years") * 8, chance), 6).alias("score"))
+
+
+@query()
+def brand_classifier(t):
+    """TF-IDF and weighted logistic regression from names to brands; the likeliest brand of every part."""
+    rows = models.class_weights(t.part.select("p_partkey", "p_name", "p_brand"), "p_brand")
+    model = models.text_classifier("p_name", "p_brand", features=2_000).fit(rows)
+    best = models.top_classes(model, t.part.select("p_partkey", "p_name"), 1)
+    return best.select("p_partkey", F.col("classes")[0]["name"].alias("brand"), F.col("classes")[0]["probability"].alias("confidence"))
+
+
+@query()
+def screening_model(t):
+    """Random forest on categories and numbers of orders; decision and its probability for every order."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
+    stages = models.mixed_features(None, ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"])
+    scored = models.decision_model(stages, "label", 20).fit(rows).transform(rows)
+    return scored.select("o_orderkey", "prediction", models.vector_to_array("probability")[1].alias("chance"))
