@@ -21,6 +21,7 @@ doc_id count as one document; the smallest doc_id of a component is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,10 @@ from .words import LOWER, SPACES, hash_spans, mix, signed, slices, split_words,
 SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 16, 5, 1
 PLACES = CHUNKS * CHUNK
-#: More minhashes, of which 8 bits each serve to tell near from far before sets are compared.
-SKETCH = 512
-#: Places in which linked sets may differ, of the whole sketch and of its first 128: 4.7 standard deviations beyond the mean at 0.75.
-FAR, FAR_IN_128 = 174, 55
+#: More minhashes, of which BITS bits each serve to tell near from far before sets are compared.
+SKETCH, BITS = 512, 2
+#: Places of the sketch in which linked sets may differ: 4.7 standard deviations beyond the mean at 0.75.
+FAR = 138
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 63, size=SKETCH, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,13 +72,14 @@ def text_windows_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """16 bits of the first PLACES minhashes, then 8 bits of all SKETCH."""
+    """16 bits of the first PLACES minhashes; then BITS bits of all SKETCH, for each 64 of them one word of 64 bits a bit."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
     for low in range(0, len(items), 1024):
         part = (items[low : low + 1024][None, :] ^ _XOR[:, None]) * _ODD[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     least = mix(least)
-    return np.concatenate([(least[:PLACES] >> np.uint64(48)).astype(np.uint16).view(np.uint8), (least & np.uint64(255)).astype(np.uint8)])
+    planes = [np.packbits((least >> np.uint64(k) & np.uint64(1)).astype(np.uint8)).view(np.uint64) for k in range(BITS)]
+    return np.concatenate([(least[:PLACES] >> np.uint64(48)).astype(np.uint16).view(np.uint8), np.stack(planes, axis=1).ravel().view(np.uint8)])
 
 
 def _signed_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,16 +118,10 @@ def _bucket_keys(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
 
 
-def _far_places(x: Column, y: Column) -> Column:
-    """Bytes in which two sketches (arrays of long) differ."""
-
-    def differing(p: Column, q: Column) -> Column:
-        bits = p.bitwiseXOR(q)
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift)).bitwiseAND(F.lit(mask))
-        return F.bit_count(bits)
-
-    return F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda total, n: total + n)
+def _near(x: Column, y: Column) -> Column:
+    """Whether two sketches (arrays of long) differ in FAR places at most; unrolled, and short enough to be compiled."""
+    differing = [[F.get(x, F.lit(at + k)).bitwiseXOR(F.get(y, F.lit(at + k))) for k in range(BITS)] for at in range(0, SKETCH // 64 * BITS, BITS)]
+    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, bits)) for bits in differing]) <= FAR
 
 
 def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,25 +191,27 @@ def link_documents(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.when(F.col("key") % 2 == 0, 0).otherwise(F.xxhash64("key", "rep")).alias("by"), "rep")
     leaders = materialize(members.groupBy("key").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead.rep"))
     buckets = materialize(members.join(leaders.withColumnRenamed("rep", "lead"), "key"))
-    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.slice("sketch", 1, 16).alias("x"))
-    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.slice("sketch", 1, 16).alias("y"))
+    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     sized = F.expr("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    places = _far_places(F.col("x"), F.col("y"))
+    near = _near(F.col("x"), F.col("y"))
 
     starred = buckets.where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-    tried = materialize(starred.join(a, "a").join(b, "b").where(sized).where(places <= FAR_IN_128).select("a", "b").distinct())
+    tried = materialize(starred.join(a, "a").join(b, "b").where(sized).where(near).select("a", "b").distinct())
     links = materialize(_confirm(tried, texts))
 
     # what a leader did not join: members of a bucket that are still in different components
     labels = components(links)
-    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("part"))
     placed = materialize(placed)
-    split = materialize(placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
-    rest = materialize(placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep"))
-    p = rest.select("key", F.col("part").alias("pa"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    parts = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.when(F.col("rep") == F.col("lead"), F.col("part"))).alias("main"))
+    split = materialize(parts.where("lo < hi").select("key", "main"))
+    rest = materialize(placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep").drop("lead"))
+    # the leader's component is not compared with itself, and stands on one side only
+    p = rest.where("part <> main").select("main", "key", F.col("part").alias("pa"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     q = rest.select(F.col("key").alias("kb"), F.col("part").alias("pb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     # sizes and sketches are compared inside the join, so that only near pairs become rows
-    apart = (F.col("key") == F.col("kb")) & (F.col("pa") < F.col("pb")) & sized & (places <= FAR)
+    apart = (F.col("key") == F.col("kb")) & ((F.col("pb") == F.col("main")) | (F.col("pa") < F.col("pb"))) & sized & near
     others = p.join(q, apart).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
     others = materialize(others.join(tried, ["a", "b"], "left_anti"))
     if not others.isEmpty():
