@@ -2,9 +2,10 @@
 
 A word's embedding is the sum of three hashed rows (the word, and its first four
 and five bytes, lower-cased in A-Z).  Filters of several widths slide over the
-words, the largest answer of each filter in the whole text is kept, and a
-logistic layer turns these into a score, which is calibrated on labelled rows
-that training has not seen.  Thresholds are calibrated by language on the same
+words, the largest answer of each filter in the whole text is kept, and of the
+filters of one word also the sum of their answers (as a logarithm), so that a word
+seen once and a word seen often differ; a logistic layer turns these into a
+score, which is calibrated on labelled rows that training has not seen.  Thresholds are calibrated by language on the same
 rows.  Only the text enters a score.  Training is on the driver, on at most
 ``max_rows`` labelled documents (those with the smallest hash of their id), whole
 texts; scoring runs in Arrow batches without a shuffle.
@@ -53,7 +54,7 @@ class ConvText:
         self.table = (rng.standard_normal((1 << BITS, DIM)) * 0.02).astype(np.float32)
         self.filters = [(rng.standard_normal((w, DIM, FILTERS)) * 0.4).astype(np.float32) for w in WIDTHS]
         self.shifts = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-        self.out = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
+        self.out = (rng.standard_normal(FILTERS * (len(WIDTHS) + 1)) * 0.3).astype(np.float32)
         self.bias = np.float32(-1.0)
         self.slope, self.shift = 1.0, 0.0
         self.thresholds: dict[str, float] = {}
@@ -76,11 +77,12 @@ class ConvText:
 
     def pooled(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(np.diff(first))
-        best = np.zeros((len(first) - 1, FILTERS * len(WIDTHS)), np.float32)
+        best = np.zeros((len(first) - 1, FILTERS * (len(WIDTHS) + 1)), np.float32)
         if len(full):
-            x = self.table[rows].sum(axis=1)
-            tops = [np.maximum.reduceat(a, first[full], axis=0) for a in self.answers(x, first)]
-            best[full] = np.maximum(np.concatenate(tops, axis=1), 0)
+            answers = self.answers(self.table[rows].sum(axis=1), first)
+            tops = [np.maximum.reduceat(a, first[full], axis=0) for a in answers]
+            total = np.add.reduceat(np.maximum(answers[0], 0), first[full], axis=0)
+            best[full] = np.concatenate([np.maximum(np.concatenate(tops, axis=1), 0), np.log1p(total)], axis=1)
         return best
 
     def margin(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ class ConvText:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(rows, first) + self.shift, -40, 40)))
 
     def fit(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = 1400, batch: int = 32, rate: float = 0.05, seed: int = 3) -> None:
-        """``steps`` batches of AdaGrad on the logistic loss; a gradient flows through the word where a filter answered most."""
+        """``steps`` batches of AdaGrad on the logistic loss; a gradient flows through the word where a filter answered most, and through all words that a sum counts."""
         rng = np.random.default_rng(seed)
         gains = {id(p): np.full_like(p, 1e-6) for p in [*self.filters, *self.shifts, self.out]}
         row_gain = np.full((1 << BITS, 1), 1e-4, np.float32)
@@ -116,10 +118,14 @@ class ConvText:
                 tops = [np.stack([a[s:e].argmax(axis=0) + s for s, e in zip(ends, ends[1:])]) for a in answers]
                 best = np.concatenate([np.take_along_axis(a, t, 0) for a, t in zip(answers, tops)], axis=1)
                 live = best > 0
-                best = np.where(live, best, 0)
+                said = np.maximum(answers[0], 0)
+                total = np.add.reduceat(said, ends[:-1], axis=0)
+                best = np.concatenate([np.where(live, best, 0), np.log1p(total)], axis=1)
                 y = labels[pick]
                 error = (1 / (1 + np.exp(-np.clip(best @ self.out + self.bias, -30, 30))) - y) * np.where(y > 0, heavy, 1) / len(pick)
-                back = error[:, None] * self.out[None, :] * live
+                back = error[:, None] * self.out[None, :]
+                spread = np.repeat(back[:, len(WIDTHS) * FILTERS :] / (1 + total), np.diff(ends), axis=0) * (said > 0)
+                back = back[:, : len(WIDTHS) * FILTERS] * live
                 step(self.out, (best.T @ error + 1e-4 * self.out).astype(np.float32))
                 self.bias -= np.float32(rate * error.sum())
                 touched, pulls = [], []
@@ -131,14 +137,18 @@ class ConvText:
                         grad[j] = np.einsum("df,dfe->ef", g, x[at])
                         touched.append(at.ravel())
                         pulls.append((g[:, :, None] * self.filters[k][j].T[None]).reshape(-1, DIM))
+                    if k == 0:
+                        grad[0] += x.T @ spread
+                        touched.append(np.arange(len(x)))
+                        pulls.append(spread @ self.filters[0][0].T)
                     step(self.filters[k], grad + 1e-4 * self.filters[k])
-                    step(self.shifts[k], g.sum(axis=0).astype(np.float32))
+                    step(self.shifts[k], (g.sum(axis=0) + (spread.sum(axis=0) if k == 0 else 0)).astype(np.float32))
                 touched, pulls = np.concatenate(touched), np.concatenate(pulls)
-                used = np.flatnonzero(np.abs(pulls).sum(axis=1) > 0)
                 for c in range(part.shape[1]):
-                    ids = part[touched[used], c]
-                    np.add.at(row_gain[:, 0], ids, (pulls[used] ** 2).mean(axis=1))
-                    np.add.at(self.table, ids, -rate * 4 * pulls[used] / np.sqrt(row_gain[ids]))
+                    ids, place = np.unique(part[touched, c], return_inverse=True)
+                    pull = np.stack([np.bincount(place, pulls[:, d], len(ids)) for d in range(DIM)], axis=1).astype(np.float32)
+                    row_gain[ids, 0] += (pull**2).mean(axis=1)
+                    self.table[ids] -= rate * 4 * pull / np.sqrt(row_gain[ids])
         self.trained = True
 
     def calibrate(self, margins: np.ndarray, labels: np.ndarray, langs: list) -> None:

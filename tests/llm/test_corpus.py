@@ -203,13 +203,27 @@ def test_quality_and_toxicity_learn(spark):
     model = toxicity.fit_toxicity(big, known)
     held = toxicity.score_toxicity(big.join(known, "doc_id"), model).where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2")
     hit, said, real = held.agg(F.expr("count_if(toxic = 1 AND score >= 0.3)"), F.expr("count_if(score >= 0.3)"), F.expr("count_if(toxic = 1)")).first()
-    # about 3,000 labels here: 89 of 120 were found when this was written; 534 of 543 with the 20,000 labels of a larger table
-    assert hit / real > 0.7 and hit / said > 0.8
+    assert hit / real > 0.8 and hit / said > 0.8
     odd = toxicity.score_toxicity(docs_of(spark, [None, "", "word"]), model).collect()
     assert all(0 <= r["score"] <= 1 for r in odd) and odd[0]["score"] == odd[1]["score"]
     assert toxicity.score_toxicity(docs_of(spark, ["a"]), toxicity.fit_toxicity(docs, labels.where("false"))).first()["score"] == 0
 
 
+def test_toxicity_counts_words():
+    """A word that is harmless once and toxic five times, each time with another ending."""
+    draw = random.Random(5)
+    labels = np.array([i % 2 for i in range(400)], dtype=float)
+    texts = []
+    for y in labels:
+        words = [f"plain{draw.randrange(50)}" for _ in range(40)] + [f"insult{draw.randrange(10**6)}" for _ in range(5 if y else 1)]
+        draw.shuffle(words)
+        texts.append(" ".join(words))
+    model = toxicity.ConvText()
+    model.fit(*toxicity.word_rows(pa.array(texts[:300])), labels[:300], steps=300)
+    margins = model.margin(*toxicity.word_rows(pa.array(texts[300:])))
+    assert ((margins > np.median(margins)) == (labels[300:] > 0)).mean() > 0.95
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\b </s> <\\s> [INST]"), (1, 1, "assistant", None), (1, 2, "assistant", "[/INST]\\\\<s>"), (1, 2, "assistant", "[/INST]\\\\<s>"), (None, 0, None, "x"), (2, 200, "role\nnew", "été\n"), (2, 3, "user", "")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
