@@ -1,8 +1,11 @@
 """Substring dedup on sentence spans.
 
 A sentence ends at ``.``, ``!`` or ``?`` before white space, at a newline, and, so
-that prose without such marks has spans too, inside sentences of more than
-``LONG`` words after words picked by their hash.  From every sentence on, the run
+that prose without such marks has spans too, after the word with the smallest hash
+of every ``WINDOW`` words that hold no such end (winnowing).  So any ``WINDOW``
+words hold an end, and ends depend on less than ``WINDOW`` words to either side:
+two copies of 3 ``WINDOW`` + ``min_words`` - 2 words (51) share a run, whatever
+stands around them.  From every sentence on, the run
 of at least ``min_sentences`` sentences and ``min_words`` words is hashed (96 bits,
 of its words lower-cased in A-Z).  A global aggregation finds the runs that occur
 more than once and their first place (smallest doc_id, then position); a join
@@ -28,11 +31,25 @@ from pyspark.sql import functions as F
 from .shared import materialize
 from .words import LOWER, SPACES, Texts, hash_spans, mix, signed, slices, split_words, texts_of
 
-LONG = 32
+WINDOW = 11
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[list(b".!?")] = True
 
 
+def winnowed(hashes: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Of every WINDOW words without a close, the last of those with the smallest hash."""
+    m = len(hashes) - WINDOW + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    best, at = hashes[:m].copy(), np.zeros(m, np.int64)
+    for j in range(1, WINDOW):
+        at[hashes[j : j + m] <= best] = j
+        np.minimum(best, hashes[j : j + m], out=best)
+    before = np.concatenate([[0], np.cumsum(closes)])
+    open_ = np.flatnonzero(before[WINDOW:] == before[:m])
+    return open_ + at[open_]
+
+
 class Sentences:
     """Sentences of a slice as word ranges, and for each the end (in sentences) of the run that starts there."""
 
@@ -47,9 +64,7 @@ class Sentences:
             closes |= _STOPS[data[words.ends - 1]]
             closes[:-1] |= lines[words.starts[1:]] > lines[words.ends[:-1]]
             closes[words.first[1:][words.first[1:] > 0] - 1] = True
-            ends = np.flatnonzero(closes) + 1
-            size = np.diff(np.concatenate([[0], ends]))
-            closes |= (np.repeat(size, size) > LONG) & (self.hashes & np.uint64(15) == 0)
+            closes[winnowed(self.hashes, closes)] = True
         self.stop = np.flatnonzero(closes) + 1  # word after each sentence
         self.start = np.concatenate([[0], self.stop[:-1]]).astype(np.int64)[: len(self.stop)]
         self.first = np.searchsorted(self.start, words.first)  # first sentence of each text

@@ -176,6 +176,27 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup_substrings(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_substring_dedup_without_marks(spark):
+    """Passages of 51 words without marks, with marks, and with one mark, in different surroundings."""
+    draw = random.Random(8)
+    some = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for i in range(60):
+        passage = some(51)
+        if i % 3:
+            passage[25] += "."
+        if i % 3 == 2:
+            passage[8] += "?"
+        for edge in ("", "."):
+            texts.append(" ".join([*some(draw.randrange(1, 80)), "edge" + edge, *passage, *some(draw.randrange(1, 80))]))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs_of(spark, texts)).collect()}
+    for i in range(0, 120, 2):
+        assert got[i]["n_removed"] == 0 and got[i]["text"] == texts[i]
+        kept, held = got[i + 1]["text"].split(" "), set(texts[i].split(" "))
+        gone = [w for w in texts[i + 1].split(" ") if w not in kept]
+        assert got[i + 1]["n_removed"] > 0 and len(gone) >= 20 and set(gone) <= held, i
+
+
 def brute_counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
