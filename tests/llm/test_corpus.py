@@ -197,6 +197,44 @@ def test_substring_dedup_without_marks(spark):
         assert got[i + 1]["n_removed"] > 0 and len(gone) >= 20 and set(gone) <= held, i
 
 
+def test_substring_dedup_equals_brute_force(spark):
+    draw = random.Random(2)
+    vocabulary = [f"v{i}" for i in range(400)]
+    some = lambda n: " ".join(draw.choice(vocabulary) + draw.choice(["", "", "", "", "", ".", "!", ".\n"]) for _ in range(n))
+    planted = [some(draw.randrange(15, 70)) for _ in range(12)] + ["v1 " * 30, " ".join(vocabulary[:60])]
+    texts = [None, "", *[" ".join([some(draw.randrange(1, 50)), draw.choice(planted), some(draw.randrange(1, 50)), draw.choice(planted)]) for _ in range(60)]]
+    pieces = {}
+    for i, t in enumerate(texts):
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))
+        ends = [k + 1 == len(words) or w[0][-1] in ".!?" or "\n" in t[w.end() : words[k + 1].start()] for k, w in enumerate(words)]
+        data = texts_of(pa.array([lower(t or "")]))
+        spans = split_words(data, SPACES, data.data)
+        hashes = hash_spans(data.data, spans.starts, spans.ends).tolist()
+        marks = {k for k, e in enumerate(ends) if e}
+        for k in range(len(words) - 10):
+            if not any(ends[k : k + 11]):
+                marks.add(min(range(k, k + 11), key=lambda x: (hashes[x], -x)))
+        stops = [k + 1 for k in sorted(marks)]
+        pieces[i] = (words, list(zip([0, *stops], stops)))
+    first, runs = {}, []
+    for i, (words, cut) in pieces.items():
+        for a in range(len(cut)):
+            b = next((b for b in range(a + 1, len(cut)) if cut[b][1] - cut[a][0] >= 20), None)
+            if b is not None:
+                key = tuple(lower(w[0]) for w in words[cut[a][0] : cut[b][1]])
+                runs.append((key, i, a, b))
+                first.setdefault(key, (i, a))
+    gone = {i: set() for i in pieces}
+    for key, i, a, b in runs:
+        if first[key] != (i, a):
+            gone[i] |= set(range(a, b + 1))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs_of(spark, texts)).collect()}
+    assert sum(map(len, gone.values())) > 100
+    for i, (words, cut) in pieces.items():
+        kept = [words[k][0] for c, (a, b) in enumerate(cut) if c not in gone[i] for k in range(a, b)]
+        assert (got[i]["n_sentences"], got[i]["n_removed"], (got[i]["text"] or "").split()) == (len(cut), len(gone[i]), kept), i
+
+
 def brute_counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
