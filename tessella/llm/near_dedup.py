@@ -9,13 +9,27 @@
    probability below 2e-7, more similar ones with less.
 3. In each bucket all members are compared with one leader, which differs from
    bucket to bucket.  Links are confirmed on the full sets, and components found.
-4. Only members of one bucket that are in different components after that are
-   compared with each other, so a group of near copies costs its size and not its
-   square, while no link between components is lost.
+4. Members of one bucket that are in different components after that may still be
+   linked.  Each such set x outside the bucket's largest component is compared with
+   one reference r of that component.  Whatever else x is linked with, say y, shares
+   at most ``|x & r|`` shingles inside r, so if that is too few, x and y must share
+   shingles outside r: those are few, and an equi-join on them counts them.  A
+   shingle held inside one component only cannot link it to another and is left out.
+   Where ``|x & r|`` leaves room for a (smaller) partner, the bucket's members are
+   compared, sizes, bounds and sketches first.  A group of near copies of which many
+   fall short of the threshold thus costs its size and not its square, while no link
+   between components is lost.
+5. Of the pairs left between two components the nearest is confirmed first; what it
+   does not merge is confirmed whole.
+
+A link is missed with probability below 2e-7 at similarity 0.75 (buckets) plus
+1e-8 (sketches), and with less above; links found are exact.
 
 Defined results: a document without words is linked with nothing and is its own
 component; a null doc_id is never linked and always kept; rows that share a
-doc_id count as one document; the smallest doc_id of a component is kept.
+doc_id count as one document; the smallest doc_id of a component is kept; doc_id
+may be of any type that has an order; a text of any length counts whole; an empty
+table gives an empty one; other columns of any name pass ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -28,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import id_type, materialize
 from .words import LOWER, SPACES, hash_spans, mix, signed, slices, split_words, text_windows, texts_of
 
 SHINGLE = 5
@@ -36,8 +50,8 @@ CHUNKS, CHUNK, ERRORS = 16, 5, 1
 PLACES = CHUNKS * CHUNK
 #: More minhashes, of which BITS bits each serve to tell near from far before sets are compared.
 SKETCH, BITS = 512, 2
-#: Places of the sketch in which linked sets may differ: 4.7 standard deviations beyond the mean at 0.75.
-FAR = 138
+#: Places of the sketch in which linked sets may differ: 5.6 standard deviations beyond the mean at 0.75.
+FAR = 146
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 63, size=SKETCH, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,10 +132,10 @@ def _bucket_keys(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
 
 
-def _near(x: Column, y: Column) -> Column:
-    """Whether two sketches (arrays of long) differ in FAR places at most; unrolled, and short enough to be compiled."""
+def _apart(x: Column, y: Column) -> Column:
+    """In how many places two sketches (arrays of long) differ; unrolled, and short enough to be compiled."""
     differing = [[F.get(x, F.lit(at + k)).bitwiseXOR(F.get(y, F.lit(at + k))) for k in range(BITS)] for at in range(0, SKETCH // 64 * BITS, BITS)]
-    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, bits)) for bits in differing]) <= FAR
+    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, bits)) for bits in differing])
 
 
 def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +147,16 @@ def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "items"])
 
 
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, items): the shingle sets of the documents that ids (doc_id, distinct) names."""
+    wanted = texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    return wanted.mapInArrow(_set_arrays, f"doc_id {id_type(texts)}, items array<long>")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of 0.75 or more."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    sets = materialize(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_arrays, "doc_id long, items array<long>"))
+    sets = materialize(_sets_of(texts, ids))
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -144,6 +164,68 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct()
 
 
+def _cross_shingles(held: DataFrame) -> DataFrame:
+    """(rep, part, item) of held (rep, part, items): the shingles that several components hold."""
+    each = held.select("rep", "part", F.explode("items").alias("item"))
+    several = each.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("item")
+    return each.join(several.hint("shuffle_hash"), "item", "left_semi").select("rep", "part", "item")
+
+
+def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, rep, part, main, ref) of the buckets that several components meet in; ref belongs to main, the largest of them."""
+    labels = components(links)
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    labels = materialize(labels.join(sizes, "component"))
+    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left")
+    placed = materialize(placed.select("key", "rep", F.coalesce("component", "rep").alias("part"), F.coalesce("size", F.lit(1)).alias("size")))
+    most = F.max(F.struct("size", "part", "rep")).alias("most")
+    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), most).where("lo < hi")
+    split = materialize(split.select("key", F.col("most.part").alias("main"), F.col("most.rep").alias("ref")))
+    return materialize(placed.join(split, "key").select("key", "rep", "part", "main", "ref"))
+
+
+def _open_pairs(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, pa, pb, room): pairs across components that bounds cannot rule out; room: by how much the bound exceeds the need.
+
+    A link of sets of n and m shingles needs 7 * shared >= 3 * (n + m).
+    """
+    around = materialize(rest.select("rep", "part").distinct())
+    sets = _sets_of(texts, around.select(F.col("rep").alias("doc_id")))
+    held = materialize(sets.join(around, sets["doc_id"] == around["rep"]).select("rep", "part", "items"))
+    cross = materialize(_cross_shingles(held))
+    bounds = cross.groupBy("rep").agg(F.count("*").alias("c")).join(held.select("rep", "part", F.size("items").alias("n")), "rep")
+    bounds = materialize(bounds.where("4 * c >= 3 * n"))  # others are linked with nothing outside their component
+
+    # of the references that a set outside the main component has met, the one with which it shares most
+    met = rest.where("part <> main").select("rep", "ref").distinct().join(bounds.select("rep", "n", "c"), "rep")
+    met = met.join(held.select("rep", F.col("part").alias("pa"), F.col("items").alias("x")), "rep").join(held.select(F.col("rep").alias("ref"), F.col("items").alias("y")), "ref")
+    inside = F.size(F.array_intersect("x", "y"))
+    met = met.select(F.col("rep").alias("ra"), "pa", F.col("n").alias("na"), F.col("c").alias("ca"), inside.alias("inside"), F.array_except("x", "y").alias("outside"))
+    most = met.groupBy("ra").agg(F.max_by(F.struct("pa", "na", "ca", "inside", "outside"), F.col("inside")).alias("m"))
+    outer = materialize(most.select("ra", "m.*"))
+
+    sized = F.expr("pa <> pb AND 4 * least(na, nb) >= 3 * greatest(na, nb) AND 3 * (na + nb) <= 7 * least(ca, cb)")
+    # pairs that must share shingles outside the reference
+    b = bounds.select(F.col("rep").alias("rb"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    index = cross.select(F.col("rep").alias("rb"), "item").join(b, "rb")
+    by_item = outer.select("ra", "pa", "na", "ca", "inside", F.explode("outside").alias("item")).join(index, "item")
+    by_item = by_item.where(sized).groupBy("ra", "rb", "pa", "pb", "na", "nb", "inside").agg(F.count("*").alias("k"))
+    pairs = by_item.withColumn("room", F.expr("7 * (inside + k) - 3 * (na + nb)")).where("room >= 0").select("ra", "rb", "pa", "pb", "room")
+
+    # pairs that need not: the partner is small enough for what is shared inside
+    least = rest.join(b.select(F.col("rb").alias("rep"), "nb"), "rep").groupBy("key").agg(F.min("nb").alias("least_n"))
+    p = rest.where("part <> main").select("key", "main", F.col("rep").alias("ra")).join(outer.drop("outside"), "ra").join(least, "key")
+    p = materialize(p.where("3 * (na + least_n) <= 7 * least(inside, ca)").drop("least_n").join(reps.select(F.col("rep").alias("ra"), F.col("sketch").alias("x")), "ra"))
+    q = rest.select("key", F.col("rep").alias("rb")).join(p.select("key").distinct(), "key", "left_semi").join(b, "rb")
+    q = q.join(reps.select(F.col("rep").alias("rb"), F.col("sketch").alias("y")), "rb").withColumnRenamed("key", "kb")
+    near = _apart(F.col("x"), F.col("y")) <= FAR
+    fits = (F.col("key") == F.col("kb")) & F.expr("pb = main OR pa < pb") & sized & F.expr("3 * (na + nb) <= 7 * inside") & near
+    room = F.expr("7 * least(inside, cb) - 3 * (na + nb)").alias("room")
+    pairs = pairs.unionByName(p.join(q, fits).select("ra", "rb", "pa", "pb", room))
+    ends = F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), F.greatest("pa", "pb").alias("pa"), F.least("pa", "pb").alias("pb")
+    return pairs.select(*ends, "room").groupBy("a", "b", "pa", "pb").agg(F.max("room").alias("room"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of undirected edges (a, b), with the smallest node that it reaches.
 
@@ -178,9 +260,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signs = materialize(texts.mapInArrow(_signed_docs, "doc_id long, n long, s1 long, s2 long, sig binary, sketch array<long>"))
+    texts = docs.select("doc_id", "text")
+    signs = materialize(texts.mapInArrow(_signed_docs, f"doc_id {id_type(texts)}, n long, s1 long, s2 long, sig binary, sketch array<long>"))
     nodes = signs.where("n > 0 AND doc_id IS NOT NULL")
     reps = materialize(nodes.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
 
@@ -194,29 +275,24 @@ def link_documents(docs: DataFrame) -> DataFrame:
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     sized = F.expr("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    near = _near(F.col("x"), F.col("y"))
+    apart = _apart(F.col("x"), F.col("y"))
 
     starred = buckets.where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-    tried = materialize(starred.join(a, "a").join(b, "b").where(sized).where(near).select("a", "b").distinct())
+    tried = materialize(starred.join(a, "a").join(b, "b").where(sized).where(apart <= FAR).select("a", "b").distinct())
     links = materialize(_confirm(tried, texts))
 
     # what a leader did not join: members of a bucket that are still in different components
+    others = materialize(_open_pairs(_placed(buckets, links), reps, texts))
+    nearest = others.groupBy("pa", "pb").agg(F.max_by(F.struct("a", "b"), F.struct("room", "a", "b")).alias("pair"))
+    nearest = materialize(nearest.select("pair.a", "pair.b"))
+    if not nearest.isEmpty():
+        links = materialize(links.unionAll(_confirm(nearest, texts)))
     labels = components(links)
-    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("part"))
-    placed = materialize(placed)
-    parts = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max(F.when(F.col("rep") == F.col("lead"), F.col("part"))).alias("main"))
-    split = materialize(parts.where("lo < hi").select("key", "main"))
-    rest = materialize(placed.join(split, "key").join(reps.select("rep", "n", "sketch"), "rep").drop("lead"))
-    # the leader's component is not compared with itself, and stands on one side only
-    p = rest.where("part <> main").select("main", "key", F.col("part").alias("pa"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    q = rest.select(F.col("key").alias("kb"), F.col("part").alias("pb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    # sizes and sketches are compared inside the join, so that only near pairs become rows
-    apart = (F.col("key") == F.col("kb")) & ((F.col("pb") == F.col("main")) | (F.col("pa") < F.col("pb"))) & sized & near
-    others = p.join(q, apart).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-    others = materialize(others.join(tried, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        more = _confirm(others, texts)
-        labels = components(links.unionAll(more))
+    la, lb = (labels.select(F.col("node").alias(k), F.col("component").alias(f"l{k}")) for k in ("a", "b"))
+    still = others.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+    still = materialize(still.join(nearest, ["a", "b"], "left_anti"))
+    if not still.isEmpty():
+        labels = components(links.unionAll(_confirm(still, texts)))
 
     place = reps.join(labels, reps["rep"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     place = materialize(place)

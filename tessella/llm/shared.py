@@ -40,3 +40,16 @@ def ascii_lower(column) -> F.Column:
 def bucket_of(column, modulus: int) -> F.Column:
     """crc32 of the value's text, modulo; a null value falls in bucket -1 (never held out)."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(modulus), F.lit(-1))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (Spark tells names apart without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
+def id_type(df: DataFrame, column: str = "doc_id") -> str:
+    """The type of the id column, as a schema string has it."""
+    return df.schema[column].dataType.simpleString()
