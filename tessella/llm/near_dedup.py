@@ -189,15 +189,18 @@ def _open_pairs(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
 
     A link of sets of n and m shingles needs 7 * shared >= 3 * (n + m).
     """
-    around = materialize(rest.select("rep", "part").distinct())
+    # the smallest doc_id of a component is often what the others copy: a reference beside the one in the bucket
+    refs = rest.where("part <> main").select("rep", F.explode(F.array("ref", "main")).alias("ref")).distinct()
+    around = rest.select("rep", "part").unionAll(rest.select(F.col("main").alias("rep"), F.col("main").alias("part")))
+    around = materialize(around.distinct())
     sets = _sets_of(texts, around.select(F.col("rep").alias("doc_id")))
     held = materialize(sets.join(around, sets["doc_id"] == around["rep"]).select("rep", "part", "items"))
     cross = materialize(_cross_shingles(held))
     bounds = cross.groupBy("rep").agg(F.count("*").alias("c")).join(held.select("rep", "part", F.size("items").alias("n")), "rep")
     bounds = materialize(bounds.where("4 * c >= 3 * n"))  # others are linked with nothing outside their component
 
-    # of the references that a set outside the main component has met, the one with which it shares most
-    met = rest.where("part <> main").select("rep", "ref").distinct().join(bounds.select("rep", "n", "c"), "rep")
+    # of the references of a set outside the main component, the one with which it shares most
+    met = refs.join(bounds.select("rep", "n", "c"), "rep")
     met = met.join(held.select("rep", F.col("part").alias("pa"), F.col("items").alias("x")), "rep").join(held.select(F.col("rep").alias("ref"), F.col("items").alias("y")), "ref")
     inside = F.size(F.array_intersect("x", "y"))
     met = met.select(F.col("rep").alias("ra"), "pa", F.col("n").alias("na"), F.col("c").alias("ca"), inside.alias("inside"), F.array_except("x", "y").alias("outside"))
