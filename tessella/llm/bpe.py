@@ -14,8 +14,10 @@ Decoding goes through an incremental UTF-8 state machine, so text can be handed
 on while tokens arrive.
 
 Defined results: a null or empty text has no tokens; ids that decode to invalid
-UTF-8 give U+FFFD in text and are exact in bytes; repeated rows are encoded each
-for itself; other columns pass through.
+UTF-8 give U+FFFD in text and are exact in bytes; a text of any length is encoded
+whole; repeated rows are encoded each for itself; an empty table gives an empty
+one; other columns pass through, but for those of the results' names (``ids``,
+``decoded``, ``round_trip``), which are replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +26,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
+#: Ids that the decoder turns into bytes at once.
+DECODE_IDS = 4096
+
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
     """Lines of base64 token and rank."""
@@ -260,26 +268,64 @@ def load_vocabulary(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _ids_array(tokenizer: Tokenizer, texts: pa.Array) -> pa.Array:
+    """Ids of every text; only one text at a time is a list of Python numbers."""
+    rows = [np.array(tokenizer.encode(t), np.int32) for t in _each(texts)]
+    ends = np.cumsum([0, *map(len, rows)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise ValueError("more than 2^31 tokens in one Arrow batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
+def decode_text(tokenizer: Tokenizer, ids: np.ndarray) -> str:
+    """The text of ids, ``DECODE_IDS`` at a time through the UTF-8 machine."""
+    stream = Utf8Stream()
+    parts = [stream.feed(tokenizer.decode_bytes(ids[low : low + DECODE_IDS].tolist())) for low in range(0, len(ids), DECODE_IDS)]
+    return "".join([*parts, stream.close()])
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """Every list of ids as an array; a null list is empty."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(column)):
+        yield values[ends[i] : ends[i + 1]] if valid[i] else values[:0]
+
+
 def encode_texts(docs: DataFrame, vocabulary, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array of int) for every whole text."""
+    """Adds ``ids`` (array of int) for every whole text; a column of that name is replaced."""
 
     def encode(column: pa.Array) -> pa.Array:
-        tokenizer = Tokenizer.of(vocabulary, pattern)
-        return pa.array([tokenizer.encode(t) for t in _each(column)], pa.list_(pa.int32()))
+        return _ids_array(Tokenizer.of(vocabulary, pattern), column)
 
     return docs.withColumn("ids", F.arrow_udf(encode, "array<int>")(text))
 
 
 def decode_ids(docs: DataFrame, vocabulary, pattern: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (text, by the streaming decoder) for every array of ids."""
+    """Adds ``decoded`` (text, by the streaming decoder) for every array of ids; a column of that name is replaced."""
 
     def decode(column: pa.Array) -> pa.Array:
-        bytes_of = Tokenizer.of(vocabulary, pattern).bpe.bytes_of
-        return pa.array(["".join(decode_stream(iter(x or []), bytes_of)) for x in _each(column)], pa.string())
+        tokenizer = Tokenizer.of(vocabulary, pattern)
+        return pa.array((decode_text(tokenizer, x) for x in _lists(column)), pa.string())
 
     return docs.withColumn("decoded", F.arrow_udf(decode, "string")(ids))
 
 
+def code_texts(docs: DataFrame, vocabulary, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ``ids`` and ``round_trip`` (decoding gives the text back) in one pass; columns of these names are replaced."""
+
+    def code(column: pa.Array) -> pa.Array:
+        tokenizer = Tokenizer.of(vocabulary, pattern)
+        ids = _ids_array(tokenizer, column)
+        same = pa.array((decode_text(tokenizer, x) == (t or "") for x, t in zip(_lists(ids), _each(column))), pa.bool_())
+        return pa.StructArray.from_arrays([ids, same], ["ids", "round_trip"])
+
+    out = free_name(docs, "coded")
+    coded = docs.withColumn(out, F.arrow_udf(code, "ids array<int>, round_trip boolean")(text))
+    plain = [F.col(f"`{c}`") for c in docs.columns if c not in {"ids", "round_trip"}]
+    return coded.select(*plain, f"{out}.ids", f"{out}.round_trip")
+
+
 def _each(column: pa.Array) -> Iterator:
     """Values one at a time, so that only one text is a Python object at once."""
     return (value.as_py() for value in column)
@@ -295,8 +341,8 @@ def round_trip(docs: DataFrame, vocabulary, pattern: str) -> DataFrame:
             ids = tokenizer.encode(text)
             decoded = hashlib.sha256()
             stream = Utf8Stream()
-            for low in range(0, len(ids), 4096):
-                decoded.update(stream.feed(tokenizer.decode_bytes(ids[low : low + 4096])).encode())
+            for low in range(0, len(ids), DECODE_IDS):
+                decoded.update(stream.feed(tokenizer.decode_bytes(ids[low : low + DECODE_IDS])).encode())
             decoded.update(stream.close().encode())
             rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()))
         columns = list(zip(*rows)) or [(), (), ()]

@@ -19,7 +19,9 @@ character of each control string; roles are URL-encoded.  Both are reversible.
 Defined results: null text is empty, null role is the empty role, null seq sorts
 first, rows with a null conv_id form one conversation; events for a message that
 was never opened open it; repeated rows are messages of their own; ties of seq
-go by op, role and text.
+go by op, role and text; texts of any length are rendered whole; an empty table
+gives an empty one; columns beside those named are not part of an event and are
+dropped.
 """
 
 from __future__ import annotations

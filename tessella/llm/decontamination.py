@@ -10,7 +10,10 @@ verified on the words themselves.  The plan has no shuffle of documents.
 
 Defined results: null and empty texts have no words; repeated items and windows
 count once; an item with a null item_id marks words but is not listed; an empty
-benchmark hits nothing; other columns pass through.
+benchmark hits nothing; empty documents give an empty table; texts of any length
+are scanned whole, slice by slice; repeated rows are scanned each for itself; other
+columns of any name pass through, but for those named like an output (``n_words``,
+``n_hit``, ``hit_runs``, ``hit_items``), which ``scan_benchmark`` replaces.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_name, materialize
 from .words import LOWER, NON_ALNUM, hash_spans, slices, split_words, text_windows, texts_of
 
 _SCAN = "n_words long, runs array<struct<start: int, stop: int>>, items array<string>"
@@ -123,8 +127,10 @@ def _scanner(windows):
 
 def _remove_runs(column: pa.Array, runs: pa.Array) -> pa.Array:
     """Texts without the words of their runs and what separates those words."""
-    out = []
-    for text, cuts in zip(column.to_pylist(), runs.to_pylist()):
+    out = []  # texts without a run stay in Arrow
+    hit = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(runs), 0), False).to_numpy(zero_copy_only=False))
+    for i in hit:
+        text, cuts = column[int(i)].as_py(), runs[int(i)].as_py()
         if cuts:
             texts = texts_of(pa.array([text]))
             words = split_words(texts, NON_ALNUM, LOWER[texts.data])
@@ -134,7 +140,9 @@ def _remove_runs(column: pa.Array, runs: pa.Array) -> pa.Array:
                 at = words.ends[stop - 1]
             text = b"".join([*parts, raw[at:]]).decode()
         out.append(text)
-    return pa.array(out, pa.string())
+    mask = np.zeros(len(column), bool)
+    mask[hit] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array(out, column.type))
 
 
 def merged(cuts) -> Iterator[tuple[int, int]]:
@@ -160,6 +168,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_win
     windows = benchmark_windows(benchmark, n)
     parts = max(1, -(-windows.count() // block_windows))
     names = ["n_words", "n_hit", "hit_runs", "hit_items"]
+    name = free_name(docs, "found")
     plain = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     out, runs, items = docs.select(*plain), F.array(), F.array()
     for p in range(parts):
@@ -169,11 +178,11 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_win
             out = materialize(out)
             runs, items = F.col("hit_runs"), F.col("hit_items")
         found = F.arrow_udf(_scanner(block), _SCAN)
-        out = out.withColumn("__found", found("text")).select(
+        out = out.withColumn(name, found("text")).select(
             *plain,
-            F.col("__found.n_words").alias("n_words"),
-            (F.concat(runs, "__found.runs") if p else F.col("__found.runs")).alias("hit_runs"),
-            F.array_sort(F.array_union(items, "__found.items") if p else F.col("__found.items")).alias("hit_items"),
+            F.col(f"{name}.n_words").alias("n_words"),
+            (F.concat(runs, f"{name}.runs") if p else F.col(f"{name}.runs")).alias("hit_runs"),
+            F.array_sort(F.array_union(items, f"{name}.items") if p else F.col(f"{name}.items")).alias("hit_items"),
         )
     # runs of one pass are disjoint; those of several may overlap
     spelled = F.array_distinct(F.flatten(F.transform("hit_runs", lambda r: F.sequence(r["start"], r["stop"] - 1))))

@@ -12,8 +12,11 @@ never enter that shuffle: dropped positions become one keep bitmap a document.
 
 Defined results: a null or empty text is one empty line; keys compare by hash
 of 128 bits; rows that share doc_id count as one document, each with a bitmap of
-its own (told apart by a hash of the text); rows with a null doc_id hold no
-line and lose none; other columns pass through.
+its own (told apart by a hash of the text), so repeated rows lose the same lines;
+rows with a null doc_id hold no line and lose none; doc_id may be of any type
+that has an order; texts of any length count whole, slice by slice; an empty
+table gives an empty one; other columns of any name pass through, but for
+``n_lines`` and ``n_dropped``, which the results replace.
 """
 
 from __future__ import annotations
@@ -27,11 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_name, id_type, materialize
 from .words import LOWER, SPACES, Texts, hash_spans, signed, slices, texts_of
 
-_KEYS = "h1 long, h2 long, doc_id long, fp long, pos int"
-_ROWS = _KEYS + ", kind int, docs long"
 #: Kinds of streamed rows: dropped for certain, undecided, and the count of a run's piece at a partition's edge.
 DROPPED, UNDECIDED, PIECE = 0, 1, 2
 
@@ -105,7 +106,7 @@ class _Run:
         self.held.append(piece)
         if self.docs >= min_docs:
             for p in self.held:
-                yield _row(p.filter(pc.not_equal(p.column(2), int(self.largest))), DROPPED)
+                yield _row(p.filter(pc.not_equal(p.column(2), pa.scalar(self.largest, p.column(2).type))), DROPPED)
             self.held = []
 
     def close(self, at_end: bool) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def _stream_runs(min_docs: int):
         for batch in batches:
             if not len(batch):
                 continue
-            h1, h2, doc = (batch.column(k).to_numpy() for k in range(3))
+            h1, h2, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             cut = np.concatenate([[0], np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1, [len(batch)]])
             at = 0
             if run is None or key == (h1[0], h2[0]):
@@ -167,11 +168,12 @@ def keep_bitmap(dropped: list[int]) -> bytes:
 def line_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """(doc_id, fp, keep): the keep bitmap of every document that loses a line; fp is xxhash64 of its text."""
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("fp"))
-    keys = materialize(keyed.mapInArrow(_line_keys(min_chars), _KEYS))
+    shape = f"h1 long, h2 long, doc_id {id_type(docs)}, fp long, pos int"
+    keys = materialize(keyed.mapInArrow(_line_keys(min_chars), shape))
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc()]
     # the hash and doc_id, not the position: lines of one document stay together, so distinct documents add up
     ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order, "fp", "pos")
-    rows = materialize(ranged.mapInArrow(_stream_runs(min_docs), _ROWS))
+    rows = materialize(ranged.mapInArrow(_stream_runs(min_docs), f"{shape}, kind int, docs long"))
     # at most two hashes a partition touch its edges: the bound of this broadcast
     totals = rows.where(F.col("kind") == PIECE).groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("doc_id").alias("largest"))
     late = rows.where(F.col("kind") == UNDECIDED).join(F.broadcast(totals.where(F.col("n") >= min_docs)), ["h1", "h2"])
@@ -182,23 +184,30 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Dat
     return dropped.groupBy("doc_id", "fp").agg(F.collect_list("pos").alias("gone")).select("doc_id", "fp", bitmap("gone").alias("keep"))
 
 
+def _without_lines(text: str, keep: bytes) -> tuple[str, int, int]:
+    """The text without the lines that the bitmap drops, its lines before, and how many went."""
+    parts = text.split("\n")
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))[: len(parts)]
+    left = [p for p, b in zip(parts, bits) if b] + parts[len(bits) :]
+    return "\n".join(left), len(parts), len(parts) - len(left)
+
+
 def _apply_bitmaps(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
-    kept, lines, gone = [], [], []
-    for text, keep in zip(texts.to_pylist(), bitmaps.to_pylist()):
-        text = text or ""
-        if keep is None:
-            lines.append(text.count("\n") + 1)
-            gone.append(0)
-            kept.append(text)
-            continue
-        parts = text.split("\n")
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))[: len(parts)]
-        left = [p for p, b in zip(parts, bits) if b] + parts[len(bits) :]
-        lines.append(len(parts))
-        gone.append(len(parts) - len(left))
-        kept.append("\n".join(left))
-    arrays = [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
-    return pa.StructArray.from_arrays(arrays, ["text", "n_lines", "n_dropped"])
+    parts, begin = [], 0
+    for part in slices(texts):  # only one slice at a time is Python text
+        lines = pc.add(pc.count_substring(pc.fill_null(part, ""), "\n"), 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        kept, gone, keep = pc.fill_null(part, ""), np.zeros(len(part), np.int64), bitmaps.slice(begin, len(part))
+        hit = np.flatnonzero(keep.is_valid().to_numpy(zero_copy_only=False))
+        if len(hit):
+            changed = [_without_lines(kept[int(i)].as_py(), keep[int(i)].as_py()) for i in hit]
+            gone[hit] = [c[2] for c in changed]
+            mask = np.zeros(len(part), bool)
+            mask[hit] = True
+            kept = pc.replace_with_mask(kept, pa.array(mask), pa.array([c[0] for c in changed], kept.type))
+        parts.append(pa.StructArray.from_arrays([kept.cast(pa.string()), pa.array(lines), pa.array(gone)], ["text", "n_lines", "n_dropped"]))
+        begin += len(part)
+    empty = pa.array([], pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
+    return pa.concat_arrays([empty, *parts])
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
@@ -208,12 +217,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
     ``min_chars`` code points or more found in ``min_docs`` documents or more stay
     only in the largest doc_id that holds them.
     """
-    keep = line_bitmaps(docs, min_docs, min_chars).withColumnsRenamed({"doc_id": "__doc", "fp": "__fp", "keep": "__keep"})
-    on = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__fp"))
+    doc, fp, bits, out = (free_name(docs, name) for name in ("kept_doc", "kept_fp", "kept_bits", "deduped"))
+    keep = line_bitmaps(docs, min_docs, min_chars).withColumnsRenamed({"doc_id": doc, "fp": fp, "keep": bits})
+    on = (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(fp))
     apply = F.arrow_udf(_apply_bitmaps, "text string, n_lines long, n_dropped long")
-    joined = docs.join(keep.hint("shuffle_hash"), on, "left").withColumn("__out", apply("text", "__keep"))
-    plain = [F.col("__out.text" if c == "text" else f"`{c}`") for c in docs.columns if c not in {"n_lines", "n_dropped"}]
-    return joined.select(*plain, "__out.n_lines", "__out.n_dropped")
+    joined = docs.join(keep.hint("shuffle_hash"), on, "left").withColumn(out, apply("text", bits))
+    plain = [F.col(f"{out}.text" if c == "text" else f"`{c}`") for c in docs.columns if c not in {"n_lines", "n_dropped"}]
+    return joined.select(*plain, f"{out}.n_lines", f"{out}.n_dropped")
 
 
 ORACLE = r"""

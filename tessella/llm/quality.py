@@ -9,7 +9,11 @@ calibrated by Platt scaling on a part that training has not seen.
 
 Defined results: a null or empty text has no words and fails the base rule; an
 untrainable label table (empty, or of one class) gives the model that keeps all;
-documents need no label to be scored; repeated labels of a document all count.
+documents need no label to be scored; repeated labels of a document all count, as
+do repeated rows; of labels that tie at the bound those with the smaller doc_id and
+label are taken; texts of any length count whole, slice by slice; an empty table
+gives an empty one; other columns of any name pass through, but for those named
+like an output, which the output replaces.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .words import LOWER, SPACES, Texts, hash_spans, slices, split_words, text_windows, texts_of
 
 BITS = 18
@@ -160,9 +165,9 @@ def platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> list:
     """(text, label) of at most max_rows labelled documents, those whose id hashes lowest."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(max_rows)
-    return docs.select("doc_id", "text").join(picked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__label").select("text", "__label").collect()
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("the_label"))
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "the_label").limit(max_rows)
+    return docs.select("doc_id", "text").join(picked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "the_label", "text").select("text", "the_label").collect()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> LinearText:
@@ -191,5 +196,6 @@ def score_quality(docs: DataFrame, model: LinearText, keep_at: float = KEEP_AT)
     names = [f.split()[0] for f in _OUT.split(", ")] + ["base_failed", "kept"]
     plain = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    scored = docs.withColumn("__q", F.arrow_udf(score, _OUT)("text")).select(*plain, "__q.*")
+    out = free_name(docs, "counted")
+    scored = docs.withColumn(out, F.arrow_udf(score, _OUT)("text")).select(*plain, f"{out}.*")
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= keep_at))

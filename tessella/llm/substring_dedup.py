@@ -15,8 +15,10 @@ execution can split a run that a third of all documents share.
 
 Defined results: null and empty texts have no sentence and stay as they are;
 rows with a null doc_id have no spans; rows that share doc_id and text are one
-place; ties cannot occur (a place is doc_id, hash of text, sentence); other
-columns pass through.
+place; ties cannot occur (a place is doc_id, hash of text, sentence); doc_id may be
+of any type that has an order; texts of any length are cut whole, slice by slice;
+an empty table gives an empty one; other columns of any name pass through, but for
+``n_sentences`` and ``n_removed``, which the results replace.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_name, id_type, materialize
 from .words import LOWER, SPACES, Texts, hash_spans, mix, signed, slices, split_words, texts_of
 
 WINDOW = 11
@@ -150,8 +152,8 @@ def _cut(min_sentences: int, min_words: int):
 def repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) -> DataFrame:
     """(doc_id, place) of every run that occurred before; place packs 32 bits of the text's hash and the first sentence."""
     mark = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("mark")
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", mark)
-    runs = rows.mapInArrow(_spans(min_sentences, min_words), "h1 long, h2 int, doc_id long, place long")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", mark)
+    runs = rows.mapInArrow(_spans(min_sentences, min_words), f"h1 long, h2 int, doc_id {id_type(docs)}, place long")
     seen = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
     first = materialize(seen.where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("d"), F.col("first.place").alias("p")))
     return runs.join(first, ["h1", "h2"]).where("doc_id <> d OR place <> p").select("doc_id", "place")
@@ -159,12 +161,13 @@ def repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int = 20)
 
 def dedup_substrings(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) -> DataFrame:
     """Documents without the sentences of repeated runs; adds n_sentences (before) and n_removed."""
+    doc, own_mark, places, out = (free_name(docs, name) for name in ("span_doc", "span_mark", "span_places", "cut"))
     spans = repeated_spans(docs, min_sentences, min_words)
     mark = F.col("place").bitwiseAND(F.lit(~0xFFFFFFFF))
-    gone = spans.groupBy(F.col("doc_id").alias("__doc"), mark.alias("__mark")).agg(F.collect_set("place").alias("__places"))
+    gone = spans.groupBy(F.col("doc_id").alias(doc), mark.alias(own_mark)).agg(F.collect_set("place").alias(places))
     own = F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)), 32)
-    on = (F.col("doc_id") == F.col("__doc")) & (own == F.col("__mark"))
+    on = (F.col("doc_id") == F.col(doc)) & (own == F.col(own_mark))
     cut = F.arrow_udf(_cut(min_sentences, min_words), "text string, n_sentences long, n_removed long")
     names = [c for c in docs.columns if c not in {"n_sentences", "n_removed"}]
-    joined = docs.join(gone.hint("shuffle_hash"), on, "left").withColumn("__out", cut("text", "__places"))
-    return joined.select(*[F.col("__out.text" if c == "text" else f"`{c}`") for c in names], "__out.n_sentences", "__out.n_removed")
+    joined = docs.join(gone.hint("shuffle_hash"), on, "left").withColumn(out, cut("text", places))
+    return joined.select(*[F.col(f"{out}.text" if c == "text" else f"`{c}`") for c in names], f"{out}.n_sentences", f"{out}.n_removed")

@@ -12,8 +12,12 @@ texts; scoring runs in Arrow batches without a shuffle.
 
 Defined results: a null or empty text gets the score of no evidence; a label
 table that is empty or of one class gives the score 0 for all; a language
-without enough labelled rows, or null, uses the threshold of all; other columns
-pass through.
+without enough labelled rows, or null, uses the threshold of all; repeated rows are
+scored each for itself and repeated labels all count; of labels that tie at the
+bound those with the smaller doc_id and label are taken; texts of any length are
+scored whole, slice by slice; an empty table gives an empty one; other columns of
+any name pass through, but for ``score``, ``threshold`` and ``flagged``, which the
+results replace.
 """
 
 from __future__ import annotations
@@ -203,7 +207,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, holdo
 
 
 def score_toxicity(docs: DataFrame, model: ConvText) -> DataFrame:
-    """Adds score, threshold (of the row's lang, else of all) and toxic (score at or over it)."""
+    """Adds score, threshold (of the row's lang, else of all) and flagged (score at or over it)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(column: pa.Array) -> pa.Array:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, free_name
 from .words import slices, texts_of
 
 #: Fixed values of the contract: (action, host, path prefix).
@@ -132,8 +132,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     path = F.coalesce(F.regexp_extract(url, after + r"[^/?#]*([^?#]*)", 1), F.lit(""))
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in {"host", "path", "rule", "verdict"}]
     parsed = pages.select(*keep, host.alias("host"), path.alias("path"))
-    judged = parsed.withColumn("__judged", judge(F.concat("host", "path")))
-    return judged.select(*[f"`{c}`" for c in parsed.columns], "__judged.rule", "__judged.verdict")
+    out = free_name(parsed, "judged")
+    judged = parsed.withColumn(out, judge(F.concat("host", "path")))
+    return judged.select(*[f"`{c}`" for c in parsed.columns], f"{out}.rule", f"{out}.verdict")
 
 
 ORACLE = r"""
