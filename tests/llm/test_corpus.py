@@ -320,25 +320,68 @@ def test_lm_base_equals_brute_force_and_model_is_a_distribution(spark, tmp_path)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(r["doc_id"]), len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
     assert lm.score_documents(rows.where("false")).count() == 0
-    # the probabilities of all words and one unknown word add up to one in every context
-    codes = np.sort(np.random.default_rng(0).choice(5000, 900, replace=False).astype(np.uint64) << np.uint64(8))
-    codes = np.unique(np.concatenate([codes | np.uint64(k) for k in (1, 2)]))
-    seen = np.where(np.arange(len(codes)) % 3, np.random.default_rng(1).integers(0, 40, len(codes)), 0)
-    shard = lm.Shard(codes.tobytes(), seen.astype(np.int64).tobytes())
+
+
+def small_shard(seed=0):
+    draw = np.random.default_rng(seed)
+    words = np.sort(draw.choice(1 << 40, 900, replace=False).astype(np.uint64)) << np.uint64(20)
+    codes = np.unique(np.concatenate([words | np.uint64(k) for k in (1, 2)]))
+    seen = np.where(np.arange(len(codes)) % 3, draw.integers(0, 40, len(codes)), 0)
+    seen[5] = 30000
+    shard = lm.Shard(codes, seen)
     keep = np.repeat(shard.count > 0, np.diff([*shard.first, len(codes)]))
-    shard = lm.Shard(codes[keep].tobytes(), seen[keep].astype(np.int64).tobytes())
+    shard = lm.Shard(codes[keep], seen[keep])
     size = np.bincount(shard.context, shard.c, lm.CONTEXTS)
-    before = lm.Totals(size, np.bincount(shard.context, shard.c > 0, lm.CONTEXTS), len(shard.first), len(shard.first), (0.5, 0.6))
-    t, c0, t0 = shard.sweep(before, 9)
-    assert ((t <= shard.c) & ((t > 0) == (shard.c > 0))).all() and (t0 <= c0).all()
-    after = lm.Totals(size, np.bincount(shard.context, t, lm.CONTEXTS), float(t0.sum()), len(shard.first), before.discounts)
-    p, root = shard.predict(before, after, 9), after.root(c0, t0)
+    return shard, lm.Totals(size, np.bincount(shard.context, shard.t, lm.CONTEXTS), len(shard.first), len(shard.first), (0.5, 0.6))
+
+
+def test_lm_probabilities_add_up():
+    """All words and one unknown word, in every context."""
+    shard, before = small_shard()
+    shard.sweep(before, 0)
+    assert ((shard.t <= shard.c) & ((shard.t > 0) == (shard.c > 0))).all()
+    tables, root = shard.sums(before, 1)
+    after = lm.Totals(before.customers, tables, root, before.words, before.discounts)
+    p, base = shard.predict(before, after, 1), after.root(*shard.seat_root(before, 1))
     unknown = after.root(np.zeros(1), np.zeros(1))[0]
     for k in (1, 2):
-        rest = (lm.STRENGTHS[1] + 0.6 * after.tables[k]) / (lm.STRENGTHS[1] + size[k])
+        rest = (lm.STRENGTHS[1] + 0.6 * after.tables[k]) / (lm.STRENGTHS[1] + before.customers[k])
         mine = shard.context == k
-        missing = np.setdiff1d(np.arange(len(root)), shard.word[mine])
-        assert p[mine].sum() + rest * (root[missing].sum() + unknown) == pytest.approx(1, abs=1e-9)
+        missing = np.setdiff1d(np.arange(len(base)), shard.word[mine])
+        assert p[mine].sum() + rest * (base[missing].sum() + unknown) == pytest.approx(1, abs=1e-9)
+
+
+def test_lm_seating_is_that_of_the_restaurant():
+    """Against customers seated one by one, at small and large dishes; and the same for any part of the dishes."""
+    draw = np.random.default_rng(3)
+    for customers, weight, discount in ((2, 0.7, 0.4), (7, 2.5, 0.6), (60, 0.05, 0.3), (900, 12.0, 0.8)):
+        n = 4000
+        own = lm.seat(np.full(n, customers), np.full(n, weight), discount, np.arange(n, dtype=np.uint64) * np.uint64(65537), 3, 1)
+        t = np.ones(n)
+        for i in range(1, customers):
+            t += draw.random(n) < weight / (weight + i - discount * t)
+        assert abs(own.mean() - t.mean()) < 4.5 * np.sqrt((own.var() + t.var()) / n) + 1e-9
+        assert abs(own.std() - t.std()) < 0.08 * t.std() + 0.02
+    c, codes = draw.integers(0, 500, 300), draw.integers(0, 1 << 60, 300).astype(np.uint64)
+    whole = lm.seat(c, np.full(300, 3.0), 0.5, codes, 1, 1)
+    assert (whole[100:150] == lm.seat(c[100:150], np.full(50, 3.0), 0.5, codes[100:150], 1, 1)).all()
+    packed = np.array([5, 5, 2**63, 1, 0], np.uint64)
+    assert (lm.unpack(lm.pack(packed)) == packed).all() and len(lm.unpack(lm.pack(packed[:0]))) == 0
+
+
+def test_lm_scores_do_not_depend_on_settings(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs.repartition(5).write.parquet(str(tmp_path / "cut"))
+    cut = spark.read.parquet(str(tmp_path / "cut"))
+    both = cut.where("doc_id % 2 = 0").join(docs.select("doc_id"), "doc_id").unionByName(docs.where("doc_id % 2 = 1"))
+    runs, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for rows, partitions in ((docs, "4"), (cut, "13"), (both, "3")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            runs.append({r["doc_id"]: r["score"] for r in lm.score_documents(rows).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 100
 
 
 def test_lm_beats_the_base_on_held_out_text(spark):
