@@ -354,8 +354,8 @@ def test_lm_probabilities_add_up():
 def test_lm_seating_is_that_of_the_restaurant():
     """Against customers seated one by one, at small and large dishes; and the same for any part of the dishes."""
     draw = np.random.default_rng(3)
-    for customers, weight, discount in ((2, 0.7, 0.4), (7, 2.5, 0.6), (60, 0.05, 0.3), (900, 12.0, 0.8)):
-        n = 4000
+    for customers, weight, discount in ((2, 0.7, 0.4), (7, 2.5, 0.6), (60, 0.05, 0.3), (900, 12.0, 0.8), (20000, 0.9, 0.5)):
+        n = 2000
         own = lm.seat(np.full(n, customers), np.full(n, weight), discount, np.arange(n, dtype=np.uint64) * np.uint64(65537), 3, 1)
         t = np.ones(n)
         for i in range(1, customers):
