@@ -31,8 +31,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .shared import free_name
+from .shared import id_type
+from .words import release
 
 #: Ids that the decoder turns into bytes at once.
 DECODE_IDS = 4096
@@ -252,6 +254,11 @@ class Tokenizer:
             chunk, space = following, " "
         return out
 
+    def forget(self) -> None:
+        """Empties what encoding has cached: chunks, pieces, states and transitions."""
+        self.young, self.old = {}, {}
+        self.bpe._clear()
+
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
         out: list[int] = []
         for piece in self.pattern.findall(chunk):
@@ -311,19 +318,33 @@ def decode_ids(docs: DataFrame, vocabulary, pattern: str, ids: str = "ids") -> D
     return docs.withColumn("decoded", F.arrow_udf(decode, "string")(ids))
 
 
+def _per_task(vocabulary, pattern: str, code):
+    """A function of batches that codes each with a tokenizer and forgets what the task has cached at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer.of(vocabulary, pattern)
+        try:
+            for batch in batches:
+                yield code(tokenizer, batch)
+        finally:
+            tokenizer.forget()
+            release()
+
+    return run
+
+
 def code_texts(docs: DataFrame, vocabulary, pattern: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` and ``round_trip`` (decoding gives the text back) in one pass; columns of these names are replaced."""
 
-    def code(column: pa.Array) -> pa.Array:
-        tokenizer = Tokenizer.of(vocabulary, pattern)
+    def code(tokenizer: Tokenizer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(batch.schema.get_field_index(text))
         ids = _ids_array(tokenizer, column)
         same = pa.array((decode_text(tokenizer, x) == (t or "") for x, t in zip(_lists(ids), _each(column))), pa.bool_())
-        return pa.StructArray.from_arrays([ids, same], ["ids", "round_trip"])
+        return pa.RecordBatch.from_arrays([*batch.columns, ids, same], names=[*batch.schema.names, "ids", "round_trip"])
 
-    out = free_name(docs, "coded")
-    coded = docs.withColumn(out, F.arrow_udf(code, "ids array<int>, round_trip boolean")(text))
-    plain = [F.col(f"`{c}`") for c in docs.columns if c not in {"ids", "round_trip"}]
-    return coded.select(*plain, f"{out}.ids", f"{out}.round_trip")
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {"ids", "round_trip"}])
+    schema = StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+    return plain.mapInArrow(_per_task(vocabulary, pattern, code), schema)
 
 
 def _each(column: pa.Array) -> Iterator:
@@ -334,10 +355,9 @@ def _each(column: pa.Array) -> Iterator:
 def round_trip(docs: DataFrame, vocabulary, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids (decimal, joined by commas) and of the decoded bytes."""
 
-    def digest(column: pa.Array) -> pa.Array:
-        tokenizer = Tokenizer.of(vocabulary, pattern)
+    def digest(tokenizer: Tokenizer, batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text in _each(column):
+        for text in _each(batch.column(1)):
             ids = tokenizer.encode(text)
             decoded = hashlib.sha256()
             stream = Utf8Stream()
@@ -347,7 +367,7 @@ def round_trip(docs: DataFrame, vocabulary, pattern: str) -> DataFrame:
             rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()))
         columns = list(zip(*rows)) or [(), (), ()]
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))]
-        return pa.StructArray.from_arrays(arrays, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    made = F.arrow_udf(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return docs.select("doc_id", made("text").alias("__out")).select("doc_id", "__out.*")
+    shape = f"doc_id {id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(_per_task(vocabulary, pattern, digest), shape)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .quality import platt
 from .shared import bucket_of
-from .words import LOWER, SPACES, hash_spans, slices, split_words, texts_of
+from .words import LOWER, SPACES, hash_spans, release, slices, split_words, texts_of
 
 BITS, DIM = 18, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
@@ -97,19 +97,21 @@ class ConvText:
             return np.zeros(len(first) - 1)
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(rows, first) + self.shift, -40, 40)))
 
-    def fit(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = 1400, batch: int = 32, rate: float = 0.05, seed: int = 3) -> None:
-        """``steps`` batches of AdaGrad on the logistic loss; a gradient flows through the word where a filter answered most, and through all words that a sum counts."""
+    def fit(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = 1400, batch: int = 32, rate: float = 0.05, seed: int = 3, texts: np.ndarray | None = None) -> None:
+        """``steps`` batches (of all texts, or those numbered) of AdaGrad on the logistic loss; a gradient flows through the word where a filter answered most, and through all words that a sum counts."""
         rng = np.random.default_rng(seed)
         gains = {id(p): np.full_like(p, 1e-6) for p in [*self.filters, *self.shifts, self.out]}
         row_gain = np.full((1 << BITS, 1), 1e-4, np.float32)
-        heavy = np.sqrt(max(1.0, (len(labels) - labels.sum()) / max(1.0, labels.sum())))
+        texts = np.arange(len(labels)) if texts is None else texts
+        toxic = labels[texts].sum()
+        heavy = np.sqrt(max(1.0, (len(texts) - toxic) / max(1.0, toxic)))
 
         def step(p: np.ndarray, g: np.ndarray) -> None:
             gains[id(p)] += g * g
             p -= rate * g / np.sqrt(gains[id(p)])
 
-        for _ in range(-(-steps * batch // len(labels))):
-            order = rng.permutation(len(labels))
+        for _ in range(-(-steps * batch // len(texts))):
+            order = texts[rng.permutation(len(texts))]
             for low in range(0, len(order), batch):
                 pick = order[low : low + batch]
                 pick = pick[first[pick + 1] > first[pick]]
@@ -185,24 +187,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, holdo
         known = known.where(bucket_of(F.col("doc_id"), 4) != 2)
     key = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
     picked = known.select("doc_id", "toxic").orderBy(*key).limit(max_rows)
-    sample = docs.select("doc_id", "text", "lang").join(picked, "doc_id").orderBy(*key, "text").select("text", "lang", "toxic").collect()
+    sample = docs.select("doc_id", "text", "lang").join(picked, "doc_id").orderBy(*key, "text").select("text", "lang", F.col("toxic").cast("int")).toArrow()
     model = ConvText()
-    y = np.array([float(r["toxic"] > 0) for r in sample])
+    y = (sample["toxic"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return model
-    parts = [word_rows(part) for part in slices(pa.array([r["text"] for r in sample], pa.string()))]
+    langs = sample["lang"].to_pylist()
+    parts = [word_rows(part) for chunk in sample["text"].chunks for part in slices(chunk)]
+    del sample
     rows = np.concatenate([r for r, _ in parts])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+    del parts
     order = np.random.default_rng(1).permutation(len(y))
     kept, fit = np.sort(order[: len(y) // 4]), np.sort(order[len(y) // 4 :])
 
     def subset(pick):
         return np.concatenate([rows[first[i] : first[i + 1]] for i in pick]), np.concatenate([[0], np.cumsum(first[pick + 1] - first[pick])])
 
-    model.fit(*subset(fit), y[fit])
+    model.fit(rows, first, y, texts=fit)
     check = kept if 0 < y[kept].sum() < len(kept) else order
-    margins = np.concatenate([model.margin(*subset(check[low : low + 500])) for low in range(0, len(check), 500)])
-    model.calibrate(margins, y[check], [sample[i]["lang"] for i in check])
+    margins = np.concatenate([model.margin(*subset(check[low : low + 100])) for low in range(0, len(check), 100)])
+    model.calibrate(margins, y[check], [langs[i] for i in check])
+    release()
     return model
 
 

@@ -417,9 +417,44 @@ def test_bpe_long_pieces_and_small_tables(tokenizers):
 
 
 def test_bpe_query_shape(spark):
+    raw = open(public_tokenizers.path(queries.VOCABULARY), "rb").read()
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(raw), special_tokens={})
     rows = {r["doc_id"]: r for r in queries.op10_bpe(spark, SMALL).collect()}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     assert all(rows[d["doc_id"]]["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest() for d in docs)
+    for d in docs:
+        ids = other.encode_ordinary(d["text"] or "")
+        assert (rows[d["doc_id"]]["n_tokens"], rows[d["doc_id"]]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(queries.VOCABULARY))
+    odd = spark.createDataFrame([(1, None, 5), (1, None, 5), (2, "", 6), (3, "a é\n", 7)], "doc_id int, text string, ids int")
+    back = bpe.code_texts(odd, vocabulary, public_tokenizers.PATTERN).orderBy("doc_id").collect()
+    assert [r["ids"] for r in back] == [[], [], [], other.encode_ordinary("a é\n")] and all(r["round_trip"] for r in back)
+    assert bpe.round_trip(odd.where("false"), vocabulary, public_tokenizers.PATTERN).count() == 0
+    assert [r["decoded"] for r in bpe.decode_ids(bpe.encode_texts(odd, vocabulary, public_tokenizers.PATTERN), vocabulary, public_tokenizers.PATTERN).orderBy("doc_id").collect()] == ["", "", "", "a é\n"]
+
+
+def test_clashing_columns_and_id_types(spark):
+    """Columns named like helpers stay, and text ids work, in every operator that passes columns through."""
+    helpers = ["__doc", "__mark", "__places", "__out", "__fp", "__keep", "__found", "__q", "kept_doc", "Kept_Bits", "deduped", "span_doc", "cut", "found", "counted", "coded", "key", "part", "rep"]
+    line = "A line of more than forty characters that five documents hold."
+    texts = [None, "", *[f"{prose(30)}.\n{line}\n{prose(25)}" for _ in range(6)]]
+    rows = spark.createDataFrame([(f"d{i}", t, "en", *range(len(helpers))) for i, t in enumerate([*texts, texts[2], texts[2]])], "doc_id string, text string, lang string, " + ", ".join(f"`{h}` int" for h in helpers))
+    bench = spark.createDataFrame([(1, "never found in here")], "item_id long, text string")
+    labels = spark.createDataFrame([("d2", 1, 0)], "doc_id string, quality int, toxic int")
+    outs = {
+        "lines": line_dedup.dedup_lines(rows),
+        "spans": substring_dedup.dedup_substrings(rows),
+        "near": near_dedup.drop_near_copies(rows),
+        "leaks": decontamination.scan_benchmark(rows, bench),
+        "quality": quality.score_quality(rows, quality.fit_quality(rows, labels)),
+        "toxic": toxicity.score_toxicity(rows, toxicity.fit_toxicity(rows, labels)),
+    }
+    for name, out in outs.items():
+        got = out.collect()
+        assert all([r[h] for h in helpers] == list(range(len(helpers))) for r in got), name
+        assert len(got) == (8 if name == "near" else 10), name
+    assert sorted(r["doc_id"] for r in outs["lines"].where("n_dropped = 0").collect()) == ["d0", "d1", "d9"]
+    assert {r["component_id"] for r in near_dedup.link_documents(rows).collect()} == {f"d{i}" for i in range(8)}
 
 
 def test_pipeline_stages(spark):
