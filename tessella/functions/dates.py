@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def months_between_days(start: Column, end: Column) -> Column:
     """Whole months of 30.44 days, one at least; null where the end lies before the start."""
     days = F.datediff(end, start)
-    return F.when(days >= 0, F.greatest(F.lit(1), F.round(days / 30.44).cast("int")))
+    return F.when(days >= 0, F.greatest(F.lit(1), F.bround(days / 30.44).cast("int")))
 
 
 def years_of(months: Column) -> Column:
-    return F.round(months / 12, 2)
+    return F.bround(months / 12, 2)
 
 
 def display(months: Column) -> Column:
@@ -31,3 +31,17 @@ def parse_date(c: Column, as_of: Column) -> Column:
     """ISO, day/month/year, month/year and year-only dates; ``present`` is as_of; else null."""
     tried = [F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/yyyy", "MMM yyyy", "MMMM yyyy", "yyyy")]
     return F.when(F.lower(F.trim(c)).isin("present", "current", "now"), as_of).otherwise(F.coalesce(*tried))
+
+
+def months_of_text(c: Column) -> Column:
+    """Months out of texts like "2 years 3 months" or "1.5 years"; null where no unit is named."""
+    years = F.nullif(F.regexp_extract(F.lower(c), r"([0-9]+(?:[.][0-9]+)?) *\+? *(?:years|year|yrs|yr)", 1), F.lit("")).cast("double")
+    months = F.nullif(F.regexp_extract(F.lower(c), r"([0-9]+) *(?:months|month|mos|mo)", 1), F.lit("")).cast("double")
+    return F.when(years.isNotNull() | months.isNotNull(), F.bround(F.coalesce(years, F.lit(0.0)) * 12 + F.coalesce(months, F.lit(0.0))).cast("int"))
+
+
+def required_years(c: Column) -> Column:
+    """Years that a job description asks for: the lower end of a range, or the number before "years"; null where none is named."""
+    low = F.regexp_extract(F.lower(c), r"([0-9]+) *(?:-|to) *[0-9]+ *\+? *(?:years|year|yrs|yr)", 1)
+    one = F.regexp_extract(F.lower(c), r"([0-9]+(?:[.][0-9]+)?) *\+? *(?:years|year|yrs|yr)", 1)
+    return F.coalesce(F.nullif(low, F.lit("")), F.nullif(one, F.lit(""))).cast("double")

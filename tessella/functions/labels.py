@@ -39,6 +39,37 @@ def upper_band(c: Column, bands: Sequence[tuple[float, str]], default: str) -> C
 
 
 # Labels of a match score in percent.
-FIT_BANDS = ((80, "Excellent Fit"), (65, "Strong Fit"), (50, "Moderate Fit"), (35, "Partial Fit"))
-JD_BANDS = ((80, "Excellent"), (60, "Good"), (30, "Partial"))
+FIT_BANDS = ((80, "Strong Match"), (65, "Potential Candidate"), (50, "Moderate Match"), (35, "Needs Skill Development"))
+FIT_BELOW = "Not Currently Suitable"
+JD_BANDS = ((80, "Strong Match"), (60, "Good Match"), (30, "Partial Match"))
 SALARY_BANDS = ((1, "entry"), (2, "junior"), (4, "mid"))
+
+# Levels of seniority, the first that fits.
+SENIORITY = (
+    (r"\b(intern|internship|co-op|coop|student)\b", "Intern"),
+    (r"\b(trainee|graduate trainee|apprentice)\b", "Trainee"),
+    (r"\b(entry[- ]level|associate|graduate|level 1|l1|junior 1)\b", "Entry Level"),
+    (r"\b(junior|jr)\b", "Junior"),
+    (r"\b(senior|sr|level 3|l3|iii|ii)\b", "Senior"),
+    (r"\b(lead|team lead|tech lead|leader)\b", "Lead"),
+    (r"\bstaff\b", "Staff"),
+    (r"\bprincipal\b", "Principal"),
+    (r"\b(architect|enterprise architect|solutions architect)\b", "Architect"),
+    (r"\b(director|head of|vp|vice president)\b", "Director"),
+    (r"\b(manager|engineering manager|em)\b", "Manager"),
+)
+
+
+def jd_label(overall: Column, matched: Column) -> Column:
+    """Band of a match with a job description; without a matched skill there is none."""
+    return F.when((matched == 0) | (overall == 0), "No Match").otherwise(banded(overall, JD_BANDS, "Low Match"))
+
+
+def category_label(c: Column) -> Column:
+    """Upper-case label out of "best fits the X category" or "category: X"; null where there is none."""
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.upper(F.trim(x)), r"[\s/]+", "-"), "^-+|-+$", "")
+    out = F.lit(None).cast("string")
+    for pattern in (r"(?i)category\s*[:\-]\s*([A-Z0-9\- /]+)", r"(?i)best fits the\s+([A-Z0-9\-\s/]+?)\s+category"):
+        label = clean(F.regexp_extract(c, pattern, 1))
+        out = F.when((F.length(label) >= 3) & ~label.startswith("FOLLOWING"), label).otherwise(out)
+    return out

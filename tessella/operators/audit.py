@@ -40,19 +40,27 @@ def split_name(key: Column) -> Column:
 
 
 def length_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """count, mean, median, min, max, population deviation, and quartiles by floor index, from one ranked pass."""
+    """count, mean, median, min, max, population deviation, and quartiles by floor index.
+
+    Equal values of a group become one row first, so the running count goes over distinct values only.
+    """
+    once = df.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(group)
-    ranked = df.select(group, F.col(value).alias("v")).withColumn("r", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("r") == F.floor(F.lit(q) * F.col("n")) + 1, F.col("v")))
-    return ranked.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.round(F.avg("v"), 2).alias("mean"),
-        F.round(F.percentile("v", 0.5), 2).alias("median"),
+    ranked = once.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
+    quartile = lambda q: at(F.floor(F.lit(q) * F.col("all")) + 1)
+    middle = (at(F.floor((F.col("all") + 1) / 2)) + at(F.floor(F.col("all") / 2) + 1)) / 2
+    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
+    squares = F.sum(F.col("v").cast("double") * F.col("v") * F.col("n")) / F.sum("n")
+    return ranked.where("v IS NOT NULL").groupBy(group).agg(
+        F.max("all").alias("n"),
+        F.round(mean, 2).alias("mean"),
+        F.round(middle, 2).alias("median"),
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
-        F.round(F.stddev_pop("v"), 2).alias("std"),
-        at(0.25).alias("p25"),
-        at(0.75).alias("p75"),
+        F.round(F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)), 2).alias("std"),
+        quartile(0.25).alias("p25"),
+        quartile(0.75).alias("p75"),
     )
 
 

@@ -22,7 +22,28 @@ def experience_part(years: Column, wanted: Column) -> Column:
 def match_score(parts: Mapping[str, Column], weights: Mapping[str, float] = WEIGHTS) -> Column:
     """Weighted percentage, held between 0 and 100."""
     total = sum((F.lit(w) * parts[k] for k, w in weights.items()), F.lit(0.0))
-    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * total)), 4)
+    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * total)), 1)
+
+
+def all_pairs(many: DataFrame, few: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Every row of many beside every row of few, which a ranking of all needs; few is broadcast if its counted rows allow."""
+    return many.crossJoin(F.broadcast(few) if few.count() <= max_rows else few)
+
+
+def preferred_part(hits: Column, wanted: Column, required_hits: Column) -> Column:
+    """Share of the preferred skills; where none is wanted, 1 with any required hit, else 0.5."""
+    return F.when(wanted > 0, hits / wanted).when(required_hits > 0, 1.0).otherwise(0.5)
+
+
+def rank_reason(rank: Column, matched: Column, missing: Column, overall: Column, skill: Column, label: Column) -> Column:
+    """One sentence on why a candidate stands where it does."""
+    gaps = F.concat(missing.cast("string"), F.lit(" open"))
+    return (
+        F.when(matched == 0, F.concat(F.lit("#"), rank.cast("string"), F.lit(": no matched skill")))
+        .when(rank == 1, F.concat(F.lit("#1: best fit, "), overall.cast("string"), F.lit(" % ("), label, F.lit("), skills "), skill.cast("string"), F.lit(" %")))
+        .when(rank <= 3, F.concat(F.lit("#"), rank.cast("string"), F.lit(": "), label, F.lit(", skills "), skill.cast("string"), F.lit(" %, "), gaps))
+        .otherwise(F.concat(F.lit("#"), rank.cast("string"), F.lit(": "), label, F.lit(", "), gaps))
+    )
 
 
 def present_mean(parts: Mapping[str, Column], weights: Mapping[str, float]) -> Column:

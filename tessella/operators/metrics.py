@@ -29,13 +29,33 @@ def regression_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.agg(F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(1 - F.sum(e * e) / F.nullif(total, F.lit(0.0)), 4).alias("r2"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the curve by average ranks; scores are aggregated before they are ranked."""
+def roc_auc(df: DataFrame, label: str, score: str, parts: int = 200) -> DataFrame:
+    """Area under the curve by average ranks: ranks within ``parts`` ranges of scores, plus what lies below each range."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = by.withColumn("upto", F.sum("n").over(w))
-    ranks = r.agg(F.sum(F.col("pos") * (F.col("upto") - (F.col("n") - 1) / 2.0)).alias("rank_sum"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
-    return ranks.select(F.round((F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0)), 6).alias("auc"))
+    cuts = by.agg(F.percentile_approx("s", [i / parts for i in range(1, parts)]).alias("cuts"))
+    part = F.size(F.filter("cuts", lambda c: c <= F.col("s"))).alias("part")
+    placed = by.crossJoin(F.broadcast(cuts)).select("s", "n", "pos", part)  # cuts is one row
+    w = Window.partitionBy("part").orderBy("s")
+    ranked = placed.withColumn("upto", F.sum("n").over(w))
+    own = F.col("pos") * (F.col("upto") - (F.col("n") - 1) / 2.0)
+    sums = ranked.groupBy("part").agg(F.sum(own).alias("own"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most ``parts`` rows
+    total = sums.withColumn("below", below).agg(F.sum(F.col("own") + F.col("p") * F.col("below")).alias("rank_sum"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return total.select(F.round((F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0)), 6).alias("auc"))
+
+
+def class_summary(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Accuracy, and precision, recall and F1 as plain and as weighted means over classes."""
+    report = class_report(df, label, predicted).where("support > 0 OR precision > 0")
+    total = F.sum("support")
+    means = [F.round(F.avg(m), 6).alias(f"macro_{m}") for m in ("precision", "recall", "f1")]
+    weighted = F.round(F.sum(F.col("f1") * F.col("support")) / total, 6).alias("weighted_f1")
+    return report.agg(F.round(F.sum(F.col("recall") * F.col("support")) / total, 6).alias("accuracy"), *means, weighted)
+
+
+def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Cells of the confusion matrix that hold rows."""
+    return df.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
 def top_k_accuracy(ranked: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

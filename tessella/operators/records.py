@@ -35,12 +35,15 @@ def count_by_parent(parents: DataFrame, children: DataFrame, key: str, child_key
 
 
 def resolve(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """(new_id, stored_id): the newest stored record with the same e-mail or the same name; two equi-joins instead of an OR."""
-    by_mail = new.join(stored, F.lower(new["email"]) == F.lower(stored["s_email"]))
-    by_name = new.where("name <> 'unnamed candidate'").join(stored, F.lower(new["name"]) == F.lower(stored["s_name"]))
-    hits = by_mail.unionByName(by_name).select("new_id", "stored_id", "created").distinct()
-    w = Window.partitionBy("new_id").orderBy(F.desc("created"), "stored_id")
-    return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select("new_id", "stored_id")
+    """(new_id, stored_id): the newest stored record with the same e-mail or the same name.
+
+    Stored records are cut to the newest of each e-mail and of each name before two equi-joins on unique keys.
+    """
+    age = F.struct("created", (-F.col("stored_id")).alias("order"))  # the smaller id wins ties
+    newest = lambda c: stored.groupBy(F.lower(c).alias("k")).agg(F.max(age).alias("age"))
+    by_mail = new.join(newest("s_email"), F.lower(new["email"]) == F.col("k")).select("new_id", "age")
+    by_name = new.where("name <> 'unnamed candidate'").join(newest("s_name"), F.lower(new["name"]) == F.col("k")).select("new_id", "age")
+    return by_mail.unionByName(by_name).groupBy("new_id").agg((-F.max("age")["order"]).alias("stored_id"))
 
 
 def search(rows: DataFrame, query: str, text: Sequence[str], arrays: Sequence[str] = ()) -> DataFrame:

@@ -34,25 +34,39 @@ def query(sql: str | None = None):
 _PAIRS = f"""cs AS ({CANDIDATE_SKILLS}), js AS ({JOB_SKILLS}), c AS ({CANDIDATES}), j AS ({JOBS}),
 hits AS (SELECT candidate_id, job_id, count(*) FILTER (tier = 'required') AS r, count(*) FILTER (tier = 'preferred') AS p
   FROM cs JOIN js USING (skill) GROUP BY ALL),
-scored AS (SELECT candidate_id, job_id, round(least(100.0, greatest(0.0, 100 * (0.0 + 0.5 * (r / 8.0) + 0.15 * (p / 4.0)
-  + 0.15 * (CASE WHEN wanted <= 0 OR years >= wanted THEN 1.0 WHEN years > 0 THEN greatest(0.35, years / wanted) ELSE 0.30 END)
-  + 0.1 * (CASE WHEN nation = job_nation THEN 1.0 WHEN nation % 5 = job_nation % 5 THEN 0.85 ELSE 0.5 END)
-  + 0.1 * (CASE WHEN projects >= 2 THEN 1.0 WHEN projects = 1 THEN 0.75 ELSE 0.4 END)))), 4) AS score
-  FROM hits JOIN c USING (candidate_id) JOIN j USING (job_id))"""
+wants AS (SELECT job_id, count(*) FILTER (tier = 'required') AS nr, count(*) FILTER (tier = 'preferred') AS np FROM js GROUP BY 1),
+pairs AS (SELECT c.*, j.*, coalesce(r, 0) AS r, coalesce(p, 0) AS p, coalesce(nr, 0) AS nr, coalesce(np, 0) AS np
+  FROM c CROSS JOIN j LEFT JOIN hits USING (candidate_id, job_id) LEFT JOIN wants USING (job_id)),
+scored AS (SELECT candidate_id, job_id, round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100::DOUBLE * (0.0::DOUBLE + 0.5::DOUBLE * (r::DOUBLE / greatest(1, nr))
+  + 0.15::DOUBLE * (CASE WHEN np > 0 THEN p::DOUBLE / np WHEN r > 0 THEN 1.0 ELSE 0.5 END)::DOUBLE
+  + 0.15::DOUBLE * (CASE WHEN wanted <= 0 OR years >= wanted THEN 1.0 WHEN years > 0 THEN greatest(0.35::DOUBLE, years / wanted) ELSE 0.30 END)::DOUBLE
+  + 0.1::DOUBLE * (CASE WHEN nation = job_nation THEN 1.0 WHEN nation % 5 = job_nation % 5 THEN 0.85 ELSE 0.5 END)::DOUBLE
+  + 0.1::DOUBLE * (CASE WHEN projects >= 2 THEN 1.0 WHEN projects = 1 THEN 0.75 ELSE 0.4 END)::DOUBLE))), 1) AS score
+  FROM pairs)"""
+
+
+def _pairs(t: Tables) -> DataFrame:
+    """Every candidate beside every job, with the numbers of required and preferred skills wanted and held."""
+    ids = lambda condition: F.collect_set(F.when(condition, F.xxhash64("skill")))
+    held = t.candidate_skills.groupBy("candidate_id").agg(ids(F.lit(True)).alias("held"))
+    wants = t.job_skills.groupBy("job_id").agg(ids(F.col("tier") == "required").alias("req"), ids(F.col("tier") == "preferred").alias("pref"))
+    none = F.array().cast("array<long>")
+    many = t.candidates.join(held, "candidate_id", "left").withColumn("held", F.coalesce("held", none))
+    few = t.jobs.join(wants, "job_id", "left").withColumn("req", F.coalesce("req", none)).withColumn("pref", F.coalesce("pref", none))
+    counts = {"r": F.size(F.array_intersect("req", "held")), "p": F.size(F.array_intersect("pref", "held")), "nr": F.size("req"), "np": F.size("pref")}
+    return match.all_pairs(many, few).withColumns(counts).drop("held", "req", "pref")
 
 
 def _scored(t: Tables) -> DataFrame:
-    hits = skills.overlap(t.candidate_skills, t.job_skills.select("job_id", "skill", "tier"))
-    rows = hits.join(t.candidates, "candidate_id").join(t.jobs, "job_id")
-    nation, wanted = F.col("nation"), F.col("job_nation")
+    nation, wanted, r = F.col("nation"), F.col("job_nation"), F.col("r")
     parts = {
-        "required": F.col("required_hits") / 8.0,
-        "preferred": F.col("preferred_hits") / 4.0,
+        "required": r / F.greatest(F.lit(1), F.col("nr")),
+        "preferred": match.preferred_part(F.col("p"), F.col("np"), r),
         "experience": match.experience_part(F.col("years"), F.col("wanted")),
         "education": F.when(nation == wanted, 1.0).when(nation % 5 == wanted % 5, 0.85).otherwise(0.5),
         "projects": F.when(F.col("projects") >= 2, 1.0).when(F.col("projects") == 1, 0.75).otherwise(0.4),
     }
-    return rows.select("candidate_id", "job_id", match.match_score(parts).alias("score"))
+    return _pairs(t).select("candidate_id", "job_id", match.match_score(parts).alias("score"))
 
 
 @query(f"WITH {_PAIRS} SELECT job_id, candidate_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM scored) WHERE rank <= 10")
@@ -66,12 +80,39 @@ def jobs_for_candidate_topk(t):
     return match.ranked(_scored(t), "candidate_id", "job_id", 5).select("job_id", "candidate_id", "score", "rank")
 
 
-_BANDS = "CASE WHEN score >= 80 THEN 'Excellent Fit' WHEN score >= 65 THEN 'Strong Fit' WHEN score >= 50 THEN 'Moderate Fit' WHEN score >= 35 THEN 'Partial Fit' ELSE 'Low Fit' END"
+_BANDS = "CASE WHEN score >= 80 THEN 'Strong Match' WHEN score >= 65 THEN 'Potential Candidate' WHEN score >= 50 THEN 'Moderate Match' WHEN score >= 35 THEN 'Needs Skill Development' ELSE 'Not Currently Suitable' END"
 
 
 @query(f"WITH {_PAIRS} SELECT {_BANDS} AS label, count(*) AS n FROM scored GROUP BY 1")
 def fit_labels(t):
-    return _scored(t).groupBy(labels.banded(F.col("score"), labels.FIT_BANDS, "Low Fit").alias("label")).agg(F.count("*").alias("n"))
+    return _scored(t).groupBy(labels.banded(F.col("score"), labels.FIT_BANDS, labels.FIT_BELOW).alias("label")).agg(F.count("*").alias("n"))
+
+
+_JD = f"""{_PAIRS},
+parts AS (SELECT candidate_id, job_id, r + p AS matched, nr + np - r - p AS missing, CASE WHEN nr + np = 0 THEN 100.0 ELSE 100.0::DOUBLE * (r + 0.5::DOUBLE * p) / (nr + 0.5::DOUBLE * np) END::DOUBLE AS skill,
+  CASE WHEN wanted > 0 THEN least(100.0::DOUBLE, 100.0::DOUBLE * years / wanted) END AS exp, CASE WHEN job_nation % 2 = 0 THEN CASE WHEN projects > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END END AS edu FROM pairs),
+jd AS (SELECT *, CASE WHEN matched = 0 THEN 0.0::DOUBLE ELSE round((skill * 0.7::DOUBLE + coalesce(exp * 0.2::DOUBLE, 0) + coalesce(edu * 0.1::DOUBLE, 0))
+  / (0.7::DOUBLE + CASE WHEN exp IS NULL THEN 0.0 ELSE 0.2 END::DOUBLE + CASE WHEN edu IS NULL THEN 0.0 ELSE 0.1 END::DOUBLE), 1) END AS score, round(skill, 1) AS skill_pct FROM parts),
+k AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank,
+  CASE WHEN matched = 0 OR score = 0 THEN 'No Match' WHEN score >= 80 THEN 'Strong Match' WHEN score >= 60 THEN 'Good Match' WHEN score >= 30 THEN 'Partial Match' ELSE 'Low Match' END AS label FROM jd)"""
+
+
+@query(f"""WITH {_JD} SELECT job_id, candidate_id, rank, score, label, CASE WHEN matched = 0 THEN '#' || rank || ': no matched skill'
+  WHEN rank = 1 THEN '#1: best fit, ' || score || ' % (' || label || '), skills ' || skill_pct || ' %' WHEN rank <= 3 THEN '#' || rank || ': ' || label || ', skills ' || skill_pct || ' %, ' || missing || ' open'
+  ELSE '#' || rank || ': ' || label || ', ' || missing || ' open' END AS reason FROM k WHERE rank <= 5""")
+def jd_leaderboard(t):
+    """The five best candidates for every job description, with band and reason; parts that a description lacks do not count."""
+    matched, wanted = F.col("r") + F.col("p"), F.col("nr") + F.col("np")
+    parts = {
+        "skills": F.when(wanted == 0, 100.0).otherwise(100.0 * (F.col("r") + 0.5 * F.col("p")) / (F.col("nr") + 0.5 * F.col("np"))),
+        "experience": F.when(F.col("wanted") > 0, F.least(F.lit(100.0), 100.0 * F.col("years") / F.col("wanted"))),
+        "education": F.when(F.col("job_nation") % 2 == 0, F.when(F.col("projects") > 0, 100.0).otherwise(0.0)),
+    }
+    score = F.when(matched == 0, 0.0).otherwise(F.round(match.present_mean(parts, match.JD_WEIGHTS), 1))
+    rows = _pairs(t).select("job_id", "candidate_id", matched.alias("matched"), (wanted - matched).alias("missing"), F.round(parts["skills"], 1).alias("skill_pct"), score.alias("score"))
+    top = match.ranked(rows, "job_id", "candidate_id", 5).withColumn("label", labels.jd_label(F.col("score"), F.col("matched")))
+    reason = match.rank_reason(F.col("rank"), F.col("matched"), F.col("missing"), F.col("score"), F.col("skill_pct"), F.col("label"))
+    return top.select("job_id", "candidate_id", "rank", "score", "label", reason.alias("reason"))
 
 
 _GAP = f"""WITH cs AS (SELECT candidate_id, list(skill) AS held FROM ({CANDIDATE_SKILLS}) GROUP BY 1),
@@ -368,7 +409,7 @@ def latest_status(t):
     return records.latest(t.events, "user_id", ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT o_custkey, greatest(1, round(days / 30.44)::INT) AS months, round(greatest(1, round(days / 30.44)::INT) / 12.0, 2) AS years FROM (SELECT o_custkey, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days FROM orders GROUP BY 1)")
+@query("SELECT o_custkey, greatest(1, round_even(days / 30.44, 0)::INT) AS months, round_even(greatest(1, round_even(days / 30.44, 0)::INT) / 12.0::DOUBLE, 2) AS years FROM (SELECT o_custkey, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days FROM orders GROUP BY 1)")
 def date_durations(t):
     span = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
     months = dates.months_between_days(F.col("a"), F.col("b"))
