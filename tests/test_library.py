@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import dates, labels, text
 from tessella.operators import audit, match, metrics, records, skills
-from tessella.plans import registry
+from tessella.plans import registry, talent  # noqa: F401  talent registers its queries
 from tessella.sources import io
 from tessella.streaming import funnel
 
@@ -35,7 +35,7 @@ def test_text_helpers(spark):
 
 
 def test_labels_and_dates(spark):
-    assert one(spark, labels.banded(F.lit(65.0), labels.FIT_BANDS, "Low Fit")) == "Strong Fit"
+    assert one(spark, labels.banded(F.lit(65.0), labels.FIT_BANDS, labels.FIT_BELOW)) == "Potential Candidate"
     assert one(spark, labels.first_match(F.lit("lead dev"), (("lead", "Lead"), ("dev", "Dev")), "?")) == "Lead"
     assert one(spark, labels.all_matches(F.lit("zzz"), (("a", "A"),), "none")) == ["none"]
     start, end = F.lit("2020-01-01").cast("date"), F.lit("2021-03-01").cast("date")
