@@ -46,7 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, their number, and whether decoding gives the text back."""
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(VOCABULARY))
-    coded = bpe.code_texts(docs, vocabulary, public_tokenizers.PATTERN)
+    coded = bpe.code_texts(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 

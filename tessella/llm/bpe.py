@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from .shared import id_type
-from .words import release
+from .words import release, slices
 
 #: Ids that the decoder turns into bytes at once.
 DECODE_IDS = 4096
@@ -214,7 +214,7 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self.bpe = BpeTransducer(read_ranks(raw))
         # chunks seen lately, in two generations so that frequent ones stay
-        self.max_chunks, self.young, self.old = 300_000, {}, {}
+        self.max_chunks, self.young, self.old = 200_000, {}, {}
 
     @classmethod
     def of(cls, vocabulary, pattern: str) -> "Tokenizer":
@@ -318,14 +318,15 @@ def decode_ids(docs: DataFrame, vocabulary, pattern: str, ids: str = "ids") -> D
     return docs.withColumn("decoded", F.arrow_udf(decode, "string")(ids))
 
 
-def _per_task(vocabulary, pattern: str, code):
+def _per_task(vocabulary, pattern: str, code, text: str = "text"):
     """A function of batches that codes each with a tokenizer and forgets what the task has cached at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.of(vocabulary, pattern)
         try:
             for batch in batches:
-                yield code(tokenizer, batch)
+                for part in slices(batch, text):
+                    yield code(tokenizer, part)
         finally:
             tokenizer.forget()
             release()
@@ -344,7 +345,7 @@ def code_texts(docs: DataFrame, vocabulary, pattern: str, text: str = "text") ->
 
     plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {"ids", "round_trip"}])
     schema = StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
-    return plain.mapInArrow(_per_task(vocabulary, pattern, code), schema)
+    return plain.mapInArrow(_per_task(vocabulary, pattern, code, text), schema)
 
 
 def _each(column: pa.Array) -> Iterator:
