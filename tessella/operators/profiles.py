@@ -47,6 +47,35 @@ def merge_sources(first: DataFrame, second: DataFrame, key: str, fields: Mapping
     return first.join(s, key, "left").select(key, *merged, *tallies).withColumn("rejected", F.col("proposed") - F.col("accepted"))
 
 
+def record_differences(first: DataFrame, second: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, differing): the fields in which the two records of a key differ; a value and a null differ, two nulls do not."""
+    s = second.select(key, *[F.col(c).alias(f"s_{c}") for c in fields])
+    differing = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"s_{c}")), F.lit(c)) for c in fields]))
+    return first.join(s, key).select(key, differing.alias("differing"))
+
+
+def experience_rollup(rows: DataFrame, key: str) -> DataFrame:
+    """Years of rows (key, kind, months, stated) by key, and a text.
+
+    An internship without months counts one; full-time years are the stated ones, else the sum.
+    """
+    intern = F.col("kind") == "internship"
+    months = F.coalesce(F.nullif("months", F.lit(0)), F.when(intern, 1).otherwise(0))
+    years = F.bround(months / 12, 4)
+    of = lambda mine, c: F.sum(F.when(mine, c).otherwise(0))
+    sums = rows.groupBy(key).agg(
+        of(intern, months).alias("im"), of(~intern, months).alias("fm"), of(intern, years).alias("iy"), of(~intern, years).alias("fy"), F.coalesce(F.max("stated"), F.lit(0.0)).alias("stated")
+    )
+    full = F.round(F.when(F.col("stated") > 0, F.col("stated")).otherwise(F.col("fy")), 4).alias("full_time_years")
+    full_months = F.when(F.col("stated") > 0, F.bround(F.col("stated") * 12).cast("long")).otherwise(F.col("fm")).alias("fm")
+    sums = sums.select(key, "im", full_months, full, F.round("iy", 4).alias("internship_years"))
+    y, plural = F.col("full_time_years"), lambda c: F.concat(F.col(c).cast("string"), F.lit(" month"), F.when(F.col(c) == 1, "").otherwise("s"))
+    worked = F.when(y == 1, "1 year").when(y > 1, F.concat(F.bround(y, 1).cast("string"), F.lit(" years"))).when(F.col("fm") > 0, plural("fm")).otherwise("0 years")
+    learned = F.concat(plural("im"), F.lit(" internship"))
+    both = F.when((y > 0) & (F.col("im") > 0), F.concat(worked, F.lit(" (+ "), learned, F.lit(")"))).when(y > 0, worked).when(F.col("im") > 0, learned).otherwise("Fresher (0 years)")
+    return sums.select(key, "full_time_years", "internship_years", F.round(y + F.col("internship_years"), 4).alias("total_years"), both.alias("display"))
+
+
 def success_score(pillars: Sequence[Column], regressed: Column, chance: Column) -> Column:
     """Blend of a regressed score, a class probability and five weighted pillars, in 0 to 100."""
     mean = sum((w * p for w, p in zip(PILLARS, pillars, strict=True)), F.lit(0.0))

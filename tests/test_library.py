@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import dates, labels, text
 from tessella.operators import audit, match, metrics, records, skills
-from tessella.plans import registry, talent  # noqa: F401  talent registers its queries
+from tessella.plans import careers, registry, talent  # noqa: F401  careers and talent register their queries
 from tessella.sources import io
 from tessella.streaming import funnel
 
