@@ -37,6 +37,81 @@ def normalize_rows(rows: DataFrame, skill: str, aliases: DataFrame) -> DataFrame
     return keyed.join(aliases.select(F.col("alias").alias("__key"), "canonical"), "__key", "left").withColumn("skill_key", F.coalesce("canonical", "__key")).drop("__key", "canonical")
 
 
+# Trailing words that do not change a skill, words in capitals, and words of categories and kinds (the first that occurs).
+NOISE = r"\s+(?:development|integration|framework|library|basics|fundamentals|programming|language|tools?|skills?)$"
+ACRONYMS = ("sql", "html", "css", "api", "apis", "rest", "dsa", "oop", "sdlc", "aws", "gcp", "eda", "etl")
+CATEGORIES = (
+    ("language|script|c[+][+]|java|python|ruby|golang|rust|kotlin|swift|dart", "Programming Languages"),
+    ("css|html|react|vue|angular|frontend|ui|web|tailwind|bootstrap|framer|three", "Frontend Technologies"),
+    ("backend|django|flask|fastapi|spring|express|node|server|rails|laravel", "Backend Technologies"),
+    ("sql|mongo|database|postgres|redis|db|storage|dynamo|cassandra", "Databases & Storage"),
+    ("api|graphql|rest|soap|endpoint|grpc", "APIs & Web Services"),
+    ("aws|azure|gcp|cloud|vercel|render|netlify|heroku|digitalocean", "Cloud & Hosting"),
+    ("docker|kubernetes|ci/cd|devops|jenkins|linux|container|ansible|terraform", "DevOps & Infrastructure"),
+    ("auth|security|jwt|oauth|crypto", "Authentication & Security"),
+    ("figma|design|ux|wireframe|prototype|adobe|canva", "UI / UX Design"),
+    ("test|jest|playwright|selenium|cypress|qa|pytest", "Testing & QA"),
+    ("learning|nlp|vision|ai|pandas|numpy|data science|torch|tensor", "Data Science & AI"),
+    ("excel|power bi|tableau|bi|analytics|looker", "Business Intelligence"),
+    ("git|github|gitlab|bitbucket|jira|tool|postman|swagger|vscode|npm|yarn", "Development Tools"),
+    ("algorithm|structure|system design|oop|architecture|debugging", "Core Computer Science"),
+    ("communication|problem solving|collaboration|leadership|teamwork|agile|scrum|time management", "Soft Skills & Attributes"),
+    ("office|word|powerpoint|workspace", "Office Productivity"),
+)
+OTHER_CATEGORY = "Other Technical Skills"
+KINDS = (
+    ("database|sql|mongo|postgres|redis|storage", "database"),
+    ("tool|studio|git|postman|figma|excel|jupyter|airflow|dbt|docker|vscode|devtool", "tool"),
+    ("framework|react|vue|angular|django|flask|spring|express|flutter|spark", "framework"),
+    ("library|redux|pandas|numpy|torch|tensor|scikit|jest|cypress|motion|router", "library"),
+    ("cloud|aws|azure|gcp|vercel|netlify|render|hosting|platform", "platform"),
+    ("language|script|python|java|c[+][+]|c#|golang|ruby|rust|scala|kotlin|swift", "language"),
+)
+OTHER_KIND = "concept"
+
+
+def cleaned_skill(c: Column) -> Column:
+    """Lower case with plain quotes, without bullets, numbers, brackets and marks around it, spaces collapsed."""
+    low = F.translate(F.lower(F.coalesce(c, F.lit(""))), "’‘`´“”", "''''\"\"")
+    bare = F.regexp_replace(F.regexp_replace(low, r"^[\s*•\-–—+\d.)]+", ""), r"[()\[\]{}]", " ")
+    bare = F.regexp_replace(F.trim(bare), "^['\".,;:]+|['\".,;:]+$", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def spellings(s: Column) -> Column:
+    """Array of (form, key), in the order in which a cleaned skill is looked up; form is exact or packed (letters and digits only)."""
+    owner = lambda x, put: F.trim(F.regexp_replace(x, r"'s\b", put))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(s, "[-_/]", " "), r"\s+", " "))
+    many = s.endswith("s") & (F.length(s) > 3) & ~s.endswith("ss")
+    number = F.when(many, F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(F.concat(s, F.lit("s")))
+    short = F.trim(F.regexp_replace(s, NOISE, ""))
+    exact = lambda x: F.struct(F.lit("exact").alias("form"), x.alias("key"))
+    packed = lambda x: F.struct(F.lit("packed").alias("form"), F.regexp_replace(x, "[^a-z0-9]", "").alias("key"))
+    tried = [exact(s), exact(owner(s, "")), exact(owner(s, "s")), exact(F.replace(s, F.lit("'"), F.lit(""))), exact(spaced), exact(owner(spaced, ""))]
+    tried += [packed(s), packed(owner(s, "")), exact(number), packed(number), exact(short), exact(owner(short, ""))]
+    return F.filter(F.array(*tried), lambda x: x["key"] != "")
+
+
+def resolve_skills(rows: DataFrame, skill: str, aliases: DataFrame) -> DataFrame:
+    """Adds ``canonical`` by a vocabulary (alias, canonical) of any size: the first known spelling, else the cleaned skill.
+
+    Spellings of distinct skills are joined once, whatever their number; of aliases that look alike the smallest canonical counts.
+    """
+    exact = aliases.select(F.lit("exact").alias("form"), F.lower("alias").alias("key"), F.col("canonical").alias("found"))
+    known = exact.unionAll(exact.select(F.lit("packed"), F.regexp_replace("key", "[^a-z0-9]", ""), "found")).groupBy("form", "key").agg(F.min("found").alias("found"))
+    clean = rows.select(cleaned_skill(F.col(skill)).alias("clean")).distinct()
+    tried = clean.select("clean", F.posexplode(spellings(F.col("clean"))).alias("place", "s")).select("clean", "place", "s.form", "s.key")
+    best = tried.join(known, ["form", "key"]).groupBy("clean").agg(F.min_by("found", "place").alias("found"))
+    joined = rows.withColumn("clean", cleaned_skill(F.col(skill))).join(best, "clean", "left")
+    return joined.withColumn("canonical", F.coalesce("found", "clean")).drop("clean", "found")
+
+
+def display_name(canonical: Column) -> Column:
+    """A canonical skill as it is shown: acronyms in capitals, other words with a capital."""
+    words = F.filter(F.split(F.translate(canonical, "_", " "), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.initcap(w))), " ")
+
+
 def overlap(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
     """(candidate_id, job_id, required_hits, preferred_hits) of pairs that share a skill.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import careers, rules
-from tessella.operators import profiles
+from tessella.functions import careers, labels, postings, rules
+from tessella.operators import profiles, skills
 from tessella.plans.bindings import CANDIDATES
 from tessella.plans.registry import query
 
@@ -162,3 +162,42 @@ def model_targets(t):
     ready = careers.readiness_target(4 * nation, F.col("projects"), F.col("years"))
     pay = careers.salary_target(base, F.col("years"), F.col("projects"), school)
     return t.candidates.select("candidate_id", F.round(ready, 4).alias("readiness"), F.round(pay, 4).alias("salary"))
+
+
+_ASKS = ("'Experience: ' || n || ' years and 6 months'", "'needs ' || n || '-' || (n + 2) || ' yrs'", "n || ' to ' || (n + 3) || ' months of work'", "n || '+ months'", "n || ' years of work' || chr(10) || 'Required experience - two years'", "'twelve months, Bachelor''s'", "'none'")
+
+
+@query("""SELECT p_partkey, CASE k WHEN 0 THEN n + 0.5 WHEN 1 THEN n WHEN 2 THEN round_even(n / 12.0::DOUBLE, 4) WHEN 3 THEN round_even(n / 12.0::DOUBLE, 4) WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END::DOUBLE AS years,
+  CASE k WHEN 0 THEN n || '.5 years' WHEN 1 THEN n || '-' || (n + 2) || ' years' WHEN 2 THEN n || '-' || (n + 3) || ' months' WHEN 3 THEN n || '+ month' || CASE WHEN n = 1 THEN '' ELSE 's' END WHEN 4 THEN '2 years' WHEN 5 THEN '12 months' ELSE 'Not specified' END AS display,
+  CASE WHEN k = 5 THEN 'Bachelor''s Degree' ELSE 'Not specified in JD' END AS education FROM (SELECT p_partkey, p_partkey % 7 AS k, p_size AS n FROM part)""")
+def posting_requirements(t):
+    """Experience and degree that descriptions ask for; the texts are made of the parts' sizes."""
+    said = F.element_at(F.array(*[F.expr(x.replace("chr(10)", "char(10)").replace("''", "\\'")) for x in _ASKS]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    rows = t.part.select("p_partkey", F.col("p_size").alias("n")).withColumn("said", said)
+    return rows.withColumn("x", postings.experience_asked(F.col("said"))).select("p_partkey", "x.*", postings.education_asked(F.col("said")).alias("education"))
+
+
+@query(f"""WITH v AS (SELECT p_partkey, p_partkey % 6 AS k, lower(p_name) AS name FROM part), p AS (SELECT regexp_replace(name, '[^a-z0-9]', '', 'g') AS packed, min('k_' || name) AS found FROM v GROUP BY 1)
+SELECT p_partkey, CASE WHEN k = 5 THEN 'zz ' || name WHEN k = 3 THEN found WHEN k = 4 AND right(name, 1) = 's' THEN name || 's' ELSE 'k_' || name END AS canonical
+FROM v JOIN p ON packed = regexp_replace(name, '[^a-z0-9]', '', 'g')""")
+def resolved_skills(t):
+    """Part names in six spellings, resolved by a vocabulary of all names."""
+    name, k = F.lower("p_name"), F.col("p_partkey") % 6
+    raw = F.when(k == 0, F.concat(F.lit("• "), F.upper("p_name"), F.lit("’s"))).when(k == 1, F.concat(F.lit("2. ("), name, F.lit(")"))).when(k == 2, F.concat(name, F.lit(" Basics")))
+    raw = raw.when(k == 3, F.regexp_replace(name, "[^a-z0-9]", "")).when(k == 4, F.concat(name, F.lit("s"))).otherwise(F.concat(F.lit("zz "), name))
+    aliases = t.part.select(name.alias("alias"), F.concat(F.lit("k_"), name).alias("canonical")).distinct()
+    return skills.resolve_skills(t.part.select("p_partkey", raw.alias("raw")), "raw", aliases).select("p_partkey", "canonical")
+
+
+def _first(rules_, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}'" for p, n in rules_) + f" ELSE '{default}' END"
+
+
+_NAMES = ("Python ", "html5 ", "Node server ", "PostgreSQL ", "gRPC ", "Azure ", "Jenkins ", "OAuth ", "Figma ", "pytest ", "Excel ", "Jira ", "scikit ", "powerpoint ", "")
+
+
+@query(f"SELECT p_partkey, {_first(skills.CATEGORIES, skills.OTHER_CATEGORY)} AS category, {_first(skills.KINDS, skills.OTHER_KIND)} AS kind FROM (SELECT p_partkey, lower({_sql_list(_NAMES)}[1 + p_partkey % 15] || p_brand) AS s FROM part)")
+def skill_categories(t):
+    """Category and kind of names by the words in them."""
+    name = F.lower(F.concat(_pick(_NAMES, F.col("p_partkey") % 15), F.col("p_brand")))
+    return t.part.select("p_partkey", labels.first_match(name, skills.CATEGORIES, skills.OTHER_CATEGORY).alias("category"), labels.first_match(name, skills.KINDS, skills.OTHER_KIND).alias("kind"))

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tessella.functions import dates, labels, rules
-from tessella.operators import audit, match, metrics, records
+from tessella.functions import careers, dates, labels, postings, rules
+from tessella.operators import audit, match, metrics, records, skills
 
 
 def one(spark, column):
@@ -72,3 +72,48 @@ def test_resolve_takes_the_newest(spark):
     stored = spark.createDataFrame([(1, "a@x", "N", 1), (2, "A@x", "M", 3), (3, "b@x", "N", 3), (4, "a@x", "O", 3)], "stored_id int, s_email string, s_name string, created int")
     new = spark.createDataFrame([(9, "a@X", "n"), (8, "z", "unnamed candidate"), (7, "z", "n")], "new_id int, email string, name string")
     assert sorted(tuple(r) for r in records.resolve(new, stored).collect()) == [(7, 3), (9, 2)]
+
+
+def test_titles_evidence_and_status(spark):
+    title = lambda s: tuple(one(spark, careers.title_role(F.lit(s))))
+    assert title("Sr. Back-End dev")[0::3] == ("Backend Developer", 0.9) and title("Sales engineer")[0::3] == ("Software Engineer", 0.7)
+    assert title(" Baker ")[0::3] == ("Baker", 0.5) and title(None)[0] == ""
+    seen = lambda skill, said, where: tuple(one(spark, careers.skill_evidence(F.lit(skill), F.lit(said), F.lit(where))))
+    assert seen("C++", "never used c++ at work", "Skills") == ("NEGATED_MENTION", False)
+    assert seen("Java", "never used JavaScript", "Skills") == ("EXPLICIT_SKILL", True)
+    assert seen("Java", "x" * 80, None) == ("CONTEXTUAL_MENTION", False) and seen(None, None, None) == ("EXPLICIT_SKILL", True)
+    status = lambda a, b, s: one(spark, careers.employment_status(F.lit(a), F.lit(b), F.lit(s)))
+    assert [status(1, 1, ""), status(0, 2, ""), status(0, 0, "Final year"), status(0, 0, None)] == ["Experienced", "Fresher with Internship Experience", "Student / Fresher", "Not specified"]
+
+
+def test_calendar_durations(spark):
+    def took(a, b, said=None):
+        return one(spark, careers.calendar_duration(F.lit(a).cast("date"), F.lit(b).cast("date"), F.lit(said).cast("string")))
+
+    assert [took("2024-01-01", x) for x in ("2024-01-01", "2024-01-02", "2024-01-31", "2024-02-01")] == ["0 days", "1 day", "1 month", "1 month"]
+    assert [took("2024-01-31", "2024-03-01"), took("2024-01-01", "2024-03-28"), took("2024-01-01", "2024-03-11"), took("2022-05-10", "2024-05-12")] == ["1 month", "3 months", "2 months 10 days", "2 years"]
+    assert [took("2024-02-01", "2024-01-01"), took("2024-02-01", "2024-01-01", "a week"), took(None, None, "null")] == ["Duration not specified", "a week", "Duration not specified"]
+
+
+def test_unwrapped_items_and_links(spark):
+    items = lambda *x: one(spark, careers.unwrapped(F.array(*[F.lit(v) for v in x])))
+    assert items("Alpha", "goes on", "Beta and", "Gamma", " ", "Delta,", "Eps") == ["Alpha goes on", "Beta and Gamma", "Delta, Eps"]
+    assert one(spark, careers.unwrapped(F.lit(None).cast("array<string>"))) == []
+    fits = lambda p, u: one(spark, careers.valid_profile_url(F.lit(p), F.lit(u)))
+    assert fits("GitHub", "https://github.com/a") and not fits("github", "https://gitlab.com/a") and not fits("portfolio", None) and fits("portfolio", "http://a.org/b")
+
+
+def test_postings(spark):
+    asked = lambda s: tuple(one(spark, postings.experience_asked(F.lit(s))))
+    assert [asked("1 year and 6 months"), asked("2-4 years"), asked("6 to 12 months"), asked("six months"), asked("3+ yrs"), asked("any"), asked(None)] == [
+        (1.5, "1.5 years"), (2.0, "2-4 years"), (0.5, "6-12 months"), (0.5, "6 months"), (3.0, "3+ years"), (0.0, "Not specified"), (0.0, "Not specified")]
+    degree = lambda s: one(spark, postings.education_asked(F.lit(s)))
+    assert [degree("M.Tech or B.Tech"), degree("BCA"), degree(None)] == ["Master's Degree", "Bachelor's Degree", "Not specified in JD"]
+
+
+def test_skill_spellings(spark):
+    names = spark.createDataFrame([("rest api", "rest apis"), ("react", "react"), ("c++", "c++")], "alias string, canonical string")
+    raw = spark.createDataFrame([("• REST-API’s",), ("RestApi",), ("React framework",), ("(C++)",), ("reacts",), ("vim",), ("",), (None,)], "s string")
+    got = {r["s"]: r["canonical"] for r in skills.resolve_skills(raw, "s", names).collect()}
+    assert got == {"• REST-API’s": "rest apis", "RestApi": "rest apis", "React framework": "react", "(C++)": "c++", "reacts": "react", "vim": "vim", "": "", None: ""}
+    assert one(spark, skills.display_name(F.lit("rest apis and_more"))) == "REST APIS And More"
