@@ -463,3 +463,71 @@ def test_pipeline_stages(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.where("NOT round_trip").count() == 0 and 0 < got.count() <= spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "decontamination", "bpe"]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Lines, near copies, benchmark words and token ids of the whole run against plain Python, on documents with planted cases."""
+    import corpus_pipeline
+
+    own = [tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    bodies, shared = [prose(60) for _ in range(8)], "A line that is found in many of these documents, " + prose(4)
+    planted = [b for b in bodies for _ in range(2)] + [b.replace(" x", " y", 1) + " and one more" for b in bodies[:4]]
+    planted += [prose(45) + "\n" + shared + "\n" + prose(30) for _ in range(7)] + [prose(20) + " " + items[k] + ", " + prose(20) for k in (0, 1, 2)] + [None, "", "two words", "two words", "e" * 5000]
+    rows = own + [(100_000 + i, t, "en", "planted", len(t or "")) for i, t in enumerate(planted)]
+    spark.createDataFrame(rows, DOC).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for table in ("benchmark", "labels"):
+        spark.read.parquet(f"{SMALL}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(str(tmp_path / "labels.parquet")), holdout=False)
+    scored = toxicity.score_toxicity(docs, model).select("doc_id", "text", "flagged").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in scored if not r["flagged"]}
+    assert 0 < len(texts) < len(rows)
+
+    strip = lambda line: lower(re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line))
+    holders = {}
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            holders.setdefault(strip(line), set()).add(i)
+    gone = lambda i, line: len(strip(line)) >= 40 and len(holders[strip(line)]) >= 5 and i != max(holders[strip(line)])
+    texts = {i: "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in texts.items()}
+
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    best = {i: i for i in texts}
+
+    def root(i):
+        while best[i] != i:
+            i = best[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                best[high] = low
+    kept = {i: t for i, t in texts.items() if root(i) == i}
+    assert len(texts) - len(kept) >= 9  # the planted copies at least
+
+    found = lambda t: list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")))
+    windows = {}
+    for t in items:
+        w = [m[0] for m in found(t)]
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows.setdefault(min(10, len(w)), set()).add(tuple(w[k : k + 10]))
+    encoding = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(open(public_tokenizers.path(queries.VOCABULARY), "rb").read()), special_tokens={})
+    want, cut = {}, 0
+    for i, t in kept.items():
+        w = found(t)
+        hit = {k + j for n, known in windows.items() for k in range(len(w) - n + 1) if tuple(m[0] for m in w[k : k + n]) in known for j in range(n)}
+        cut += bool(hit)
+        for k in sorted(hit, reverse=True):
+            t = t[: w[k].start()] + t[w[k + 1].start() if k + 1 in hit else w[k].end() :]
+        want[i] = encoding.encode_ordinary(t)
+    assert cut >= 3
+    got = {r["doc_id"]: (r["ids"], r["n_tokens"], r["round_trip"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(want)
+    assert all(got[i] == (ids, len(ids), True) for i, ids in want.items())
