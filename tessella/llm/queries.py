@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontamination, line_dedup, lm, near_dedup, quality, substring_dedup, toxicity, url_filter
+from . import bpe, chat_format, decontamination, html_text, line_dedup, lm, near_dedup, negatives, quality, search, substring_dedup, toxicity, url_filter
 from .shared import bucket_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -72,6 +72,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return search.search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +100,9 @@ QUERIES = {
         op8_chat_format,
         op9_lm_score,
         op10_bpe,
+        op11_lexical_search,
+        op12_html_text,
+        op13_hard_negatives,
     )
 }
 
@@ -94,4 +112,6 @@ ORACLE_SQL = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op11_lexical_search": search.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
