@@ -156,9 +156,9 @@ def lines_of(page: str) -> tuple[list[Line], int]:
             if name in VOID:
                 continue
             top = stack[-1]
-            article = max(top.article, 2 if name == "article" else 1 if name == "main" else 0)
+            furniture = top.furniture or name in FURNITURE or name == HEADER and not top.article or name not in ("html", "body", "main") and _marked(attributes)
+            article = max(top.article, 0 if furniture else 2 if name == "article" else 1 if name == "main" else 0)
             strongest = max(strongest, article)
-            furniture = top.furniture or name in FURNITURE or name == HEADER and not article or name not in ("html", "body", "main") and _marked(attributes)
             stack.append(_Open(name, furniture, top.muted, article, top.link))
         elif name == "br":
             add(" ")
