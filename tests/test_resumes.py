@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import dates
-from tessella.operators import folds, headers, jobs, sections
+from tessella.operators import degrees, folds, headers, jobs, sections
 
 RESUME = """Ana Lopez
 x@y.z
@@ -129,3 +129,37 @@ def test_dates(spark):
     assert got == ["2019-03-04", "2019-03-04", "2019-03-04", "2019-03-01", "2019-03-01", "2019-04-17", "2019-04-17", "2019-01-01", "2024-01-01", None, "2019-01-01", None, None, "2019-09-01"]
     ranges = rows.limit(1).select(dates.date_ranges(F.lit("17 Apr 2019 – 18 May 2020, 06/2018 - 12/2021; 2019 to Present"))).first()[0]
     assert [tuple(r) for r in ranges] == [("17 Apr 2019", "18 May 2020"), ("06/2018", "12/2021"), ("2019", "Present")]
+
+
+def degrees_of(spark, text):
+    lines = sections.lines_of(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
+    found = degrees.merge_degrees(degrees.fold_degrees(degrees.degree_signals(lines, 2024, ("Computer Science", "Physics")), "id"), "id")
+    return [(r.degree, r.tier, r.major, r.institution, r.place, r.started, r.ended, r.score, r.score_kind, r.status) for r in found.orderBy("entry").collect()]
+
+
+def test_degrees_carry_state(spark):
+    text = """Hill College of Arts, Lisbon
+B.Sc. Computer Science
+2019 - 2022
+CGPA: 8.8
+HSC
+Green Matric School
+Percentage: 81
+SSLC 2017 completed
+79.5%
+B.S. 2020 - 2023
+M.Tech expected 2026
+State University"""
+    assert degrees_of(spark, text) == [
+        ("B.Sc.", degrees.DEGREE, "Computer Science", "Hill College of Arts", "Lisbon", 2019, 2022, "8.8", "CGPA", degrees.COMPLETED),  # B.S. is the same degree
+        ("Higher Secondary", degrees.HIGHER, None, "Green Matric School", None, None, None, "81%", "Percentage", None),
+        ("SSLC", degrees.SECONDARY, None, "Green Matric School", None, None, 2017, "79.5%", "Percentage", degrees.COMPLETED),  # the last school
+        ("M.Tech", degrees.DEGREE, None, "State University", None, None, 2026, None, None, degrees.PURSUING),
+    ]
+
+
+def test_degrees_institutions_wait_for_their_kind(spark):
+    assert [d[:4] for d in degrees_of(spark, "Green School\nB.Tech\nHill College\nSSLC\nClass X")] == [
+        ("B.Tech", degrees.DEGREE, None, "Hill College"), ("SSLC", degrees.SECONDARY, None, "Green School")]
+    assert degrees_of(spark, "no degree\nHill College") == degrees_of(spark, "") == []
+    assert [d[8:] for d in degrees_of(spark, "MBA 2015\nGPA 3.5\n70%\nPh.D. present")] == [("Percentage", None), (None, degrees.PURSUING)]
