@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import headers, jobs
+from tessella.operators import degrees, headers, jobs
 from tessella.plans.registry import _LINES, _lines, query
 
 # Fixed values of these bindings: the documents' words are invented, so headers go by the shape of a line.
@@ -125,3 +125,70 @@ def document_jobs(t):
     found = jobs.jobs(signals, "doc_id", F.lit(None).cast("date"))
     duties = F.sha2(F.array_join("duties", "|"), 256).alias("duties_sha256")
     return found.select("doc_id", "job", "first_line", "title", "employer", "place", "months", "duration", "internship", F.size("duties").cast("long").alias("n_duties"), duties)
+
+
+_DEGREE_SIGNALS = {
+    "degree": "CASE length(line) % 13 WHEN 0 THEN 'B.Sc.' WHEN 1 THEN 'B.S.' WHEN 2 THEN 'M.S.' WHEN 3 THEN 'HSC' WHEN 4 THEN 'SSLC' WHEN 5 THEN 'Bachelors' END",
+    "tier": f"CASE WHEN length(line) % 13 = 3 THEN '{degrees.HIGHER}' WHEN length(line) % 13 = 4 THEN '{degrees.SECONDARY}' WHEN length(line) % 13 < 6 THEN '{degrees.DEGREE}' END",
+    "major": "CASE WHEN length(line) % 5 = 0 THEN substring(line, 3, 5) END",
+    "institution": "CASE WHEN length(line) % 4 = 1 THEN substring(line, 1, 12) END",
+    "university": "CASE WHEN length(line) % 6 = 5 THEN substring(line, 2, 8) END",
+    "place": "CASE WHEN length(line) % 10 = 1 THEN substring(line, 4, 8) END",
+    "school": "length(line) % 8 = 1",
+    "started": "CASE WHEN length(line) % 5 = 2 THEN 1990 + CAST(length(line) % 20 AS INT) END",
+    "ended": "CASE WHEN length(line) % 3 = 1 THEN 2000 + CAST(length(line) % 20 AS INT) END",
+    "expected": "CASE WHEN length(line) % 17 = 2 THEN 2030 END",
+    "completed": "CASE WHEN length(line) % 7 = 3 THEN 2000 + CAST(length(line) % 9 AS INT) END",
+    "ranged": "false",
+    "pursues": "length(line) % 19 = 1",
+    "score": "CASE WHEN length(line) % 3 = 0 THEN CAST(length(line) % 100 AS VARCHAR(9)) END",
+    "score_kind": "CASE WHEN length(line) % 3 = 0 THEN CASE WHEN length(line) % 2 = 0 THEN 'Percentage' ELSE 'GPA' END END",
+}
+
+
+def _first_of(column: str) -> str:
+    return f"arg_min({column}, i) FILTER ({column} IS NOT NULL) AS {column}"
+
+
+@query(rf"""WITH RECURSIVE {_LINES},
+x AS MATERIALIZED (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i, {", ".join(f'{v} AS {k}' for k, v in _DEGREE_SIGNALS.items())} FROM lines),
+s AS (
+  SELECT doc_id, 0::BIGINT AS i, 0 AS n, false AS schools, 0::BIGINT AS held, 0::BIGINT AS waiting, false AS waiting_school, 0::BIGINT AS last_school, false AS done, 0::BIGINT AS given, false AS with_place, 'none' AS role, NULL::VARCHAR AS status FROM x WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, n, schools, CASE WHEN role = 'opens' OR fits THEN given ELSE held END,
+    CASE WHEN role = 'waits' THEN i WHEN role = 'opens' AND (named OR waits) THEN 0 ELSE waiting END, CASE WHEN role = 'waits' THEN school ELSE waiting_school END,
+    CASE WHEN role IN ('opens', 'waits') AND named AND school OR fits AND schools THEN i WHEN waits AND schools THEN waiting ELSE last_school END,
+    CASE WHEN role = 'opens' THEN completed IS NOT NULL ELSE done OR role IN ('fills', 'adds') AND completed IS NOT NULL END, given, waits OR named, role,
+    CASE WHEN role = 'opens' AND (pursues OR expected IS NOT NULL) THEN '{degrees.PURSUING}' WHEN role = 'opens' AND completed IS NOT NULL THEN '{degrees.COMPLETED}'
+      WHEN role IN ('fills', 'adds') AND NOT schools AND pursues THEN '{degrees.PURSUING}' WHEN role = 'adds' AND NOT done AND completed IS NOT NULL THEN '{degrees.COMPLETED}' END
+  FROM (
+    SELECT *, CASE WHEN role = 'opens' THEN CASE WHEN named THEN i WHEN waits THEN waiting WHEN schools AND last_school > 0 THEN last_school ELSE 0 END WHEN fits THEN i ELSE 0 END AS given
+    FROM (
+      SELECT *, role = 'opens' AND NOT named AND waiting > 0 AND waiting_school = schools AS waits, role = 'fills' AND (schools OR NOT school) AS fits
+      FROM (
+        SELECT x.*, s.n + (degree IS NOT NULL)::INT AS n, s.held, s.waiting, s.waiting_school, s.last_school, s.done, institution IS NOT NULL AS named,
+          CASE WHEN degree IS NOT NULL THEN tier <> '{degrees.DEGREE}' ELSE s.schools END AS schools,
+          CASE WHEN degree IS NOT NULL THEN 'opens' WHEN institution IS NOT NULL THEN CASE WHEN s.n > 0 AND s.held = 0 THEN 'fills' ELSE 'waits' END WHEN s.n > 0 THEN 'adds' ELSE 'none' END AS role
+        FROM s JOIN x ON x.doc_id = s.doc_id AND x.i = s.i + 1)))),
+r AS (SELECT x.* EXCLUDE (university, place), s.n, s.role, s.status, o.institution AS source,
+    coalesce(x.university, CASE WHEN s.role = 'opens' AND s.with_place AND NOT s.schools THEN o.university END) AS university, coalesce(x.place, CASE WHEN s.role = 'opens' AND s.with_place THEN o.place END) AS place
+  FROM s JOIN x USING (doc_id, i) LEFT JOIN x o ON o.doc_id = s.doc_id AND o.i = s.given WHERE s.n > 0 AND s.role <> 'waits'),
+g AS (SELECT doc_id, n, min(line_no) AS first_line, max(degree) AS degree, max(tier) AS tier, {_first_of('major')}, arg_max(source, i) FILTER (source IS NOT NULL) AS institution, {", ".join(map(_first_of, ("university", "place", "started", "ended", "expected", "completed")))},
+    coalesce(arg_max(score, i) FILTER (role = 'adds' AND score_kind = 'Percentage'), arg_min(score, i) FILTER (score IS NOT NULL)) AS score,
+    coalesce(arg_max(score_kind, i) FILTER (role = 'adds' AND score_kind = 'Percentage'), arg_min(score_kind, i) FILTER (score IS NOT NULL)) AS score_kind,
+    arg_max(status, i) FILTER (status IS NOT NULL) AS status, lower(replace(max(degree), '.', '')) AS letters FROM r GROUP BY doc_id, n),
+m AS (
+  SELECT doc_id, n, n AS head, [{{'n': n, 'letters': letters, 'tier': tier}}] AS heads FROM g WHERE n = 1
+  UNION ALL
+  SELECT doc_id, n, coalesce(hit, n), CASE WHEN hit IS NULL THEN list_append(heads, {{'n': n, 'letters': letters, 'tier': tier}}) ELSE heads END
+  FROM (SELECT g.doc_id, g.n, g.letters, g.tier, m.heads, list_filter(m.heads, lambda a: CASE WHEN g.tier <> '{degrees.DEGREE}' THEN a.tier = g.tier
+      ELSE a.letters = g.letters OR a.letters[1] = 'b' AND g.letters[1] = 'b' AND (contains(a.letters, g.letters) OR contains(g.letters, a.letters)) END)[1].n AS hit
+    FROM m JOIN g ON g.doc_id = m.doc_id AND g.n = m.n + 1)),
+j AS (SELECT g.*, g.n AS i, m.head FROM g JOIN m USING (doc_id, n))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY head))::INT AS entry, min(first_line) AS first_line, {", ".join(map(_first_of, ("degree", "tier", "major", "institution", "university", "place", "started", "ended", "expected", "completed", "score", "score_kind")))},
+  coalesce(max(status) FILTER (status = '{degrees.PURSUING}'), arg_min(status, i) FILTER (status IS NOT NULL)) AS status
+FROM j GROUP BY doc_id, head""")
+def document_degrees(t):
+    """Degrees out of the lines of every document, merged by tiers."""
+    signals = _lines(t).select("doc_id", "line_no", *[F.expr(v).alias(k) for k, v in _DEGREE_SIGNALS.items()])
+    return degrees.merge_degrees(degrees.fold_degrees(signals, "doc_id"), "doc_id")
