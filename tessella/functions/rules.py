@@ -30,30 +30,55 @@ def sentence_class(c: Column) -> Column:
     return F.when(any_of(ASPIRATION), "aspiration").when(any_of(NEGATED), "negated").when(any_of(LEARNING), "learning").otherwise("plain")
 
 
+# Names of sections that stand before skills.
+SECTION_NAMES = (
+    r"(?:languages?|programming\s+languages?|frontend|backend|databases?|cloud|tools?|platforms?|frameworks?|libraries|apis?|web\s+technologies?|skills?|technologies?|"
+    r"tools\s+&?\s*platforms?|cloud\s*/?\s*deployment|devops|testing|ui\s*/?\s*ux|soft\s+skills?|certifications?|other|additional|misc(?:ellaneous)?)"
+)
+LABEL_INSIDE, LABEL_BEFORE = rf"{SECTION_NAMES}\s*:", rf"^{SECTION_NAMES}\s*:?\s*"
+
+
 def atomic_skill(c: Column) -> Column:
-    """Whether a text names one skill: at most 80 characters, 7 words and one comma, no label, no verb of a sentence."""
+    """Whether a text names one skill: at most 80 characters, 7 words and one comma, no label, no section's name with nothing or a list after it, no verb of a sentence."""
     words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     commas = F.length(c) - F.length(F.translate(c, ",", ""))
-    low = F.lower(c)
-    return (F.length(c) > 0) & (F.length(c) <= 80) & (words <= 7) & (commas < 2) & ~c.rlike(r"\w+\s*:\s*\w") & ~low.rlike(NOT_A_SKILL)
+    rest = F.trim(F.regexp_replace(c, f"(?i){LABEL_BEFORE}", ""))
+    bare = c.rlike(f"(?i){LABEL_BEFORE}") & ((rest == "") | rest.contains(","))
+    return (F.length(c) > 0) & (F.length(c) <= 80) & (words <= 7) & (commas < 2) & ~c.rlike(r"\w+\s*:\s*\w") & ~bare & ~F.lower(c).rlike(NOT_A_SKILL)
 
 
 def atoms(c: Column) -> Column:
-    """The parts of a text cut at commas, slashes, semicolons and after a label, trimmed; only those that name one skill."""
-    parts = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\w+\s*:", ""), "[,;/]"), lambda x: F.trim(x))
-    return F.filter(parts, atomic_skill)
+    """The skills that a text lists: cut where a section's name and a colon stand, at commas and at slashes; only parts that name one skill."""
+
+    def tokens(part: Column) -> Column:
+        shorn = F.trim(F.regexp_replace(F.trim(part), f"(?i){LABEL_BEFORE}", ""))
+        items = F.filter(F.transform(F.split(shorn, ","), lambda x: F.trim(x)), lambda x: x != "")
+        halves = lambda x: F.filter(F.transform(F.split(x, "/"), lambda y: F.trim(y)), lambda y: y != "")
+        return F.flatten(F.transform(items, lambda x: F.when(F.size(halves(x)) > 1, halves(x)).otherwise(F.array(x))))
+
+    parts = F.split(F.coalesce(c, F.lit("")), f"(?i){LABEL_INSIDE}")
+    return F.filter(F.flatten(F.transform(parts, tokens)), atomic_skill)
+
+
+# Words by which a first line is an instruction, and marks that are stripped from its end.
+INSTRUCTS = ("summarize", "category", "critique", "rewrite", "skills", "extract", "resume")
 
 
 def instruction_body(c: Column, patterns: Sequence[str], default: str) -> Column:
-    """(instruction, body): an anchored pattern, else a short first line with ``?`` or ``:``, else the default and all."""
-    text = F.trim(F.coalesce(c, F.lit("")))
-    first = F.trim(F.substring_index(text, "\n", 1))
-    by_line = (F.length(first) < 120) & first.rlike("[?:]") & F.contains(text, F.lit("\n"))
-    rest = F.trim(F.substring(text, F.length(F.substring_index(text, "\n", 1)) + 2, F.length(text)))
+    """(instruction, body): an anchored pattern, else a first line under 120 characters that ends with ``?`` or ``:`` or
+    has a word of ``INSTRUCTS``, else the default and all.  Colons, dashes and spaces go from the instruction's end."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    text = strip(F.coalesce(c, F.lit("")))
+    head = F.substring_index(text, "\n", 1)
+    first = strip(head)
+    asks = first.rlike("[?:]$") | F.lower(first).rlike("|".join(INSTRUCTS))
+    by_line = F.contains(text, F.lit("\n")) & (F.length(first) < 120) & asks
     found = F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?is)^({p})", 1), F.lit("")) for p in patterns], F.lit(""))
-    return F.when(found != "", F.struct(F.trim(found).alias("instruction"), F.trim(F.substring(text, F.length(found) + 1, F.length(text))).alias("body"))).when(
-        by_line, F.struct(first.alias("instruction"), rest.alias("body"))
-    ).otherwise(F.struct(F.lit(default).alias("instruction"), text.alias("body")))
+
+    def pair(instruction: Column, used: Column) -> Column:
+        return F.struct(F.regexp_replace(strip(instruction), r"[:\-\s]+$", "").alias("instruction"), strip(F.substring(text, F.length(used) + 1, F.length(text))).alias("body"))
+
+    return F.when(found != "", pair(found, found)).when(by_line, pair(first, head)).otherwise(F.struct(F.lit(default).alias("instruction"), text.alias("body")))
 
 
 def proficiency(c: Column) -> Column:

@@ -124,5 +124,5 @@ def find_terms(lines: DataFrame, key: str, taxonomy: DataFrame, longest: int = 3
         return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     spread = rows.select(key, "line_no", F.explode(F.concat(*[grams(n) for n in range(1, longest + 1)])).alias("term"))
-    counted = spread.groupBy(key, "term").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"))
-    return counted.join(taxonomy.select("term", "skill").distinct(), "term").groupBy(key, "skill").agg(F.min("line_no").alias("first_line"), F.sum("n").alias("n"))
+    known = spread.join(taxonomy.select("term", "skill").distinct(), "term")  # first the join: most word sequences are no term
+    return known.groupBy(key, "skill").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import implications
+from tessella.functions import rules
+from tessella.operators import implications, skills
+from tessella.operators import master_skills as master_skills_ops
 from tessella.plans.bindings import CANDIDATE_SKILLS, JOB_SKILLS
 from tessella.plans.registry import Tables, query
 
@@ -81,3 +83,80 @@ def equivalent_matches(t):
     rows = found.select("candidate_id", "job_id", F.size("matched").cast("long").alias("n_matched"), F.size("missing").cast("long").alias("n_missing"), F.array_join("matched", ",").alias("matched"))
     order = implications.Window.partitionBy("candidate_id").orderBy(F.desc("n_matched"), "n_missing", "job_id")
     return rows.withColumn("place", F.row_number().over(order)).where("place <= 3").drop("place")
+
+
+# Profiles out of orders: what is listed, the technologies and texts of projects and jobs, a summary, certificates and raw text.
+_BOUGHT = """b AS (SELECT o_custkey AS candidate_id, o_orderkey, o_orderpriority AS p, list_sort(list(DISTINCT p_name)) AS names
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+
+
+def _profiles(t: Tables):
+    names = F.array_sort(F.collect_set("p_name")).alias("names")
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    b = lines.groupBy(F.col("o_custkey").alias("candidate_id"), "o_orderkey", F.col("o_orderpriority").alias("p")).agg(names)
+    key = F.col("o_orderkey").cast("string")
+    said = F.concat(F.lit("built with "), F.array_join("names", ", and "), F.lit("."))
+    listed = F.concat(F.lit("Tools: "), F.array_join(F.slice("names", 1, 2), ", "), F.lit(" Databases: "), F.array_join(F.slice("names", 3, 3), " / "))
+
+    def of(priority: str, value) -> F.Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("p") == priority, F.struct("o_orderkey", value.alias("v"))))), lambda x: x["v"])
+
+    project = F.struct(key.alias("name"), F.array(F.concat_ws("/", "names")).alias("technologies"), said.alias("text"))
+    job = F.struct(key.alias("company"), F.lit(None).cast("string").alias("title"), F.slice("names", 2, 1).alias("technologies"), said.alias("text"))
+    wide = b.groupBy("candidate_id").agg(
+        F.create_map(F.lit("all"), of("5-LOW", listed)).alias("skills"), of("1-URGENT", project).alias("projects"), of("2-HIGH", job).alias("experience"),
+        F.array_join(of("4-NOT SPECIFIED", said), " ").alias("raw_text"), of("3-MEDIUM", F.element_at("names", 1)).alias("certifications"))
+    return wide.join(t.customer, F.col("candidate_id") == F.col("c_custkey")).select("candidate_id", "skills", "projects", "experience", F.concat(F.lit("I know the "), F.lower("c_mktsegment")).alias("summary"), "certifications", "raw_text")
+
+
+_SPLIT = rules.LABEL_INSIDE.replace("'", "''")
+_BEFORE = rules.LABEL_BEFORE.replace("'", "''")
+_NAMES = "SELECT DISTINCT p_name AS alias, upper(p_name) AS canonical FROM part UNION SELECT DISTINCT lower(c_mktsegment), lower(c_mktsegment) FROM customer"
+_MASTER = rf"""{_BOUGHT},
+m AS (
+  SELECT candidate_id, 1 AS part, o_orderkey, 0 AS sub, 'EXPLICIT_SKILL' AS source, 'Listed under all' AS evidence, 'Tools: ' || array_to_string(names[1:2], ', ') || ' Databases: ' || array_to_string(names[3:5], ' / ') AS said FROM b WHERE p = '5-LOW'
+  UNION ALL SELECT candidate_id, 2, o_orderkey, 0, 'PROJECT_TECHNOLOGY', 'Used in ' || o_orderkey || ': ' || array_to_string(names, '/'), array_to_string(names, '/') FROM b WHERE p = '1-URGENT'
+  UNION ALL SELECT candidate_id, 2, o_orderkey, 1, 'PROJECT_EVIDENCE', 'Shown in ' || o_orderkey, 'built with ' || array_to_string(names, ', and ') || '.' FROM b WHERE p = '1-URGENT'
+  UNION ALL SELECT candidate_id, 3, o_orderkey, 0, 'EXPERIENCE_TECHNOLOGY', 'Used at ' || o_orderkey || ': ' || names[2], names[2] FROM b WHERE p = '2-HIGH' AND len(names) > 1
+  UNION ALL SELECT candidate_id, 3, o_orderkey, 1, 'EXPERIENCE_EVIDENCE', 'Shown at ' || o_orderkey, 'built with ' || array_to_string(names, ', and ') || '.' FROM b WHERE p = '2-HIGH'
+  UNION ALL SELECT DISTINCT candidate_id, 4, 0, 0, 'SUMMARY_EVIDENCE', 'Mentioned in the summary', 'I know the ' || lower(c_mktsegment) FROM b JOIN customer ON c_custkey = candidate_id
+  UNION ALL SELECT candidate_id, 5, o_orderkey, 0, 'CERTIFICATION_EVIDENCE', 'Certified in ' || names[1], names[1] FROM b WHERE p = '3-MEDIUM'
+  UNION ALL SELECT candidate_id, 6, 0, 0, 'RAW_TEXT_EVIDENCE', 'Found in the text', string_agg('built with ' || array_to_string(names, ', and ') || '.', ' ' ORDER BY o_orderkey) FROM b WHERE p = '4-NOT SPECIFIED' GROUP BY 1),
+seq AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY part, o_orderkey, sub) AS seq FROM m),
+parts AS (SELECT *, trim(regexp_replace(trim(unnest(regexp_split_to_array(said, '(?i){_SPLIT}')), ' '), '(?i){_BEFORE}', ''), ' ') AS x FROM seq WHERE source IN ('EXPLICIT_SKILL', 'PROJECT_TECHNOLOGY', 'EXPERIENCE_TECHNOLOGY')),
+items AS (SELECT *, trim(unnest(string_split(x, ',')), ' ') AS item FROM parts),
+tokens AS (SELECT *, trim(unnest(string_split(item, '/')), ' ') AS token FROM items WHERE item <> ''),
+al AS ({_NAMES}),
+listed AS (SELECT candidate_id, seq, source, evidence, token, canonical FROM tokens JOIN al ON alias = lower(token)
+  WHERE token <> '' AND NOT regexp_matches(lower(token), '{rules.NOT_A_SKILL}')),
+found AS (SELECT candidate_id, seq, source, evidence, canonical AS token, canonical FROM seq JOIN al
+  ON regexp_matches(' ' || lower(said) || ' ', '[^a-z0-9+#]' || alias || '[^a-z0-9+#]') WHERE source NOT IN ('EXPLICIT_SKILL', 'PROJECT_TECHNOLOGY', 'EXPERIENCE_TECHNOLOGY')),
+every AS (SELECT *, CASE source {' '.join(f"WHEN '{k}' THEN {v}" for k, v in master_skills_ops.PRIORITY.items())} END AS w FROM (SELECT * FROM listed UNION ALL SELECT * FROM found)),
+best AS (SELECT candidate_id, lower(canonical) AS skill, arg_min(token, seq) AS name, arg_max(source, w * 1000000 - seq) AS source, arg_max(evidence, w * 1000000 - seq) AS evidence FROM every GROUP BY 1, 2),
+cats AS (SELECT p_name AS skill, min(p_brand) AS category FROM part GROUP BY 1 HAVING min(p_size) % 2 = 0)"""
+
+
+def _master(t: Tables):
+    names = t.part.select(F.col("p_name").alias("alias"), F.upper("p_name").alias("canonical")).unionByName(t.customer.select(F.lower("c_mktsegment").alias("alias"), F.lower("c_mktsegment").alias("canonical"))).distinct()
+    exact = t.part.groupBy(F.col("p_name").alias("skill")).agg(F.min("p_brand").alias("category"), F.min("p_size").alias("s")).where("s % 2 = 0").select("skill", "category")
+    return master_skills_ops.master_skills(_profiles(t), names, exact)
+
+
+_WORDS = "CASE " + " ".join(f"WHEN regexp_matches(skill, '{p}') THEN '{n}'" for p, n in skills.CATEGORIES) + f" ELSE '{skills.OTHER_CATEGORY}' END"
+
+
+@query(f"WITH {_MASTER} SELECT candidate_id, skill, name, coalesce(category, {_WORDS}) AS category, source, evidence FROM best LEFT JOIN cats USING (skill)")
+def master_skills(t):
+    """Every skill of every profile under its best evidence, out of six sources."""
+    return _master(t)
+
+
+@query(f"""WITH {_MASTER}, h AS (SELECT candidate_id, coalesce(category, {_WORDS}) AS category, skill FROM best LEFT JOIN cats USING (skill)),
+fixed AS (SELECT unnest(range({len(master_skills_ops.CATEGORY_ORDER)})) AS place, unnest([{', '.join(f"'{c}'" for c in master_skills_ops.CATEGORY_ORDER)}]) AS category),
+more AS (SELECT candidate_id, category, {len(master_skills_ops.CATEGORY_ORDER)} - 1 + row_number() OVER (PARTITION BY candidate_id ORDER BY category) AS place FROM (SELECT DISTINCT candidate_id, category FROM h) ANTI JOIN fixed USING (category)),
+slots AS (SELECT candidate_id, place, category FROM (SELECT DISTINCT candidate_id FROM h), fixed UNION ALL SELECT candidate_id, place, category FROM more)
+SELECT s.candidate_id, s.place::INT AS place, s.category, coalesce(string_agg(skill, ',' ORDER BY skill), '') AS skills FROM slots s LEFT JOIN h ON h.candidate_id = s.candidate_id AND h.category = s.category GROUP BY ALL""")
+def skill_matrix(t):
+    """Skills of every candidate by category in the fixed order, with the categories that have none."""
+    rows = master_skills_ops.skill_matrix(_master(t))
+    return rows.select("candidate_id", "place", "category", F.array_join("skills", ",").alias("skills"))

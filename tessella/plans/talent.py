@@ -17,19 +17,21 @@ def null_fill(t):
     return t.conversations.select("conv_id", "turn", F.trim(F.coalesce("role", F.lit("user"))).alias("role"), filled.alias("text_sha256"))
 
 
-# Fixed values of this binding.
-_ASKS = "(please )?(summari[sz]e|rewrite|extract)[^\\n:]*[:\\n]?"
-_SPLIT = f"""SELECT conv_id, turn, CASE WHEN f <> '' THEN trim(f, ' ') WHEN by_line THEN trim(line, ' ') ELSE 'Read this.' END AS instruction,
-  sha256(CASE WHEN f <> '' THEN trim(substr(x, length(f) + 1), ' ') WHEN by_line THEN trim(substr(x, length(line) + 2), ' ') ELSE x END) AS body_sha256
-FROM (SELECT *, regexp_extract(x, '^({_ASKS})', 1, 'is') AS f, length(trim(line, ' ')) < 120 AND regexp_matches(trim(line, ' '), '[?:]') AND contains(x, chr(10)) AS by_line
-  FROM (SELECT *, string_split(x, chr(10))[1] AS line FROM (SELECT conv_id, turn, trim(coalesce(text, ''), ' ') AS x FROM conversations WHERE role = 'user')))"""
+# Fixed values of this binding: openings of the invented prose; the first line's full stop becomes a question mark.
+_ASKS = "(?:the|of|la|le|der|en) [a-z]+,?"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_SPLIT = rf"""WITH x AS (SELECT doc_id, {_STRIP.format("replace(text, '.' || chr(10), '?' || chr(10))")} AS x FROM documents),
+h AS (SELECT *, string_split(x, chr(10))[1] AS head, regexp_extract(x, '^({_ASKS})', 1, 'is') AS f FROM x),
+l AS (SELECT *, {_STRIP.format('head')} AS line FROM h),
+w AS (SELECT *, contains(x, chr(10)) AND length(line) < 120 AND (regexp_matches(line, '[?:]$') OR regexp_matches(lower(line), '{"|".join(rules.INSTRUCTS)}')) AS by_line FROM l)
+SELECT doc_id, CASE WHEN f <> '' OR by_line THEN regexp_replace({_STRIP.format("CASE WHEN f <> '' THEN f ELSE line END")}, '[:\-\s]+$', '') ELSE 'Read this.' END AS instruction,
+  sha256(CASE WHEN f <> '' THEN {_STRIP.format("substr(x, length(f) + 1)")} WHEN by_line THEN {_STRIP.format("substr(x, length(head) + 1)")} ELSE x END) AS body_sha256 FROM w"""
 
 
 @query(_SPLIT)
 def instruction_split(t):
-    s = rules.instruction_body(F.col("text"), [_ASKS], "Read this.")
-    rows = t.conversations.where("role = 'user'").withColumn("s", s)
-    return rows.select("conv_id", "turn", "s.instruction", F.sha2("s.body", 256).alias("body_sha256"))
+    s = rules.instruction_body(F.replace("text", F.lit(".\n"), F.lit("?\n")), [_ASKS], "Read this.")
+    return t.documents.select("doc_id", s.alias("s")).select("doc_id", "s.instruction", F.sha2("s.body", 256).alias("body_sha256"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE lower(coalesce(nullif(o_orderstatus, 'P'), 'f')) = 'f'")
@@ -59,11 +61,17 @@ def sentence_classes(t):
     return t.part.select("p_partkey", rules.sentence_class(F.concat(F.get(hints, (F.col("p_partkey") % 5).cast("int")), F.col("p_name"))).alias("said"))
 
 
-@query(r"""WITH a AS (SELECT page_id, trim(unnest(regexp_split_to_array(regexp_replace(coalesce(url, ''), '^\w+\s*:', ''), '[,;/]')), ' ') AS x FROM pages)
-SELECT page_id, count(*) AS n_atoms FROM a WHERE length(x) BETWEEN 1 AND 80 AND len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) <= 7
-  AND length(x) - length(replace(x, ',', '')) < 2 AND NOT regexp_matches(x, '\w+\s*:\s*\w') AND NOT regexp_matches(lower(x), '""" + rules.NOT_A_SKILL + r"""') GROUP BY 1""")
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+p AS (SELECT doc_id, trim(regexp_replace(trim(unnest(regexp_split_to_array(line, '(?i){rules.LABEL_INSIDE}')), ' '), '(?i){rules.LABEL_BEFORE}', ''), ' ') AS x FROM l),
+i AS (SELECT doc_id, trim(unnest(string_split(x, ',')), ' ') AS item FROM p), h AS (SELECT doc_id, item, list_filter(list_transform(string_split(item, '/'), lambda y: trim(y, ' ')), lambda y: y <> '') AS halves FROM i WHERE item <> ''),
+a AS (SELECT doc_id, unnest(CASE WHEN len(halves) > 1 THEN halves ELSE [item] END) AS x FROM h),
+r AS (SELECT *, trim(regexp_replace(x, '(?i){rules.LABEL_BEFORE}', ''), ' ') AS rest FROM a)
+SELECT doc_id, count(*) AS n_atoms, max(x) AS last FROM r WHERE length(x) BETWEEN 1 AND 80 AND len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) <= 7
+  AND NOT regexp_matches(x, '\w+\s*:\s*\w') AND NOT regexp_matches(lower(x), '{rules.NOT_A_SKILL}') AND NOT (regexp_matches(x, '(?i){rules.LABEL_BEFORE}') AND rest = '') GROUP BY 1""")
 def atomic_parts(t):
-    return t.pages.select("page_id", F.size(rules.atoms(F.col("url"))).alias("n_atoms")).where("n_atoms > 0")
+    """Parts of the documents' lines that could each name one skill."""
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", F.explode(rules.atoms(F.col("line"))).alias("x")).groupBy("doc_id").agg(F.count("*").alias("n_atoms"), F.max("x").alias("last"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, coalesce(p_name, 'Unknown job') AS job, coalesce(c_name, 'Unknown candidate') AS candidate

@@ -1,6 +1,6 @@
 """Implications, equivalences, master skill sets and grounding on small rows that show one rule each."""
 
-from tessella.operators import implications
+from tessella.operators import implications, master_skills
 
 
 def skills_of(spark, rows):
@@ -36,3 +36,25 @@ def test_role_scores(spark):
     assert got[1, "r"] == (round(125 * (0.6 * 0.75 + 0.25 * 0.75 + 0.15 * 0.5), 1), 3, 1)
     assert got[5, "r"] == (100.0, 5, 0)  # the plain ratio exceeds the ceiling of 96
     assert got[2, "q"] == got[2, "r"] == (22.5, 1, 0) and got[3, "r"] == (7.5, 1, 0) and (4, "r") not in got
+
+
+def test_master_skills_of_nested_profiles(spark):
+    rows = [
+        (1, {"tools": ["Languages: Py, SQL Frontend: HTML / CSS", None], "none": None}, [("P", ["py", None], "made with java and  spring boot"), (None, None, None)],
+         [("Acme", "Dev", ["Go"], "Used SQL daily")], "knows Java", ["Java Expert", None], "java, R, go"),
+        (2, None, None, None, None, None, None),
+        (3, None, [("Q", ["developed a thing with X", "Rust"], "")], None, "rust", None, ""),
+    ]
+    aliases = spark.createDataFrame([("py", "Python"), ("python", "Python"), ("java", "Java"), ("spring boot", "Spring Boot"), ("r", "R"), ("go", "Go"), ("rust", "Rust")], "alias string, canonical string")
+    categories = spark.createDataFrame([("go", "Cloud & Hosting"), ("GO", "Testing & QA"), ("spring boot", "Own")], "skill string, category string")
+    master = master_skills.master_skills(spark.createDataFrame(rows, master_skills.PROFILE), aliases, categories)
+    got = {(r.candidate_id, r.skill): (r.name, r.category, r.source) for r in master.collect()}
+    assert got == {
+        (1, "python"): ("Py", "Programming Languages", "EXPLICIT_SKILL"), (1, "sql"): ("SQL", "Databases & Storage", "EXPLICIT_SKILL"),
+        (1, "html"): ("HTML", "Frontend Technologies", "EXPLICIT_SKILL"), (1, "css"): ("CSS", "Frontend Technologies", "EXPLICIT_SKILL"),
+        (1, "java"): ("Java", "Programming Languages", "CERTIFICATION_EVIDENCE"),  # outweighs the project before it
+        (1, "spring boot"): ("Spring Boot", "Own", "PROJECT_EVIDENCE"), (1, "go"): ("Go", "Cloud & Hosting", "EXPERIENCE_TECHNOLOGY"), (3, "rust"): ("Rust", "Programming Languages", "PROJECT_TECHNOLOGY"),
+    }  # aliases of one character are not searched for
+    matrix = {(r.candidate_id, r.place): (r.category, r.skills) for r in master_skills.skill_matrix(master).collect()}
+    assert len(matrix) == 18 + 17 and matrix[1, 0] == ("Programming Languages", ["java", "python"]) and matrix[1, 12] == ("Testing & QA", []) and matrix[1, 17] == ("Own", ["spring boot"])
+    assert {r.category for r in master_skills.skill_matrix(master, keep_empty=False).where("candidate_id = 3").collect()} == {"Programming Languages"}

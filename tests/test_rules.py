@@ -28,17 +28,20 @@ def test_sentence_classes(spark):
 
 
 def test_atoms(spark):
-    assert one(spark, rules.atoms(F.lit("Languages: Alpha, Beta/Gamma; built a thing, " + "x" * 81))) == ["Alpha", "Beta", "Gamma"]
-    assert one(spark, rules.atoms(F.lit(None).cast("string"))) == []
+    cut = lambda x: one(spark, rules.atoms(F.lit(x).cast("string")))
+    assert cut("Languages: Alpha, Beta/Gamma, built a thing, " + "x" * 81) == ["Alpha", "Beta", "Gamma"]
+    assert cut("Languages: Python, SQL Frontend: HTML / CSS, Databases:") == ["Python", "SQL", "HTML", "CSS"]  # labels inside
+    assert cut("tools Git") == ["Git"] and cut("a;b") == ["a;b"] and cut("worked with SQL") == cut("Note: x y") == cut(None) == cut("") == []
     assert not one(spark, rules.atomic_skill(F.lit("a b c d e f g h")))
 
 
 def test_instruction_and_body(spark):
-    split = lambda s: tuple(one(spark, rules.instruction_body(F.lit(s), ["summarize this[:]?"], "Default")))
-    assert split("Summarize this: the body") == ("Summarize this:", "the body")
+    split = lambda s: tuple(one(spark, rules.instruction_body(F.lit(s).cast("string"), ["summarize this[:]?"], "Default")))
+    assert split("Summarize this: the body") == ("Summarize this", "the body")
     assert split("What is it?\nthe body") == ("What is it?", "the body")
-    assert split("only a body") == ("Default", "only a body")
-    assert split(None) == ("Default", "")
+    assert split("Time: 10 o clock is not a command\nx") == ("Default", "Time: 10 o clock is not a command\nx")
+    assert split(" Rewrite the summary - \n\n x\ny ") == ("Rewrite the summary", "x\ny")
+    assert split("Read: \nx") == ("Read", "x") and split("only a body?") == ("Default", "only a body?") and split(None) == ("Default", "")
 
 
 def test_levels_categories_and_lists(spark):
