@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import rules
-from tessella.operators import implications, skills
+from tessella.operators import grounding, implications, skills
 from tessella.operators import master_skills as master_skills_ops
 from tessella.plans.bindings import CANDIDATE_SKILLS, JOB_SKILLS
 from tessella.plans.registry import Tables, query
@@ -160,3 +160,56 @@ def skill_matrix(t):
     """Skills of every candidate by category in the fixed order, with the categories that have none."""
     rows = master_skills_ops.skill_matrix(_master(t))
     return rows.select("candidate_id", "place", "category", F.array_join("skills", ",").alias("skills"))
+
+
+# Values proposed for every document: some out of its text, some not, some where one is held already.
+_PROPOSED = {
+    "full_name": "CASE WHEN doc_id % 4 = 3 THEN ' ' ELSE substring(text, 1, 12) END",
+    "location": "CASE WHEN doc_id % 2 = 0 THEN translate(substring(text, 8, 9), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE concat(substring(text, 8, 5), ' qx') END",
+    "employer": "CASE WHEN doc_id % 3 = 0 THEN substring(text, 20, 60) ELSE concat('qx', substring(text, 20, 60)) END",
+    "link": "CASE WHEN doc_id % 5 < 2 THEN concat('https://example.org/', CAST(doc_id AS VARCHAR(20))) ELSE 'example.org' END",
+    "summary": "CASE WHEN doc_id % 7 = 1 THEN concat(substring(text, 30, 120), ' education') WHEN doc_id % 7 = 2 THEN concat('qx ', substring(text, 30, 120)) ELSE substring(text, 30, 120) END",
+}
+_HELD = {"full_name": "CASE WHEN doc_id % 3 = 1 THEN 'known' END", "link": "CASE WHEN doc_id % 4 = 1 THEN 'known' END", "summary": "CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 90) END"}
+_POLICY = {"full_name": grounding.ANY, "location": grounding.GROUNDED, "employer": grounding.GROUNDED, "link": grounding.LINKED, "summary": grounding.LONGER}
+
+
+def _union_sql(values: dict) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS field, trim({v}, ' ') AS value FROM documents" for k, v in values.items())
+
+
+@query(rf"""WITH p AS ({_union_sql(_PROPOSED)}), h AS ({_union_sql(_HELD)}),
+j AS (SELECT p.doc_id, p.field, p.value, nullif(h.value, '') AS own, lower(d.text) AS t, CASE WHEN p.field = 'summary' THEN substring(p.value, 1, 50) ELSE p.value END AS probe
+  FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.field = p.field JOIN documents d ON d.doc_id = p.doc_id WHERE p.value <> ''),
+w AS (SELECT *, lower(regexp_replace(probe, '^\s+|\s+$', '', 'g')) AS low FROM j), g AS (SELECT *, regexp_split_to_array(low, '\s+') AS words FROM w),
+k AS (SELECT *, low <> '' AND CASE WHEN len(words) <= 2 THEN contains(t, low) ELSE contains(t, array_to_string(words[1:3], ' ')) OR contains(t, substring(low, 1, 3)) END AS grounded FROM g),
+d AS (SELECT doc_id, field, CASE WHEN field = 'summary' AND own IS NOT NULL AND length(value) <= length(own) + 20 THEN 'not longer' WHEN field <> 'summary' AND own IS NOT NULL THEN 'held'
+  WHEN field = 'link' AND NOT regexp_matches(value, '^https?://') THEN 'no link' WHEN field = 'summary' AND regexp_matches(right(value, 40), '{grounding.STRAY}') THEN 'stray end'
+  WHEN field IN ('location', 'employer', 'summary') AND NOT grounded THEN 'not grounded' ELSE 'accepted' END AS decision FROM k)
+SELECT doc_id, field, decision FROM d""")
+def resolved_fields(t):
+    """Which proposed values of every document are taken, and why the others are not."""
+    docs = t.documents.select("doc_id", "text")
+    tall = lambda values: docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.expr(v).alias("value")) for k, v in values.items()])).alias("x")).select("doc_id", "x.*")
+    return grounding.resolve_fields(docs, tall(_HELD), tall(_PROPOSED), "doc_id", "text", _POLICY).select("doc_id", "field", "decision")
+
+
+_SAYINGS = ("I want to learn to use ", "never used ", "built with ", "currently learning ", "seeking a role in ")
+
+
+@query(f"""WITH l AS (SELECT o_custkey AS candidate_id, o_orderkey, [{', '.join(f"'{s}'" for s in _SAYINGS)}][1 + o_orderkey % 5] || string_agg(p_name, ' or ' ORDER BY p_name) AS line
+  FROM (SELECT DISTINCT o_custkey, o_orderkey, p_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 3) GROUP BY 1, 2),
+p AS (SELECT DISTINCT c_custkey AS candidate_id, p_name AS skill FROM customer JOIN part ON p_partkey % 40 = c_custkey % 40 UNION SELECT DISTINCT c_custkey, 'old' FROM customer),
+m AS (SELECT p.candidate_id, p.skill, count(o_orderkey) AS n_mentions, count(*) FILTER (o_orderkey IS NOT NULL AND NOT regexp_matches(lower(line), '{"|".join(rules.ASPIRATION + rules.NEGATED).replace("'", "''")}')) AS n_plain
+  FROM p LEFT JOIN l ON l.candidate_id = p.candidate_id AND regexp_matches(' ' || line || ' ', '[^a-z0-9_]' || skill || '[^a-z0-9_]') GROUP BY 1, 2)
+SELECT candidate_id, skill, n_mentions::INT AS n_mentions, n_plain::INT AS n_plain, n_mentions = 0 OR n_plain > 0 AS supported FROM m""")
+def supported_skills(t):
+    """Skills proposed for candidates, supported unless every line that names them only wishes for or denies them."""
+    names = t.orders.join(t.lineitem.where("l_linenumber < 3"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    said = F.get(F.array(*[F.lit(s) for s in _SAYINGS]), (F.col("o_orderkey") % 5).cast("int"))
+    lines = names.groupBy(F.col("o_custkey").alias("candidate_id"), "o_orderkey").agg(F.concat(said, F.array_join(F.array_sort(F.collect_set("p_name")), " or ")).alias("line"))
+    docs = lines.groupBy("candidate_id").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
+    listed = t.part.select((F.col("p_partkey") % 40).alias("k"), F.col("p_name").alias("skill")).distinct()
+    own = t.customer.select(F.col("c_custkey").alias("candidate_id"), (F.col("c_custkey") % 40).alias("k"))
+    proposed = own.join(listed, "k").select("candidate_id", "skill").unionByName(own.select("candidate_id", F.lit("old").alias("skill")))
+    return grounding.supported_skills(docs, proposed, "candidate_id", "text")

@@ -1,6 +1,6 @@
 """Implications, equivalences, master skill sets and grounding on small rows that show one rule each."""
 
-from tessella.operators import implications, master_skills
+from tessella.operators import grounding, implications, master_skills
 
 
 def skills_of(spark, rows):
@@ -58,3 +58,23 @@ def test_master_skills_of_nested_profiles(spark):
     matrix = {(r.candidate_id, r.place): (r.category, r.skills) for r in master_skills.skill_matrix(master).collect()}
     assert len(matrix) == 18 + 17 and matrix[1, 0] == ("Programming Languages", ["java", "python"]) and matrix[1, 12] == ("Testing & QA", []) and matrix[1, 17] == ("Own", ["spring boot"])
     assert {r.category for r in master_skills.skill_matrix(master, keep_empty=False).where("candidate_id = 3").collect()} == {"Programming Languages"}
+
+
+def test_fields_are_taken_only_where_they_stand_in_the_text(spark):
+    docs = spark.createDataFrame([(1, "Ana Lopez\nLisbon, Portugal\nBuilt many things for Acme Limited over the years."), (2, None)], "id int, text string")
+    held = spark.createDataFrame([(1, "name", "Ana"), (1, "mail", " "), (1, "summary", "Built")], "id int, field string, value string")
+    long = "Built many things for Acme Limited over the years."
+    asked = [(1, "name", "Bob"), (1, "mail", "a@b.c"), (1, "place", "LISBON, portugal"), (1, "town", "Porto"), (1, "job", "built many things nobody wrote"), (1, "code", "http://x"),
+             (1, "blog", "x.org"), (1, "blank", "  "), (1, "none", None), (1, "summary", long), (2, "place", "Lisbon"), (2, "name", "Eve"), (3, "name", "Joe"), (2, "summary", long + " Skills"), (3, "summary", "Acme")]
+    policy = {"place": grounding.GROUNDED, "town": grounding.GROUNDED, "job": grounding.GROUNDED, "code": grounding.LINKED, "blog": grounding.LINKED, "summary": grounding.LONGER}
+    rows = grounding.resolve_fields(docs, held, spark.createDataFrame(asked, "id int, field string, value string"), "id", "text", policy).collect()
+    assert {(r.id, r.field): r.decision for r in rows} == {
+        (1, "name"): "held", (1, "mail"): "accepted", (1, "place"): "accepted", (1, "town"): "not grounded", (1, "job"): "accepted", (1, "code"): "accepted", (1, "blog"): "no link",
+        (1, "summary"): "accepted", (2, "place"): "not grounded", (2, "name"): "accepted", (3, "name"): "accepted", (2, "summary"): "stray end", (3, "summary"): "not grounded"}
+
+
+def test_skills_that_are_only_wished_for(spark):
+    docs = spark.createDataFrame([(1, "I want to learn Rust\nnever used Go\nGo and SQL daily\nnever used C++\nJavaScript"), (2, "")], "id int, text string")
+    asked = spark.createDataFrame([(1, s) for s in ("Rust", "go", "c++", "Java", "SQL")] + [(2, "x"), (3, "y"), (1, None)], "id int, skill string")
+    got = {(r.id, r.skill): (r.n_mentions, r.n_plain, r.supported) for r in grounding.supported_skills(docs, asked, "id", "text").collect()}
+    assert got == {(1, "Rust"): (1, 0, False), (1, "go"): (2, 1, True), (1, "c++"): (1, 0, False), (1, "Java"): (0, 0, True), (1, "SQL"): (1, 1, True), (2, "x"): (0, 0, True), (3, "y"): (0, 0, True)}
