@@ -23,9 +23,11 @@ def latest(log: DataFrame, key: str, order: Sequence[str], deleted: Column | Non
     return out if deleted is None else out.where(~deleted)
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """existing and those new rows whose keys it lacks."""
-    return existing.unionByName(new.join(existing.select(*keys).distinct(), keys, "left_anti"))
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """existing and, for each key that it lacks, the first of the new rows by ``order``."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    once = new.withColumn("__n", first).where("__n = 1").drop("__n")
+    return existing.unionByName(once.join(existing.select(*keys).distinct(), keys, "left_anti"))
 
 
 def count_by_parent(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:

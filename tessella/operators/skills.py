@@ -112,16 +112,6 @@ def display_name(canonical: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.initcap(w))), " ")
 
 
-def overlap(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(candidate_id, job_id, required_hits, preferred_hits) of pairs that share a skill.
-
-    candidates: (candidate_id, skill), wanted: (job_id, skill, tier).  An equi-join
-    on the skill with partial aggregation; no pair without a shared skill is made.
-    """
-    hits = candidates.distinct().join(wanted.distinct(), "skill").groupBy("candidate_id", "job_id")
-    return hits.agg(F.count_if(F.col("tier") == "required").alias("required_hits"), F.count_if(F.col("tier") == "preferred").alias("preferred_hits"))
-
-
 def gap(held: Column, required: Column) -> Column:
     """matched, missing and additional skills, sorted, and the match in percent."""
     matched = F.array_sort(F.array_intersect(required, held))

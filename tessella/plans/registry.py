@@ -39,7 +39,7 @@ pairs AS (SELECT c.*, j.*, coalesce(r, 0) AS r, coalesce(p, 0) AS p, coalesce(nr
   FROM c CROSS JOIN j LEFT JOIN hits USING (candidate_id, job_id) LEFT JOIN wants USING (job_id)),
 scored AS (SELECT candidate_id, job_id, round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100::DOUBLE * (0.0::DOUBLE + 0.5::DOUBLE * (r::DOUBLE / greatest(1, nr))
   + 0.15::DOUBLE * (CASE WHEN np > 0 THEN p::DOUBLE / np WHEN r > 0 THEN 1.0 ELSE 0.5 END)::DOUBLE
-  + 0.15::DOUBLE * (CASE WHEN wanted <= 0 OR years >= wanted THEN 1.0 WHEN years > 0 THEN greatest(0.35::DOUBLE, years / wanted) ELSE 0.30 END)::DOUBLE
+  + 0.15::DOUBLE * (CASE WHEN years >= CASE WHEN wanted = 0 THEN 1.0 ELSE wanted END THEN 1.0 WHEN years > 0 THEN greatest(0.35::DOUBLE, years / CASE WHEN wanted = 0 THEN 1.0 ELSE wanted END) ELSE 0.30 END)::DOUBLE
   + 0.1::DOUBLE * (CASE WHEN nation = job_nation THEN 1.0 WHEN nation % 5 = job_nation % 5 THEN 0.85 ELSE 0.5 END)::DOUBLE
   + 0.1::DOUBLE * (CASE WHEN projects >= 2 THEN 1.0 WHEN projects = 1 THEN 0.75 ELSE 0.4 END)::DOUBLE))), 1) AS score
   FROM pairs)"""
@@ -47,14 +47,12 @@ scored AS (SELECT candidate_id, job_id, round(least(100.0::DOUBLE, greatest(0.0:
 
 def _pairs(t: Tables) -> DataFrame:
     """Every candidate beside every job, with the numbers of required and preferred skills wanted and held."""
-    ids = lambda condition: F.collect_set(F.when(condition, F.xxhash64("skill")))
-    held = t.candidate_skills.groupBy("candidate_id").agg(ids(F.lit(True)).alias("held"))
-    wants = t.job_skills.groupBy("job_id").agg(ids(F.col("tier") == "required").alias("req"), ids(F.col("tier") == "preferred").alias("pref"))
-    none = F.array().cast("array<long>")
-    many = t.candidates.join(held, "candidate_id", "left").withColumn("held", F.coalesce("held", none))
-    few = t.jobs.join(wants, "job_id", "left").withColumn("req", F.coalesce("req", none)).withColumn("pref", F.coalesce("pref", none))
-    counts = {"r": F.size(F.array_intersect("req", "held")), "p": F.size(F.array_intersect("pref", "held")), "nr": F.size("req"), "np": F.size("pref")}
-    return match.all_pairs(many, few).withColumns(counts).drop("held", "req", "pref")
+    held, wants = match.skill_masks(t.candidate_skills, t.job_skills)
+    none = F.array().cast(wants.schema["words"].dataType)
+    many = t.candidates.join(held, "candidate_id", "left")
+    few = t.jobs.join(wants, "job_id", "left").withColumns({"words": F.coalesce("words", none), "nr": F.coalesce("nr", F.lit(0)), "np": F.coalesce("np", F.lit(0))})
+    pairs = match.all_pairs(many, few, "job_id").withColumn("hits", match.hits(F.col("held"), F.col("words"))).drop("held", "words")
+    return pairs.withColumns({"r": F.floor(F.col("hits") / 65536).cast("int"), "p": F.col("hits") % 65536}).drop("hits")
 
 
 def _scored(t: Tables) -> DataFrame:
@@ -379,11 +377,11 @@ def search_filter(t):
     return records.search(t.customer, "77", ["c_name", "c_mktsegment"]).select("c_custkey", "c_name")
 
 
-@query("WITH e AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P') SELECT o_custkey, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM n WHERE o_custkey NOT IN (SELECT o_custkey FROM e)) GROUP BY 1")
+@query("WITH e AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P') SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_key FROM (SELECT * FROM e UNION ALL SELECT o_custkey, min(o_orderkey) FROM n WHERE o_custkey NOT IN (SELECT o_custkey FROM e) GROUP BY 1) GROUP BY 1")
 def insert_if_absent(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
-    out = records.insert_if_absent(rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), rows.where("o_orderstatus <> 'P'").drop("o_orderstatus"), ["o_custkey"])
-    return out.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    out = records.insert_if_absent(rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), rows.where("o_orderstatus <> 'P'").drop("o_orderstatus"), ["o_custkey"], ["o_orderkey"])
+    return out.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last_key"))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS stored_id, 'u' || o_custkey || '@x.org' AS s_email, 'Customer ' || (o_custkey % 50) AS s_name, o_orderdate AS created FROM orders),

@@ -66,7 +66,7 @@ def test_skills(spark):
 
 def test_scores_and_ranks(spark):
     assert one(spark, match.experience_part(F.lit(1.0), F.lit(4.0))) == 0.35
-    assert one(spark, match.experience_part(F.lit(0.0), F.lit(0.0))) == 1.0
+    assert [one(spark, match.experience_part(F.lit(y), F.lit(w).cast("double"))) for y, w in ((0.0, 0.0), (0.5, None), (1.0, 0.0), (0.2, 0.0), (0.0, -1.0))] == [0.30, 0.5, 1.0, 0.35, 1.0]
     assert one(spark, match.present_mean({"skills": F.lit(None).cast("double"), "experience": F.lit(50.0), "education": F.lit(50.0)}, match.JD_WEIGHTS)) == pytest.approx(50.0)
     rows = spark.createDataFrame([(1, 3, 5.0), (1, 1, 5.0), (1, 2, 9.0)], "job int, cand int, score double")
     assert [r["cand"] for r in match.ranked(rows, "job", "cand").orderBy("rank").collect()] == [2, 1, 3]
@@ -89,7 +89,7 @@ def test_audits_and_metrics(spark):
 def test_records(spark):
     log = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False)], "id int, v int, gone boolean")
     assert [r["id"] for r in records.latest(log, "id", ["v"], F.col("gone")).collect()] == [2]
-    assert records.insert_if_absent(log.where("id = 1"), log, ["id"]).count() == 3
+    assert [(r.id, r.v) for r in records.insert_if_absent(log.where("id = 1"), log.unionByName(log.where("id = 2").withColumn("v", F.lit(0))), ["id"], ["v"]).orderBy("id", "v").collect()] == [(1, 1), (1, 2), (2, 0)]
     assert [r["n"] for r in records.funnel(log, "id", ("1", "9")).orderBy("stage_no").collect()] == [2, 0]
     assert records.search(log.withColumn("t", F.lit("AbC")), "bc", ["t"]).count() == 3
     assert records.search(log, "", []).count() == 3
