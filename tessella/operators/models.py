@@ -34,10 +34,20 @@ def _text_stages(text: str, longest: int, features: int) -> list:
 def text_classifier(text: str, label: str, longest: int = 2, features: int = 25_000, margin: bool = False) -> Pipeline:
     """TF-IDF with multinomial logistic regression on class weights, or one-against-rest linear SVC."""
     index = StringIndexer(inputCol=label, outputCol="label", handleInvalid="skip")
-    last = OneVsRest(classifier=LinearSVC(maxIter=20)) if margin else LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01)
+    last = one_against_rest("label") if margin else LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01)
     return Pipeline(stages=[index, *_text_stages(text, longest, features), last])
 
 
+def text_features(text: str, longest: int = 2, features: int = 25_000) -> Pipeline:
+    """TF-IDF alone, as ``features``."""
+    return Pipeline(stages=_text_stages(text, longest, features))
+
+
+def one_against_rest(label: str, rounds: int = 20) -> OneVsRest:
+    """Linear margins of each class against the others, on ``features`` and class weights."""
+    return OneVsRest(classifier=LinearSVC(maxIter=rounds), labelCol=label, weightCol="weight")
+
+
 def top_classes(model: PipelineModel, df: DataFrame, k: int = 5) -> DataFrame:
     """Adds ``classes``: the k likeliest classes with their probabilities, likeliest first, ties by name."""
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
@@ -59,9 +69,10 @@ def mixed_features(text: str | None, categories: Sequence[str], numbers: Sequenc
     return [*stages, VectorAssembler(inputCols=[*parts, "scaled"], outputCol="x", handleInvalid="keep")]
 
 
-def decision_model(stages: list, label: str, trees: int = 50) -> Pipeline:
-    """Random forest for a 0/1 decision over ``x``."""
-    return Pipeline(stages=[*stages, RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, seed=42)])
+def decision_model(stages: list, label: str, trees: int = 100, depth: int = 10, weight: str | None = None) -> Pipeline:
+    """Random forest for a decision over ``x``; ``weight`` names the column that balances the classes."""
+    forest = RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, maxDepth=depth, seed=42)
+    return Pipeline(stages=[*stages, forest if weight is None else forest.setWeightCol(weight)])
 
 
 def score_model(stages: list, label: str, rounds: int = 30) -> Pipeline:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import centroids
+from tessella.functions import careers
+from tessella.operators import boosting, calibration, centroids, models
 from tessella.plans.registry import query
+from tessella.sources.cuts import checkpointed
 
 _TERMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2)"
 
@@ -22,3 +24,31 @@ def nearest_sources(t):
     """The two sources whose texts, taken together, are nearest to each document by TF-IDF."""
     profiles = centroids.class_profiles(t.documents, "source", "text")
     return centroids.nearest_classes(t.documents, "doc_id", "text", profiles, 2).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def salary_bands(t):
+    """Lower and upper pay of every candidate: boosted 0.15 and 0.85 quantiles of the pay of candidates in other folds, on years, projects, nation and segment."""
+    nation, years = F.col("nation"), F.col("years")
+    pay = careers.salary_target(F.when(nation % 3 == 0, 2.8).when(nation % 3 == 1, 3.2), years, F.col("projects"), F.lit("MBA"))
+    noise = (F.pmod(F.xxhash64("candidate_id"), F.lit(1000)) / 1000 - 0.5) * (1 + years)  # pay differs between like candidates
+    rows = t.candidates.join(t.customer.select(F.col("c_custkey").alias("candidate_id"), "c_mktsegment"), "candidate_id").withColumn("pay", pay + noise)
+    stages = models.mixed_features(None, ["c_mktsegment"], ["years", "projects", "nation"])
+    ready = models.Pipeline(stages=stages).fit(rows).transform(rows).select("candidate_id", "pay", "x")
+    train = ready.where(calibration.fold_of("candidate_id", 5) > 0)
+    lower, upper = (boosting.quantile_boost(train, "x", "pay", a, rounds=20, rate=0.2) for a in (0.15, 0.85))
+    band = boosting.band_of(ready, lower, upper)
+    return band.select("candidate_id", (calibration.fold_of("candidate_id", 5) == 0).alias("held_out"), F.round("pay", 6).alias("pay"), "lo", "hi")
+
+
+@query()
+def language_chances(t):
+    """Chance of each language for every document: linear margins one against the rest, calibrated on rows that each model has not seen."""
+    rows = models.class_weights(t.documents.where("lang IS NOT NULL").select("doc_id", "text", "lang"), "lang")
+    index = models.StringIndexer(inputCol="lang", outputCol="k", stringOrderType="alphabetAsc").fit(rows)
+    weighed = models.text_features("text", 1, 5_000).fit(rows).transform(index.transform(rows)).select("doc_id", "k", "weight", "features")
+    weighed = checkpointed(weighed)
+    made = calibration.calibrate(weighed, "doc_id", "k", lambda part: models.one_against_rest("k", 10).fit(part))
+    names = F.array(*[F.lit(x) for x in index.labels])
+    best = F.array_max(F.zip_with("chances", names, lambda p, c: F.struct(p.alias("chance"), c.alias("lang"))))
+    return made.transform(weighed.select("doc_id", "features")).select("doc_id", best.alias("b")).select("doc_id", "b.lang", "b.chance")

@@ -587,15 +587,17 @@ def success_blend(t):
 def brand_classifier(t):
     """TF-IDF and weighted logistic regression from names to brands; the likeliest brand of every part."""
     rows = models.class_weights(t.part.select("p_partkey", "p_name", "p_brand"), "p_brand")
-    model = models.text_classifier("p_name", "p_brand", features=2_000).fit(rows)
+    model = models.text_classifier("p_name", "p_brand").fit(rows)
     best = models.top_classes(model, t.part.select("p_partkey", "p_name"), 1)
     return best.select("p_partkey", F.col("classes")[0]["name"].alias("brand"), F.col("classes")[0]["probability"].alias("confidence"))
 
 
 @query()
 def screening_model(t):
-    """Random forest on categories and numbers of orders; decision and its probability for every order."""
-    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
-    stages = models.mixed_features(None, ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"])
-    scored = models.decision_model(stages, "label", 20).fit(rows).transform(rows)
+    """A hundred trees on the names of what was ordered, categories and numbers, with balanced classes; decision and chance for every order."""
+    said = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list("p_name")), " ").alias("said"))
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(said, "o_orderkey", "left").withColumn("said", F.coalesce("said", F.lit("")))
+    rows = models.class_weights(rows.withColumn("label", (F.col("o_orderstatus") == "F").cast("double")), "label")
+    stages = models.mixed_features("said", ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"], 250)
+    scored = models.decision_model(stages, "label", 100, 6, weight="weight").fit(rows).transform(rows)
     return scored.select("o_orderkey", "prediction", models.vector_to_array("probability")[1].alias("chance"))
