@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import careers
-from tessella.operators import boosting, calibration, centroids, models
+from tessella.operators import boosting, calibration, centroids, models, profile_json
 from tessella.plans.registry import query
 from tessella.sources.cuts import checkpointed
 
@@ -52,3 +52,35 @@ def language_chances(t):
     names = F.array(*[F.lit(x) for x in index.labels])
     best = F.array_max(F.zip_with("chances", names, lambda p, c: F.struct(p.alias("chance"), c.alias("lang"))))
     return made.transform(weighed.select("doc_id", "features")).select("doc_id", best.alias("b")).select("doc_id", "b.lang", "b.chance")
+
+
+# JSON texts of several shapes out of events: fenced, old and new layouts, lists and objects, cut off, and the events' own.
+_JSONS = (
+    """concat('```json', chr(10), '{"personal_info": {"name": "u', user_id, '"}, "skills": ["', event_type, '", " x "], "experience": [{"role": "', event_type, '", "company": "c', event_id % 9, '"}, {"title": "t", "type": "internship"}]}', chr(10), '```')""",
+    """concat('{"candidate": {"full_name": "u', user_id, '", "email": "', event_id, '@x.org"}, "skills": "', event_type, ', k', event_id % 5, ',"}')""",
+    """concat('{"skills": {"b": ["', event_type, '"], "a": "z"}, "experience": {"full_time": [{"title": "', event_type, '"}], "internships": []}, "employment_status": "Busy"}')""",
+    """concat('{"personal_info": {"name": "u', user_id)""",
+    """concat('{"internships": [{"role": "', event_type, '"}, {"role": "', event_id, '"}], "summary": "s', event_id % 3, '"}')""",
+    "props",
+)
+
+
+@query(rf"""WITH r AS (SELECT event_id, CASE event_id % 6 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_JSONS))} END AS raw FROM events),
+c AS (SELECT event_id, trim(CASE WHEN raw LIKE '```%' THEN regexp_replace(string_split(raw, '```')[2], '^json', '') ELSE raw END, ' ' || chr(10)) AS cut FROM r),
+j AS (SELECT event_id, CASE WHEN json_valid(cut) AND json_type(cut) = 'OBJECT' THEN cut::JSON END AS j FROM c),
+s AS (SELECT *, CASE json_type(j, '$.skills') WHEN 'ARRAY' THEN from_json(j->'$.skills', '["VARCHAR"]') WHEN 'VARCHAR' THEN string_split(j->>'$.skills', ',')
+    WHEN 'OBJECT' THEN flatten(list_transform(list_sort(json_keys(j->'$.skills')), lambda k: CASE WHEN json_type(j, '$.skills.' || k) = 'ARRAY' THEN from_json(j->('$.skills.' || k), '["VARCHAR"]') ELSE [j->>('$.skills.' || k)] END)) ELSE [] END AS raw_skills,
+  CASE json_type(j, '$.experience') WHEN 'ARRAY' THEN coalesce(json_array_length(j, '$.experience'), 0) - len(list_filter(from_json(j->'$.experience', '["JSON"]'), lambda x: x->>'$.type' = 'internship')) WHEN 'OBJECT' THEN coalesce(json_array_length(j, '$.experience.full_time'), 0) ELSE 0 END AS full_jobs,
+  CASE json_type(j, '$.experience') WHEN 'ARRAY' THEN len(list_filter(from_json(j->'$.experience', '["JSON"]'), lambda x: x->>'$.type' = 'internship')) ELSE 0 END AS own_interns,
+  CASE WHEN json_type(j, '$.experience') = 'OBJECT' THEN coalesce(json_array_length(j, '$.experience.internships'), 0) ELSE coalesce(json_array_length(j, '$.internships'), 0) END AS more FROM j)
+SELECT event_id, j IS NULL AS bad, coalesce(j->>'$.personal_info.name', j->>'$.candidate.full_name') AS name, coalesce(j->>'$.personal_info.email', j->>'$.candidate.email') AS email, j->>'$.summary' AS summary,
+  array_to_string(list_filter(list_transform(raw_skills, lambda x: trim(x, ' ')), lambda x: x <> ''), ', ') AS skills, full_jobs::INT AS n_jobs, (CASE WHEN own_interns > 0 THEN own_interns ELSE more END)::INT AS n_internships,
+  CASE WHEN j IS NOT NULL THEN coalesce(j->>'$.employment_status', CASE WHEN full_jobs > 0 THEN '{profile_json.EXPERIENCED}' WHEN own_interns + more > 0 THEN '{profile_json.INTERN}' ELSE '{profile_json.UNSAID}' END) END AS status FROM s""")
+def json_profiles(t):
+    """Profiles read from JSON of six shapes, written in one layout and read again."""
+    shapes = F.array(*[F.expr(x.replace("chr(10)", "char(10)")) for x in _JSONS])
+    raw = t.events.select("event_id", F.get(shapes, (F.col("event_id") % 6).cast("int")).alias("text"))
+    first = profile_json.read_profiles(raw, "event_id", "text")
+    again = profile_json.read_profiles(profile_json.write_profiles(first.where("NOT bad"), "event_id"), "event_id", "text")
+    flat = profile_json.flat_profiles(again.unionByName(first.where("bad")), "event_id").join(first.select("event_id", "bad"), "event_id")
+    return flat.select("event_id", "bad", "name", "email", "summary", "skills", "n_jobs", "n_internships", "status")
