@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.operators import grounding, implications, skills
+from tessella.operators import posting_skills as postings
 from tessella.operators import master_skills as master_skills_ops
 from tessella.plans.bindings import CANDIDATE_SKILLS, JOB_SKILLS
 from tessella.plans.registry import Tables, query
@@ -213,3 +214,28 @@ def supported_skills(t):
     own = t.customer.select(F.col("c_custkey").alias("candidate_id"), (F.col("c_custkey") % 40).alias("k"))
     proposed = own.join(listed, "k").select("candidate_id", "skill").unionByName(own.select("candidate_id", F.lit("old").alias("skill")))
     return grounding.supported_skills(docs, proposed, "candidate_id", "text")
+
+
+# Postings out of the skills that a supplier sells: what is required, in brackets and with 's, then what is preferred and some of the required again.
+_POSTING = """SELECT job_id, 'We ask for: ' || string_agg(CASE WHEN n % 3 = 0 THEN '(' || skill || ')' WHEN n % 3 = 1 THEN upper(skill) ELSE skill || chr(39) || 's' END, ', ' ORDER BY n) FILTER (tier = 'required') ||
+  CASE WHEN job_id % 4 = 0 THEN ', ' WHEN job_id % 4 = 1 THEN '. Nice to have - ' ELSE '; preferred/' END || coalesce(string_agg(skill, ' / ' ORDER BY n) FILTER (tier = 'preferred' OR n = job_id % 9), '') AS said FROM ({0}) GROUP BY 1"""
+
+
+@query(rf"""WITH js AS ({JOB_SKILLS}), d AS ({_POSTING.format(JOB_SKILLS)}), t AS (SELECT job_id, lower(said) AS t FROM d),
+p AS (SELECT job_id, CASE WHEN regexp_matches(t, '{postings.PREFERRED}') THEN regexp_extract(t, '^(.*?)(?:{postings.PREFERRED})', 1) ELSE t END AS early, t FROM t),
+a AS (SELECT DISTINCT p_name AS alias, p_name AS canonical FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[2], 'any ' || string_split(p_name, ' ')[2] FROM part),
+h AS (SELECT job_id, alias, canonical, regexp_matches(' ' || substring(t, length(early) + 1) || ' ', '[^a-z0-9]' || alias || '[^a-z0-9]') AS late, regexp_matches(' ' || early || ' ', '[^a-z0-9]' || alias || '[^a-z0-9]') AS first FROM p, a),
+f AS (SELECT job_id, canonical AS skill, bool_and(late) AS late FROM h WHERE late OR first GROUP BY 1, 2)
+SELECT job_id, skill, CASE WHEN late THEN 'preferred' ELSE 'required' END AS tier FROM f""")
+def posting_skills(t):
+    """Required and preferred skills read out of every posting's text."""
+    n = F.col("n")
+    spelled = F.when(n % 3 == 0, F.concat(F.lit("("), "skill", F.lit(")"))).when(n % 3 == 1, F.upper("skill")).otherwise(F.concat("skill", F.lit("'s")))
+    rows = t.job_skills.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("tier") == "required", F.struct("n", spelled.alias("s"))))).alias("r"),
+        F.array_sort(F.collect_list(F.when((F.col("tier") == "preferred") | (n == F.col("job_id") % 9), F.struct("n", F.col("skill").alias("s"))))).alias("p"))
+    text = lambda c, by: F.array_join(F.transform(c, lambda x: x["s"]), by)
+    k = F.col("job_id") % 4
+    said = F.concat(F.lit("We ask for: "), text("r", ", "), F.when(k == 0, ", ").when(k == 1, ". Nice to have - ").otherwise("; preferred/"), text("p", " / "))
+    names = t.part.select(F.col("p_name").alias("alias"), F.col("p_name").alias("canonical")).unionByName(t.part.select(F.split("p_name", " ")[1].alias("alias"), F.concat(F.lit("any "), F.split("p_name", " ")[1]).alias("canonical"))).distinct()
+    return postings.posting_skills(rows.select("job_id", said.alias("said")), "job_id", "said", names)

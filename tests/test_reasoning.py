@@ -1,6 +1,6 @@
 """Implications, equivalences, master skill sets and grounding on small rows that show one rule each."""
 
-from tessella.operators import grounding, implications, master_skills
+from tessella.operators import grounding, implications, master_skills, posting_skills
 
 
 def skills_of(spark, rows):
@@ -78,3 +78,12 @@ def test_skills_that_are_only_wished_for(spark):
     asked = spark.createDataFrame([(1, s) for s in ("Rust", "go", "c++", "Java", "SQL")] + [(2, "x"), (3, "y"), (1, None)], "id int, skill string")
     got = {(r.id, r.skill): (r.n_mentions, r.n_plain, r.supported) for r in grounding.supported_skills(docs, asked, "id", "text").collect()}
     assert got == {(1, "Rust"): (1, 0, False), (1, "go"): (2, 1, True), (1, "c++"): (1, 0, False), (1, "Java"): (0, 0, True), (1, "SQL"): (1, 1, True), (2, "x"): (0, 0, True), (3, "y"): (0, 0, True)}
+
+
+def test_skills_of_postings(spark):
+    rows = [(1, "We need Python’s and (C++), node.js. Nice to have: Go, python or React Native"), (2, "Preferred: SQL"), (3, "SQL only. SQL!"), (4, None), (5, "javascript, pythonic"), (6, "ML here; bonus machine learning")]
+    names = [("python", "Python"), ("c++", "C++"), ("node.js", "Node"), ("go", "Go"), ("react native", "React Native"), ("sql", "SQL"), ("java", "Java"), ("or", "Or"), ("r", "R"), ("ml", "Machine Learning"), ("machine learning", "Machine Learning")]
+    found = posting_skills.posting_skills(spark.createDataFrame(rows, "id int, body string"), "id", "body", spark.createDataFrame(names, "alias string, canonical string"))
+    assert {(r.id, r.skill): r.tier for r in found.collect()} == {
+        (1, "Python"): "preferred", (1, "C++"): "required", (1, "Node"): "required", (1, "Go"): "preferred", (1, "React Native"): "preferred",
+        (2, "SQL"): "preferred", (3, "SQL"): "required", (6, "Machine Learning"): "required"}
