@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import careers
-from tessella.operators import boosting, calibration, centroids, models, profile_json
+from tessella.functions import careers, rules
+from tessella.operators import boosting, calibration, centroids, models, preparation, profile_json
 from tessella.plans.registry import query
 from tessella.sources.cuts import checkpointed
 
@@ -84,3 +84,28 @@ def json_profiles(t):
     again = profile_json.read_profiles(profile_json.write_profiles(first.where("NOT bad"), "event_id"), "event_id", "text")
     flat = profile_json.flat_profiles(again.unionByName(first.where("bad")), "event_id").join(first.select("event_id", "bad"), "event_id")
     return flat.select("event_id", "bad", "name", "email", "summary", "skills", "n_jobs", "n_internships", "status")
+
+
+# Chat records out of conversations, some of them broken, and the tasks that their words stand for.
+_TASKS = (("[?]", "question"), ("the|und", preparation.CLASSIFICATION), ("la |de ", "romance"))
+_CHAT = """CASE conv_id % 9 WHEN 1 THEN '  ' WHEN 2 THEN concat('{"messages": ', conv_id) WHEN 3 THEN '{"messages": [{"role": "user"}]}' ELSE NULL END"""
+
+
+@query(rf"""WITH c AS (SELECT conv_id, arg_max(coalesce(text, ''), turn) FILTER (role = 'user') AS u, arg_max(coalesce(text, ''), turn) FILTER (role = 'assistant') AS a, count(*) AS n FROM conversations GROUP BY 1),
+r AS (SELECT *, {_CHAT} AS broken FROM c),
+b AS (SELECT *, coalesce(u, '') AS su, coalesce(a, '') AS sa, regexp_replace(coalesce(u, ''), '^\s+|\s+$', '', 'g') AS x FROM r),
+h AS (SELECT *, string_split(x, chr(10))[1] AS head FROM b), l AS (SELECT *, regexp_replace(head, '^\s+|\s+$', '', 'g') AS line FROM h),
+w AS (SELECT *, contains(x, chr(10)) AND length(line) < 120 AND (regexp_matches(line, '[?:]$') OR regexp_matches(lower(line), '{"|".join(rules.INSTRUCTS)}')) AS by_line FROM l),
+s AS (SELECT *, CASE WHEN by_line THEN regexp_replace(substr(x, length(head) + 1), '^\s+|\s+$', '', 'g') ELSE x END AS body FROM w),
+j AS (SELECT *, CASE WHEN conv_id % 9 = 1 THEN 'empty_line' WHEN conv_id % 9 = 2 THEN 'json_parse_error' WHEN conv_id % 9 = 3 OR n < 2 THEN 'invalid_messages_structure' WHEN su = '' OR sa = '' THEN 'missing_user_or_assistant_message'
+  WHEN length(body) < {preparation.LEAST_BODY} THEN 'resume_content_too_short' WHEN length(sa) < {preparation.LEAST_ANSWER} THEN 'assistant_response_too_short' END AS reason FROM s),
+t AS (SELECT *, list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(su), '{p}') THEN '{n}' END" for p, n in _TASKS)}], lambda x: x IS NOT NULL) AS tasks FROM j)
+SELECT conv_id, reason, CASE WHEN reason IS NULL THEN 'cand_' || substr(sha256(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' ')), 1, 12) END AS candidate_id,
+  CASE WHEN reason IS NULL THEN CASE WHEN len(tasks) = 0 THEN 'other' ELSE array_to_string(tasks, ',') END END AS tasks FROM t""")
+def judged_records(t):
+    """Every conversation as a chat record of one JSON line: why it is rejected, or its candidate and tasks."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    made = t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("messages"))).alias("whole"))
+    lines = made.select("conv_id", F.coalesce(F.expr(_CHAT), F.col("whole")).alias("line"))
+    out = preparation.judge_records(lines, "conv_id", "line", _TASKS, "other", [], "Read this")
+    return out.select("conv_id", "reason", "candidate_id", F.array_join("tasks", ",").alias("tasks"))
