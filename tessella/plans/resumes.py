@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions import education
 from tessella.operators import degrees, headers, jobs
 from tessella.plans.registry import _LINES, _lines, query
 
@@ -192,3 +193,42 @@ def document_degrees(t):
     """Degrees out of the lines of every document, merged by tiers."""
     signals = _lines(t).select("doc_id", "line_no", *[F.expr(v).alias(k) for k, v in _DEGREE_SIGNALS.items()])
     return degrees.merge_degrees(degrees.fold_degrees(signals, "doc_id"), "doc_id")
+
+
+# Records of an education out of parts: a qualification, an institution and, for some, a level or a stated class.
+_SAID = ("B.Tech", "HSC (Class 12)", "M.Com Accounts", "SSLC", "Certificate", "Post-graduate work", "12th standard", "PhD", "club member", "Matriculation", "b_e", "")
+_WHERE = ("Hill College", "Green School", "State University", "Town Hall", "")
+_LEVEL = ("", "Secondary", "Higher Education", "course", "", "", "College")
+_STATED = ("", "", "degree", "", "School", "", "", "", "", "other", "")
+_RECORD = {"degree": (_SAID, "p_size % 12"), "institution": (_WHERE, "p_partkey % 5"), "level": (_LEVEL, "p_partkey % 7"), "stated": (_STATED, "p_partkey % 11")}
+
+
+def _any_of(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_CLASSED = f"""WITH r AS (SELECT p_partkey, p_brand, {", ".join(f"lower([{_any_of(v)}][1 + {i}]) AS {k}" for k, (v, i) in _RECORD.items())} FROM part),
+k AS (SELECT *, CASE WHEN level IN ({_any_of(education.SCHOOL_LEVELS)}) THEN 'school' WHEN regexp_matches(degree, '{education.terms_pattern(education.SCHOOL_TERMS)}') THEN 'school'
+  WHEN regexp_matches(degree, '{education.terms_pattern(education.DEGREE_TERMS)}') THEN 'degree' WHEN level IN ({_any_of(education.DEGREE_LEVELS)}) THEN 'degree'
+  WHEN regexp_matches(institution, '{education.SCHOOL_NAMES}') THEN 'school' WHEN regexp_matches(institution, '{education.DEGREE_NAMES}') THEN 'degree' ELSE 'other' END AS ruled FROM r)"""
+
+
+def _records(t):
+    picked = [F.get(F.array(*[F.lit(x) for x in v]), F.expr(i).cast("int")).alias(k) for k, (v, i) in _RECORD.items()]
+    return t.part.select("p_partkey", "p_brand", *picked)
+
+
+@query(f"""{_CLASSED}, c AS (SELECT p_brand, CASE WHEN stated <> '' THEN stated ELSE ruled END AS class FROM k)
+SELECT p_brand, count(*) FILTER (class = 'degree') AS degree_count, count(*) FILTER (class = 'school') AS school_count, count(*) FILTER (class = 'other') AS other_count, count(*) AS total_count FROM c GROUP BY 1""")
+def education_counts(t):
+    """Degrees, school records and others of every brand's records."""
+    rows = _records(t)
+    return education.education_counts(rows.withColumn("class", education.education_class(rows)), "p_brand")
+
+
+@query(f"{_CLASSED} SELECT p_brand, bool_and(stated IN ('', ruled)) AS valid, count(*) AS total_records, count(*) FILTER (stated NOT IN ('', ruled)) AS n_issues, coalesce(arg_min(stated || ' is ' || ruled, p_partkey) FILTER (stated NOT IN ('', ruled)), '') AS first_issue FROM k GROUP BY 1")
+def education_audit(t):
+    """Records whose stated class the rule does not give."""
+    out = education.education_audit(_records(t), "p_brand", "p_partkey")
+    first = F.regexp_replace(F.coalesce(F.get("issues", F.lit(0)), F.lit("")), "^.*: ", "")
+    return out.select("p_brand", "valid", "total_records", F.size("issues").cast("long").alias("n_issues"), first.alias("first_issue"))
