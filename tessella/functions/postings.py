@@ -12,8 +12,9 @@ _WORD = r"(\d+(?:\.\d+)?|" + "|".join(NUMBERS) + ")"
 BOTH = _ANY + r"\s*(?:years?|yrs?)\s*(?:and)?\s*" + _ANY + r"\s*(?:months?|mos?)"
 YEAR_RANGE = _N + r"\s*(?:to|-|–)\s*" + _N + r"\s*\+?\s*(?:years?|yrs?)"
 MONTH_RANGE = _N + r"\s*(?:to|-|–)\s*" + _N + r"\s*\+?\s*(?:months?|mos?)"
-MONTHS = r"\b" + _WORD + r"\s*(\+)?\s*(?:months?|mos?)\b"
-YEARS = r"\b" + _WORD + r"\s*(\+)?\s*(?:years?|yrs?)\b"
+_IN = r"(?:\s*(?:of)?\s*(?:[a-zA-Z0-9\+\#\.\/]+\s+)?experience)?\b"
+MONTHS = r"\b" + _WORD + r"\s*(\+)?\s*(?:months?|mos?)" + _IN
+YEARS = r"\b" + _WORD + r"\s*(\+)?\s*(?:years?|yrs?)" + _IN
 LINE = r"(?:required\s*experience|minimum\s*experience|experience\s*required|experience|exp\.)\s*[:\-–]\s*([^\n\r]+)"
 # Degrees, the first that occurs.
 DEGREES = (
@@ -36,6 +37,7 @@ def _short(c: Column) -> Column:
 def _asked(t: Column) -> Column:
     """(years, display) of a lower-case text; null without a duration."""
     part = lambda pattern, n: F.regexp_extract(t, pattern, n)
+    plus = lambda pattern: F.when(part(pattern, 0).contains("+"), "+").otherwise("")  # noqa: E731  also one in the skill's name
 
     def found(years: Column, display: Column) -> Column:
         return F.struct(years.alias("years"), display.alias("display"))
@@ -45,8 +47,8 @@ def _asked(t: Column) -> Column:
     both_text = F.when(in_years(both) >= 1.0, F.concat(F.bround(in_years(both), 1).cast("string"), F.lit(" years"))).otherwise(F.concat(_short(both), F.lit(" months")))
     span = lambda p, unit: F.concat(part(p, 1), F.lit("-"), part(p, 2), F.lit(unit))
     months, years = F.bround(_number(part(MONTHS, 1), 1.0)), F.bround(_number(part(YEARS, 1), 1.0), 4)
-    months_text = F.concat(_short(months), part(MONTHS, 2), F.lit(" month"), F.when(months == 1, "").otherwise("s"))
-    years_text = F.concat(_short(years), F.when(part(YEARS, 2) == "+", "+ years").when(years == 1, " year").otherwise(" years"))
+    months_text = F.concat(_short(months), plus(MONTHS), F.lit(" month"), F.when(months == 1, "").otherwise("s"))
+    years_text = F.concat(_short(years), F.when(plus(YEARS) == "+", "+ years").when(years == 1, " year").otherwise(" years"))
     return (
         F.when(t.rlike(BOTH), found(in_years(both), both_text))
         .when(t.rlike(YEAR_RANGE), found(part(YEAR_RANGE, 1).try_cast("double"), span(YEAR_RANGE, " years")))
@@ -63,6 +65,27 @@ def experience_asked(c: Column) -> Column:
     return F.coalesce(_asked(F.regexp_extract(low, LINE, 1)), _asked(low), none)
 
 
+# How a title is given, what follows it, words of titles in the first lines, and the title of last resort.
+TITLES = (
+    r"(?im)(?:job\s*title|position|role|designation)\s*[:\-–]\s*([^\n\r]+)",
+    r"(?im)(?:we\s*are\s*looking\s*for\s*(?:a|an)?|hiring\s*for)\s*([^\n\r,;.]+)",
+    r"(?im)^([A-Z][a-zA-Z0-9\s\+\#\.\/]+(?:Developer|Engineer|Architect|Specialist|Analyst|Consultant|Scientist|Designer|Lead|Manager))",
+)
+WANTED = r"(?i)\s*(?:required|needed|wanted|opening).*$"
+TITLE_WORDS, NO_TITLE = "developer|engineer|analyst|scientist|designer|architect", "Software Engineer"
+
+
+def title_asked(c: Column) -> Column:
+    """The title of a posting: the first form that gives 4 to 59 characters, else one of its first three lines that reads like a title."""
+    text = F.coalesce(c, F.lit(""))
+    clean = lambda x: F.trim(F.regexp_replace(F.trim(x), WANTED, ""))
+    fits = lambda x: F.when(F.length(x).between(4, 59), x)
+    given = F.coalesce(*[fits(clean(F.regexp_extract(text, p, 1))) for p in TITLES])
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    read = F.filter(F.transform(F.filter(F.slice(lines, 1, 3), lambda x: F.lower(x).rlike(TITLE_WORDS)), clean), lambda x: F.length(x).between(4, 59))
+    return F.when(given.isNotNull() & (given != NO_TITLE), given).otherwise(F.coalesce(F.get(read, F.lit(0)), F.lit(NO_TITLE)))
+
+
 def education_asked(c: Column) -> Column:
     """The degree that a description asks for."""
     low, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(NO_DEGREE)

@@ -455,10 +455,13 @@ def _cosine_rank(t: Tables) -> DataFrame:
     mean = t.embeddings.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     centroids = mean.groupBy(F.col("label").alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = t.embeddings.join(centroids)  # every vector against the stated set of centroids
-    cos = F.round(dot("embedding", "c") / F.sqrt(dot("c", "c")), 9)
-    w = audit.Window.partitionBy("vec_id").orderBy(F.desc("cos"), "other")
-    return pairs.select("vec_id", "label", "other", cos.alias("cos")).withColumn("rank", F.row_number().over(w)).where("label = other")
+    # all centroids as one row: a vector counts those nearer than its own, without a shuffle of vectors times classes
+    listed = centroids.select(F.struct("other", "c", F.sqrt(dot("c", "c")).alias("norm")).alias("x")).agg(F.collect_list("x").alias("all"))
+    near = F.transform("all", lambda x: F.struct(x["other"].alias("other"), F.round(dot(F.col("embedding"), x["c"]) / x["norm"], 9).alias("cos")))
+    rows = t.embeddings.join(F.broadcast(listed)).select("vec_id", "label", near.alias("near"))
+    own = rows.withColumn("own", F.get(F.filter("near", lambda x: x["other"] == F.col("label")), F.lit(0))["cos"])
+    ahead = F.filter("near", lambda x: (x["cos"] > F.col("own")) | ((x["cos"] == F.col("own")) & (x["other"] < F.col("label"))))
+    return own.select("vec_id", "label", (F.size(ahead) + 1).alias("rank"))
 
 
 _RANKED = f"""WITH c AS ({_CENTROID}), z AS (SELECT label AS other, list(m ORDER BY i) AS c FROM c GROUP BY 1),
@@ -512,10 +515,19 @@ def line_items(t):
     return sections.list_items(_lines(t), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
-@query(f"""WITH {_LINES} SELECT doc_id, arg_min(line, line_no) FILTER (line_no < 5 AND regexp_matches(line, '{sections.NAME.replace("'", "''")}')) AS name,
-  arg_min(line, line_no) FILTER (line_no < 15 AND regexp_matches(line, '{sections.PLACE}')) AS location FROM lines GROUP BY 1""")
+# Heads of profiles: a number, some lines of a word, a name, more such lines, a place.
+_HEADS = """concat(c_name, repeat(concat(chr(10), 'x'), CAST(c_custkey % 7 AS INT)), chr(10), c_mktsegment, ' ', r_name, repeat(concat(chr(10), 'y z'), CAST(c_custkey % 17 AS INT)), chr(10), r_name, ', ', c_mktsegment)"""
+
+
+@query(f"""WITH d AS (SELECT c_custkey, string_split({_HEADS}, chr(10)) AS parts FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+l AS (SELECT c_custkey, i - 1 AS line_no, parts[i] AS line FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d))
+SELECT c_custkey, arg_min(line, line_no) FILTER (line_no < 5 AND regexp_matches(line, '{sections.NAME.replace("'", "''")}')) AS name,
+  arg_min(line, line_no) FILTER (line_no < 15 AND regexp_matches(line, '{sections.PLACE}')) AS location FROM l GROUP BY 1""")
 def name_and_place(t):
-    return sections.name_and_place(_lines(t), "doc_id")
+    """Name and place out of the first lines of customers' profiles."""
+    people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    heads = people.select("c_custkey", F.expr(_HEADS.replace("chr(10)", "char(10)")).alias("text"))
+    return sections.name_and_place(sections.lines_of(heads, "c_custkey", "text"), "c_custkey")
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9+#]+'), lambda w: w <> '')"

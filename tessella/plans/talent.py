@@ -82,14 +82,17 @@ def application_enrichment(t):
     return rows.select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.lit("Unknown job")).alias("job"), F.coalesce("c_name", F.lit("Unknown candidate")).alias("candidate"))
 
 
-@query("""WITH titles AS (SELECT p_partkey AS row_no, unnest([p_type, p_name]) AS title, unnest([1, 2]) AS pos FROM part),
+@query("""WITH titles AS (SELECT p_partkey AS row_no, unnest([p_type, p_name]) AS title, unnest([1, 2]) AS pos FROM part WHERE p_partkey % 3 = 0),
 first AS (SELECT lower(title) AS title, arg_min(row_no, {'pos': pos, 'row_no': row_no}) AS row_no FROM titles GROUP BY 1)
-SELECT c_custkey, row_no FROM customer LEFT JOIN first ON lower(c_mktsegment) = title OR false""")
+SELECT c_custkey, row_no FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN p_type WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name || ' x' ELSE p_name END AS asked FROM customer JOIN part ON p_partkey = c_custkey) LEFT JOIN first ON lower(asked) = title""")
 def title_lookup(t):
     """The row of the first matching title; titles earlier in a row's list win, then earlier rows."""
-    titles = t.part.select(F.col("p_partkey").alias("row_no"), F.posexplode(F.array("p_type", "p_name")).alias("pos", "title"))
+    titles = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("row_no"), F.posexplode(F.array("p_type", "p_name")).alias("pos", "title"))
     first = titles.groupBy(F.lower("title").alias("title")).agg(F.min_by("row_no", F.struct("pos", "row_no")).alias("row_no"))
-    return t.customer.join(first, F.lower("c_mktsegment") == F.col("title"), "left").select("c_custkey", "row_no")
+    k = F.col("c_custkey") % 4
+    asked = F.when(k == 0, F.col("p_type")).when(k == 1, F.upper("p_name")).when(k == 2, F.concat("p_name", F.lit(" x"))).otherwise(F.col("p_name"))
+    own = t.customer.join(t.part, F.col("p_partkey") == F.col("c_custkey")).select("c_custkey", asked.alias("asked"))
+    return own.join(first, F.lower("asked") == F.col("title"), "left").select("c_custkey", "row_no")
 
 
 @query("""WITH asked AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE upper(n_name) END AS q FROM nation)

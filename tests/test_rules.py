@@ -110,6 +110,10 @@ def test_postings(spark):
     asked = lambda s: tuple(one(spark, postings.experience_asked(F.lit(s))))
     assert [asked("1 year and 6 months"), asked("2-4 years"), asked("6 to 12 months"), asked("six months"), asked("3+ yrs"), asked("any"), asked(None)] == [
         (1.5, "1.5 years"), (2.0, "2-4 years"), (0.5, "6-12 months"), (0.5, "6 months"), (3.0, "3+ years"), (0.0, "Not specified"), (0.0, "Not specified")]
+    assert [asked("3 years of C++ experience"), asked("two months C# experience"), asked("Experience: 2+ months\n4 years")] == [(3.0, "3+ years"), (0.1667, "2 months"), (0.1667, "2+ months")]
+    title = lambda s: one(spark, postings.title_asked(F.lit(s).cast("string")))
+    assert [title("Job Title: Data Analyst required now\nx"), title("We are looking for a Go developer, fast"), title("Hello!\nwe want a senior designer needed"), title("Cloud Architect\nmore"), title("nothing here"), title(None)] == [
+        "Data Analyst", "Go developer", "we want a senior designer", "Cloud Architect", "Software Engineer", "Software Engineer"]
     degree = lambda s: one(spark, postings.education_asked(F.lit(s)))
     assert [degree("M.Tech or B.Tech"), degree("BCA"), degree(None)] == ["Master's Degree", "Bachelor's Degree", "Not specified in JD"]
 
