@@ -13,8 +13,11 @@
    linked.  Each such set x outside the bucket's largest component is compared with
    one reference r of that component.  Whatever else x is linked with, say y, shares
    at most ``|x & r|`` shingles inside r, so if that is too few, x and y must share
-   shingles outside r: those are few, and an equi-join on them counts them.  A
-   shingle held inside one component only cannot link it to another and is left out.
+   shingles outside r.  If they need k of those, the rarest that they share has k - 1
+   shared ones after it in both sets, so an equi-join on the shingles that stand early
+   enough, rarest first, finds the pairs, and the sets count them; shingles that very
+   many sets hold stand last and make no rows.  A shingle held inside one component
+   only cannot link it to another and is left out.
    Where ``|x & r|`` leaves room for a (smaller) partner, the bucket's members are
    compared, sizes, bounds and sketches first.  A group of near copies of which many
    fall short of the threshold thus costs its size and not its square, while no link
@@ -39,7 +42,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import id_type, materialize
@@ -165,10 +168,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cross_shingles(held: DataFrame) -> DataFrame:
-    """(rep, part, item) of held (rep, part, items): the shingles that several components hold."""
+    """(rep, part, item, seen) of held (rep, part, items): the shingles that several components hold, and in how many sets."""
     each = held.select("rep", "part", F.explode("items").alias("item"))
-    several = each.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("item")
-    return each.join(several.hint("shuffle_hash"), "item", "left_semi").select("rep", "part", "item")
+    several = each.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("seen")).where("lo < hi").select("item", "seen")
+    return each.join(several.hint("shuffle_hash"), "item").select("rep", "part", "item", "seen")
 
 
 def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
@@ -208,11 +211,18 @@ def _open_pairs(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     outer = materialize(most.select("ra", "m.*"))
 
     sized = F.expr("pa <> pb AND 4 * least(na, nb) >= 3 * greatest(na, nb) AND 3 * (na + nb) <= 7 * least(ca, cb)")
-    # pairs that must share shingles outside the reference
+    # pairs that must share shingles outside the reference, `need` at least: of those the rarest has need - 1 after it on
+    # both sides, so only pairs that share a shingle that early can qualify, and a common shingle, late in all sets, makes none
     b = bounds.select(F.col("rep").alias("rb"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    index = cross.select(F.col("rep").alias("rb"), "item").join(b, "rb")
-    by_item = outer.select("ra", "pa", "na", "ca", "inside", F.explode("outside").alias("item")).join(index, "item")
-    by_item = by_item.where(sized).groupBy("ra", "rb", "pa", "pb", "na", "nb", "inside").agg(F.count("*").alias("k"))
+    rarest = [F.col("seen"), F.col("item")]
+    index = cross.select(F.col("rep").alias("rb"), "item", "seen").join(b, "rb").withColumn("at_b", F.row_number().over(Window.partitionBy("rb").orderBy(*rarest)))
+    outs = outer.select("ra", F.explode("outside").alias("item")).join(cross.select(F.col("rep").alias("ra"), "item", "seen"), ["ra", "item"])
+    outs = outs.withColumn("at_a", F.row_number().over(Window.partitionBy("ra").orderBy(*rarest))).withColumn("out_a", F.count("*").over(Window.partitionBy("ra")))
+    outs = outs.drop("seen").join(outer.drop("outside"), "ra")
+    need = "greatest(1, CAST(ceil((3 * (na + nb) - 7 * inside) / 7) AS INT))"
+    early = F.expr(f"at_a <= out_a - {need} + 1 AND at_b <= cb - {need} + 1")
+    by_item = outs.join(index.drop("seen"), "item").where(sized).where(early).select("ra", "rb", "pa", "pb", "na", "nb", "inside").distinct()
+    by_item = by_item.join(outer.select("ra", "outside"), "ra").join(held.select(F.col("rep").alias("rb"), "items"), "rb").withColumn("k", F.size(F.array_intersect("outside", "items")))
     pairs = by_item.withColumn("room", F.expr("7 * (inside + k) - 3 * (na + nb)")).where("room >= 0").select("ra", "rb", "pa", "pb", "room")
 
     # pairs that need not: the partner is small enough for what is shared inside
@@ -271,8 +281,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     # buckets that hold two sets or more, each with a leader of its own choice
     keys = F.arrow_udf(_bucket_keys, "array<long>")
     members = reps.select("rep", F.explode(keys("sig")).alias("key"))
-    # in every other bucket the smallest doc_id leads, for copies are often younger than what they copy
-    rank = F.struct(F.when(F.col("key") % 2 == 0, 0).otherwise(F.xxhash64("key", "rep")).alias("by"), "rep")
+    # in every other bucket the smallest doc_id leads, for copies are often younger than what they copy; the others draw from
+    # sixteen orders, so sets that share most buckets meet few leaders
+    rank = F.struct(F.when(F.col("key") % 2 == 0, 0).otherwise(F.xxhash64(F.pmod("key", F.lit(32)), "rep")).alias("by"), "rep")
     leaders = materialize(members.groupBy("key").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead.rep"))
     buckets = materialize(members.join(leaders.withColumnRenamed("rep", "lead"), "key"))
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
