@@ -11,8 +11,9 @@ tables) is renewed by an exchange after every sweep of the burn-in and once befo
 the ``SAMPLES`` sweeps whose predictive probabilities are averaged, and all dishes
 move at once, which is the usual approximation of a distributed sampler.
 
-Seating draws from the restaurant's law exactly at every size.  Random numbers are
-hashes of (context and word, sweep, customer or step), so a score does not depend
+A dish's customers are seated forward with the weight of a new table held as it is when
+the dish is empty; the tables that the dish opens do not raise it, so it has fewer tables
+than under the restaurant's full law (README, choices).  Random numbers are hashes of (context and word, sweep, customer or step), so a score does not depend
 on shards, partitions or file splits.
 
 How it runs.  Texts are cut into blocks (by file split, then by hash of doc_id,
