@@ -167,6 +167,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct()
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Of links (a, b), a above b, those that join the same nodes: two ends with one smallest neighbour are joined by it."""
+    both = links.unionAll(links.select("b", "a"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    ends = links.join(least.withColumnRenamed("m", "ma"), "a", "left").join(least.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b", "left")
+    return materialize(ends.where("ma <> mb OR b = ma").select("a", "b"))
+
+
 def _cross_shingles(held: DataFrame) -> DataFrame:
     """(rep, part, item, seen) of held (rep, part, items): the shingles that several components hold, and in how many sets."""
     each = held.select("rep", "part", F.explode("items").alias("item"))
@@ -174,9 +182,8 @@ def _cross_shingles(held: DataFrame) -> DataFrame:
     return each.join(several.hint("shuffle_hash"), "item").select("rep", "part", "item", "seen")
 
 
-def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, rep, part, main, ref) of the buckets that several components meet in; ref belongs to main, the largest of them."""
-    labels = components(links)
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
     labels = materialize(labels.join(sizes, "component"))
     placed = buckets.join(labels, buckets["rep"] == labels["node"], "left")
@@ -219,9 +226,10 @@ def _open_pairs(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     outs = outer.select("ra", F.explode("outside").alias("item")).join(cross.select(F.col("rep").alias("ra"), "item", "seen"), ["ra", "item"])
     outs = outs.withColumn("at_a", F.row_number().over(Window.partitionBy("ra").orderBy(*rarest))).withColumn("out_a", F.count("*").over(Window.partitionBy("ra")))
     outs = outs.drop("seen").join(outer.drop("outside"), "ra")
-    need = "greatest(1, CAST(ceil((3 * (na + nb) - 7 * inside) / 7) AS INT))"
+    need = "CAST(ceil((3 * (na + nb) - 7 * inside) / 7) AS INT)"
     early = F.expr(f"at_a <= out_a - {need} + 1 AND at_b <= cb - {need} + 1")
-    by_item = outs.join(index.drop("seen"), "item").where(sized).where(early).select("ra", "rb", "pa", "pb", "na", "nb", "inside").distinct()
+    short = F.expr("3 * (na + nb) > 7 * inside")  # the others are found below, in their buckets
+    by_item = outs.join(index.drop("seen"), "item").where(sized).where(short).where(early).select("ra", "rb", "pa", "pb", "na", "nb", "inside").distinct()
     by_item = by_item.join(outer.select("ra", "outside"), "ra").join(held.select(F.col("rep").alias("rb"), "items"), "rb").withColumn("k", F.size(F.array_intersect("outside", "items")))
     pairs = by_item.withColumn("room", F.expr("7 * (inside + k) - 3 * (na + nb)")).where("room >= 0").select("ra", "rb", "pa", "pb", "room")
 
@@ -231,8 +239,12 @@ def _open_pairs(rest: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     p = materialize(p.where("3 * (na + least_n) <= 7 * least(inside, ca)").drop("least_n").join(reps.select(F.col("rep").alias("ra"), F.col("sketch").alias("x")), "ra"))
     q = rest.select("key", F.col("rep").alias("rb")).join(p.select("key").distinct(), "key", "left_semi").join(b, "rb")
     q = q.join(reps.select(F.col("rep").alias("rb"), F.col("sketch").alias("y")), "rb").withColumnRenamed("key", "kb")
+    # two sets that meet in many buckets are compared in the first: there b belongs to main, or neither does and the smaller part leads
+    p = p.withColumn("keys_a", F.collect_list("key").over(Window.partitionBy("ra")))
+    q = q.withColumn("keys_b", F.collect_list("kb").over(Window.partitionBy("rb")))
     near = _apart(F.col("x"), F.col("y")) <= FAR
-    fits = (F.col("key") == F.col("kb")) & F.expr("pb = main OR pa < pb") & sized & F.expr("3 * (na + nb) <= 7 * inside") & near
+    first = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
+    fits = (F.col("key") == F.col("kb")) & F.expr("pb = main OR pa < pb") & sized & F.expr("3 * (na + nb) <= 7 * inside") & near & first
     room = F.expr("7 * least(inside, cb) - 3 * (na + nb)").alias("room")
     pairs = pairs.unionByName(p.join(q, fits).select("ra", "rb", "pa", "pb", room))
     ends = F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), F.greatest("pa", "pb").alias("pa"), F.least("pa", "pb").alias("pb")
@@ -296,17 +308,18 @@ def link_documents(docs: DataFrame) -> DataFrame:
     links = materialize(_confirm(tried, texts))
 
     # what a leader did not join: members of a bucket that are still in different components
-    others = materialize(_open_pairs(_placed(buckets, links), reps, texts))
+    labels = components(_thinned(links))
+    others = materialize(_open_pairs(_placed(buckets, labels), reps, texts))
     nearest = others.groupBy("pa", "pb").agg(F.max_by(F.struct("a", "b"), F.struct("room", "a", "b")).alias("pair"))
     nearest = materialize(nearest.select("pair.a", "pair.b"))
+    # a component is as well told by its star, which has an edge a member, as by all links found in it
     if not nearest.isEmpty():
-        links = materialize(links.unionAll(_confirm(nearest, texts)))
-    labels = components(links)
+        labels = components(labels.unionAll(_confirm(nearest, texts)).toDF("a", "b"))
     la, lb = (labels.select(F.col("node").alias(k), F.col("component").alias(f"l{k}")) for k in ("a", "b"))
     still = others.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
     still = materialize(still.join(nearest, ["a", "b"], "left_anti"))
     if not still.isEmpty():
-        labels = components(links.unionAll(_confirm(still, texts)))
+        labels = components(labels.unionAll(_confirm(still, texts)).toDF("a", "b"))
 
     place = reps.join(labels, reps["rep"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     place = materialize(place)

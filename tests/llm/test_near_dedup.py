@@ -79,3 +79,11 @@ def test_one_very_long_document_and_its_copies(spark):
     long = words(200_000)
     texts = [" ".join(long), " ".join(long[:160_000]), " ".join(long[:140_000]), "a b c"]
     assert found(spark, texts) == [0, 0, 0, 3]  # the third reaches the first through the second
+
+
+def test_links_that_say_nothing_new_are_left_out_before_components_are_found(spark):
+    links = [(a, b) for a in range(30) for b in range(a)] + [(41, 40), (42, 41), (43, 42), (43, 41)]
+    thin = near_dedup._thinned(spark.createDataFrame(links, "a long, b long"))
+    assert thin.count() == 29 + 3  # one link a member, also where all are linked
+    found = {r["node"]: r["component"] for r in near_dedup.components(thin).collect()}
+    assert found == {n: 0 for n in range(1, 30)} | {n: 40 for n in (41, 42, 43)}
