@@ -57,6 +57,7 @@ class BpeTransducer:
         self.length = {i: len(t) for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(len(t) + 1)}
         self.reachable: dict[bytes, int | None] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -64,16 +65,16 @@ class BpeTransducer:
         self.opens: list[bytes] = [b""]
         self.states: dict[bytes, int] = {b"": 0}
         self.ends: list[tuple[tuple[int, int], ...]] = [()]
-        self.moves: dict[int, int] = {}
+        self.moves: list[dict[int, int]] = [{}]
         self.compatible: dict[int, bool] = {}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Merges by rank from single bytes on: the definition, used on two tokens at most."""
+    def merged(self, piece: bytes, below: int = _NEVER) -> list[int]:
+        """Merges of ranks under ``below`` from single bytes on: the definition, used on one token at most."""
         ranks = self.ranks
         parts = [piece[i : i + 1] for i in range(len(piece))]
         pairs = [ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) != _NEVER:
+        while pairs and (best := min(pairs)) < below:
             i = pairs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del pairs[i]
@@ -90,10 +91,38 @@ class BpeTransducer:
             self.reachable[raw] = known if known is not None and self.merged(raw) == [known] else None
         return self.reachable[raw]
 
+    def split(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge gives this one; a byte, or what no merge reaches, is its own half."""
+        held = self.halves.get(token)
+        if held is None:
+            raw, held = self.bytes_of[token], (token, token)
+            if len(raw) > 1 and self.token(raw) is not None:
+                left, right = self.merged(raw, token)
+                held = left, right
+            self.halves[token] = held
+        return held
+
     def may_follow(self, pair: int) -> bool:
-        """Whether the tokens of ``left << 20 | right`` stay as they are side by side."""
+        """Whether the tokens of ``left << 20 | right`` stay as they are side by side.
+
+        They do not if two tokens that meet at their border, while both are being merged, have a merge of a
+        lower rank than the next one of either.  These are met from the last merges back to single bytes.
+        """
         left, right = pair >> 20, pair & 0xFFFFF
-        ok = self.compatible[pair] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        ranks, bytes_of, limit, ok = self.ranks, self.bytes_of, _NEVER, True
+        while True:
+            if ranks.get(bytes_of[left] + bytes_of[right], _NEVER) < limit:
+                ok = False
+                break
+            # the later merge is undone; of two equal ones the left one was made first
+            inner_left, inner_right = self.split(left)[1], self.split(right)[0]
+            if inner_left == left and inner_right == right:
+                break
+            if inner_right == right or inner_left != left and left > right:
+                limit, left = left, inner_left
+            else:
+                limit, right = right + 1, inner_right
+        self.compatible[pair] = ok
         return ok
 
     def move(self, state: int, byte: int) -> int:
@@ -107,9 +136,10 @@ class BpeTransducer:
         if target is None:
             target = self.states[key] = len(self.opens)
             self.opens.append(key)
+            self.moves.append({})
             ended = ((len(key) - k, self.token(key[k:])) for k in range(len(key)))
             self.ends.append(tuple((n, t) for n, t in ended if t is not None))
-        self.moves[state << 8 | byte] = target
+        self.moves[state][byte] = target
         return target
 
     def _certain(self, last: list[int], state: int) -> int:
@@ -133,13 +163,12 @@ class BpeTransducer:
         """The transducer: last[i] is the token in which the encoding of the first i open bytes ends."""
         moves, ends, compatible = self.moves, self.ends, self.compatible
         out: list[int] = []
-        last, state, at = [-1], 0, 0
+        last, state, at, window = [-1], 0, 0, self.window
         for byte in piece:
-            follow = moves.get(state << 8 | byte)
+            follow = moves[state].get(byte)
             state = self.move(state, byte) if follow is None else follow
-            at += 1
             for n, token in ends[state]:
-                before = last[at - n]
+                before = last[-n]
                 if before < 0:
                     break
                 pair = before << 20 | token
@@ -147,7 +176,8 @@ class BpeTransducer:
                 if self.may_follow(pair) if ok is None else ok:
                     break
             last.append(token)
-            if at >= self.window and (sure := self._certain(last, state)):
+            at += 1
+            if at >= window and (sure := self._certain(last, state)):
                 done = self._path(last, sure)
                 out += done
                 last, at = [done[-1], *last[sure + 1 :]], at - sure
@@ -212,7 +242,11 @@ class Tokenizer:
 
     def __init__(self, raw: bytes, pattern: str):
         self.pattern = regex.compile(pattern)
+        # letters after a space at most are one match, if only contractions are tried before
+        first, found, _ = f"|{pattern}|".partition(r"| ?\p{L}+|")
+        self.letters_match = bool(found) and all(x.startswith("'") for x in first.split("|")[1:])
         self.bpe = BpeTransducer(read_ranks(raw))
+        self.decimal = {i: str(i) for i in self.bpe.bytes_of}
         # chunks seen lately, in two generations so that frequent ones stay
         self.max_chunks, self.young, self.old = 200_000, {}, {}
 
@@ -254,12 +288,9 @@ class Tokenizer:
             chunk, space = following, " "
         return out
 
-    def forget(self) -> None:
-        """Empties what encoding has cached: chunks, pieces, states and transitions."""
-        self.young, self.old = {}, {}
-        self.bpe._clear()
-
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
+        if self.letters_match and chunk.isascii() and chunk.removeprefix(" ").isalpha():
+            return self.bpe.encode_piece(chunk.encode())
         out: list[int] = []
         for piece in self.pattern.findall(chunk):
             out += self.bpe.encode_piece(piece.encode())
@@ -319,7 +350,10 @@ def decode_ids(docs: DataFrame, vocabulary, pattern: str, ids: str = "ids") -> D
 
 
 def _per_task(vocabulary, pattern: str, code, text: str = "text"):
-    """A function of batches that codes each with a tokenizer and forgets what the task has cached at its end."""
+    """A function of batches that codes each with a tokenizer, which goes with all that it has cached at the task's end.
+
+    Workers live on from task to task and stage to stage, and would hold it beside whatever runs next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.of(vocabulary, pattern)
@@ -328,7 +362,8 @@ def _per_task(vocabulary, pattern: str, code, text: str = "text"):
                 for part in slices(batch, text):
                     yield code(tokenizer, part)
         finally:
-            tokenizer.forget()
+            del tokenizer
+            Tokenizer.held.clear()
             release()
 
     return run
@@ -365,7 +400,7 @@ def round_trip(docs: DataFrame, vocabulary, pattern: str) -> DataFrame:
             for low in range(0, len(ids), DECODE_IDS):
                 decoded.update(stream.feed(tokenizer.decode_bytes(ids[low : low + DECODE_IDS])).encode())
             decoded.update(stream.close().encode())
-            rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()))
+            rows.append((len(ids), hashlib.sha256(",".join(map(tokenizer.decimal.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest()))
         columns = list(zip(*rows)) or [(), (), ()]
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))]
         return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
