@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import pairs
+
 # Skills any of which implies others; names that stand for each other; a skill that either
 # of its parts covers; skills that half cover others; weights of the tiers of a role.
 IMPLIED = (
@@ -88,6 +90,23 @@ def equivalent_matches(held: DataFrame, wanted: DataFrame, alternatives: DataFra
     return matched.join(listed, "job_id").select("candidate_id", "job_id", "matched", F.array_sort(F.array_except("all", "matched")).alias("missing"))
 
 
+def covered(held: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """(candidate_id, skill), with repeats: what candidates hold, and what a held skill is an alternative of."""
+    targets = alternatives.groupBy(F.col("alternative").alias("skill")).agg(F.collect_set("target").alias("targets"))
+    rows = held.select("candidate_id", "skill").join(targets, "skill", "left")
+    return rows.select("candidate_id", F.explode(F.array_append(F.coalesce("targets", F.array().cast("array<string>")), F.col("skill"))).alias("skill"))
+
+
+def best_equivalent(held: DataFrame, wanted: DataFrame, alternatives: DataFrame, k: int) -> DataFrame:
+    """(candidate_id, job_id, n_matched, n_missing, matched): of ``equivalent_matches`` the k jobs of each candidate with most matches, then fewest missing, then by id.
+
+    The jobs are found on bits of what candidates cover; names are put to the found pairs only.
+    """
+    whole = pairs.Pairs(None, covered(held, alternatives), None, wanted.select("job_id", "skill", F.lit("required").alias("tier")))
+    found = whole.best(pairs.covered_first, "candidate", k)
+    return whole.named(found).select("candidate_id", "job_id", F.col("r").cast("long").alias("n_matched"), (F.col("nr") - F.col("r")).cast("long").alias("n_missing"), "matched")
+
+
 def role_scores(held: DataFrame, roles: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFrame:
     """(candidate_id, role, score, n_matched, n_half) of roles (role, skill, tier) with a matched skill; all others score 0.
 

@@ -87,3 +87,17 @@ def test_skills_of_postings(spark):
     assert {(r.id, r.skill): r.tier for r in found.collect()} == {
         (1, "Python"): "preferred", (1, "C++"): "required", (1, "Node"): "required", (1, "Go"): "preferred", (1, "React Native"): "preferred",
         (2, "SQL"): "preferred", (3, "SQL"): "required", (6, "Machine Learning"): "required"}
+
+
+def test_best_equivalent(spark):
+    from tests.test_pairs import planned
+
+    alternatives = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "z")], "target string, alternative string")
+    held = skills_of(spark, [(1, "b"), (1, "b"), (1, "z"), (2, "a"), (2, "d"), (3, "zz"), (4, "c")])
+    wanted = spark.createDataFrame([(7, "a"), (7, "c"), (8, "a"), (9, "d"), (9, "b"), (9, "e"), (10, "a")], "job_id int, skill string")
+    got = implications.best_equivalent(held, wanted, alternatives, 2)
+    assert sorted((r.candidate_id, r.job_id, r.n_matched, r.n_missing, r.matched) for r in got.collect()) == [
+        (1, 7, 2, 0, ["a", "c"]), (1, 8, 1, 0, ["a"]), (2, 8, 1, 0, ["a"]), (2, 9, 2, 1, ["b", "d"]), (4, 7, 1, 1, ["c"])]  # 8 and 10 are equal for 2: the smaller id
+    whole = implications.equivalent_matches(held, wanted, alternatives)
+    assert {(r.candidate_id, r.job_id) for r in got.collect()} <= {(r.candidate_id, r.job_id) for r in whole.collect()}
+    assert "FlatMapCoGroupsInArrow" in planned(got) and planned(whole) != planned(got)  # pairs stay inside blocks
