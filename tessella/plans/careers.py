@@ -110,9 +110,8 @@ SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, chr(10) ORDER BY k))
 @query(_ITEMS)
 def unwrapped_lines(t):
     """Lines of every document, wrapped ones joined."""
-    items = careers.unwrapped(F.split("text", "\n"))
-    rows = t.documents.select("doc_id", items.alias("items")).where(F.size("items") > 0)
-    return rows.select("doc_id", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", "\n"), 256).alias("items_sha256"))
+    rows = t.documents.select("doc_id", careers.unwrapped_text(F.col("text")).alias("items")).where("items <> ''")
+    return rows.select("doc_id", F.size(F.split("items", "\n")).cast("long").alias("n_items"), F.sha2("items", 256).alias("items_sha256"))
 
 
 @query("""SELECT c_custkey AS k, array_to_string(list_filter([CASE WHEN lower(c_name) IS DISTINCT FROM lower(s_name) THEN 'name' END, CASE WHEN CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END IS DISTINCT FROM s_nationkey THEN 'nation' END,

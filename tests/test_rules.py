@@ -124,3 +124,23 @@ def test_skill_spellings(spark):
     got = {r["s"]: r["canonical"] for r in skills.resolve_skills(raw, "s", names).collect()}
     assert got == {"• REST-API’s": "rest apis", "RestApi": "rest apis", "React framework": "react", "(C++)": "c++", "reacts": "react", "vim": "vim", "": "", None: ""}
     assert one(spark, skills.display_name(F.lit("rest apis and_more"))) == "REST APIS And More"
+
+
+def test_lines_go_on_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from tessella.plans import careers as _  # noqa: F401  registers its queries
+    from tessella.plans.registry import ORACLE_SQL, QUERIES
+
+    rows = [
+        "que chllaí\nOsado", "a b, \nC\n\n  \n d", "Über und a\nX", "x A\nY", "x_a\nY", "known\nuſing it\nBacKed by", "bacKed by\nAſ well aſ", "a, \nB", "a,\u0085\nB", "a,\x0b\nB",
+        "a\x1eb\nC", " \t a \t b \r\n\fC ", "backed\nby\nX", "Etc\netcetera", "Z\netc", "Z\nEtC.", "Z\nETCé", "\n\n", "", None, "–\nX", "(\n[\n{", " a \nB", "Z\n, x", "of\nThe\nA", "x of  \n  THE", " of\nB", "éa\nB",
+    ]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["unwrapped_lines"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in db.execute(ORACLE_SQL["unwrapped_lines"]).fetchall()}
+    got = {r.doc_id: (r.n_items, r.items_sha256) for r in df.collect()}
+    assert got == want, [rows[k] for k in got.keys() | want.keys() if got.get(k) != want.get(k)]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()  # a list looked at once for each of its items grows with its square
