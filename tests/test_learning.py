@@ -75,3 +75,35 @@ def test_calibration_lowers_the_loss_on_held_out_rows(spark):
     assert loss < 0.9 * math.log(3) and out.where("abs(aggregate(chances, 0D, (s, x) -> s + x) - 1) > 1e-9").count() == 0
     forest = calibration.calibrate(train.withColumn("k", named), "id", "k", lambda p: models.decision_model(models.mixed_features("body", [], ["id"], 50), "k", 10, weight="weight").fit(p), "probability")
     assert forest.transform(test.withColumn("k", named)).agg(F.avg(calibration.log_loss(F.col("chances"), F.col("k")))).first()[0] < 0.95 * math.log(3)
+
+
+def test_profiles_keep_the_most_frequent_terms_in_chunks_of_any_size(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = [(i, draw.choice("ab") if i % 9 else None, " ".join(f"w{min(int(draw.expovariate(0.12)), 40)}" for _ in range(draw.randrange(30)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id int, label string, text string").repartition(5)
+    held = docs.where("label IS NOT NULL").select("label", F.explode(centroids.terms(F.col("text"), 3, ("w3",))).alias("term"))
+    want = {(r.term, r.label): r.n for r in held.groupBy("term", "label").agg(F.count("*").alias("n")).collect()}
+    total = {t: sum(n for (s, _), n in want.items() if s == t) for t, _ in want}
+    best = sorted(total, key=lambda t: (-total[t], t))[:60]
+    for chunk in (40, 1_000_000):
+        monkeypatch.setattr(centroids, "CHUNK", chunk)
+        profiles = centroids.class_profiles(docs, "label", "text", 60, 3, ("w3",))
+        got = {r.term: {x.label: x.w for x in r.weights} for r in profiles.collect()}
+        assert set(got) == set(best) and all({x for x in "ab" if (t, x) in want} == set(got[t]) for t in best)
+        idf = {t: math.log(3 / (1 + len(got[t]))) + 1 for t in best}
+        raw = {(t, x): (1 + math.log(want[t, x])) * idf[t] for t in best for x in got[t]}
+        norm = {x: math.sqrt(sum(w * w for (_, y), w in raw.items() if y == x)) for x in "ab"}
+        assert all(abs(got[t][x] - w / norm[x]) < 1e-12 for (t, x), w in raw.items())
+    near = centroids.nearest_classes(docs, "id", "text", profiles, 2, 3, ("w3",))
+    own = docs.select("id", F.explode(centroids.terms(F.col("text"), 3, ("w3",))).alias("term")).groupBy("id", "term").count().collect()
+    dots, length = {}, {}
+    for r in own:
+        if r.term in got:
+            v = (1 + math.log(r["count"])) * idf[r.term]
+            length[r.id] = length.get(r.id, 0) + v * v
+            for x, w in got[r.term].items():
+                dots[r.id, x] = dots.get((r.id, x), 0) + v * w
+    found = {(r.id, r.label): (r.cosine, r["rank"]) for r in near.collect()}
+    assert found.keys() == dots.keys() and all(abs(c - dots[k] / math.sqrt(length[k[0]])) < 1e-8 for k, (c, _) in found.items())
+    assert "Exchange" not in near._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in near._jdf.queryExecution().optimizedPlan().toString()  # a text stays in its row
+    assert len(centroids.frequent_terms(docs.select(F.col("text").alias("said")), 20, 3, ())) < len(total)  # rare terms stay where they are
