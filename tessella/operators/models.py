@@ -12,13 +12,15 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.cuts import checkpointed
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Adds ``weight``: rows / (classes * rows of the class)."""
+    """Adds ``weight``: rows / (classes * rows of the class).  Classes are few, so rows stay where they are."""
     counts = df.groupBy(label).agg(F.count("*").alias("n_class"))
     totals = counts.agg(F.sum("n_class").alias("n_all"), F.count("*").alias("n_classes"))
     weights = counts.join(F.broadcast(totals)).select(label, (F.col("n_all") / (F.col("n_classes") * F.col("n_class"))).alias("weight"))
-    return df.join(weights, label)
+    return df.join(F.broadcast(weights), label)
 
 
 def _text_stages(text: str, longest: int, features: int) -> list:
@@ -38,9 +40,12 @@ def text_classifier(text: str, label: str, longest: int = 2, features: int = 25_
     return Pipeline(stages=[index, *_text_stages(text, longest, features), last])
 
 
-def text_features(text: str, longest: int = 2, features: int = 25_000) -> Pipeline:
-    """TF-IDF alone, as ``features``."""
-    return Pipeline(stages=_text_stages(text, longest, features))
+def word_vectors(df: DataFrame, text: str, words: int) -> DataFrame:
+    """``text_features`` of single words, ``text`` dropped.  Texts are read twice: what comes after reads the counts of each text from a checkpoint."""
+    df = df.fillna("", [text])
+    stages = _text_stages(text, 1, words)
+    counts = checkpointed(Pipeline(stages=stages[:-1]).fit(df).transform(df).drop(text, "w1", "grams"))
+    return stages[-1].fit(counts).transform(counts).drop("tf")
 
 
 def one_against_rest(label: str, rounds: int = 20) -> OneVsRest:

@@ -47,8 +47,7 @@ def language_chances(t):
     """Chance of each language for every document: linear margins one against the rest, calibrated on rows that each model has not seen."""
     rows = models.class_weights(t.documents.where("lang IS NOT NULL").select("doc_id", "text", "lang"), "lang")
     index = models.StringIndexer(inputCol="lang", outputCol="k", stringOrderType="alphabetAsc").fit(rows)
-    weighed = models.text_features("text", 1, 5_000).fit(rows).transform(index.transform(rows)).select("doc_id", "k", "weight", "features")
-    weighed = checkpointed(weighed)
+    weighed = checkpointed(models.word_vectors(index.transform(rows).select("doc_id", "k", "weight", "text"), "text", 5_000))
     made = calibration.calibrate(weighed, "doc_id", "k", lambda part: models.one_against_rest("k", 10).fit(part))
     names = F.array(*[F.lit(x) for x in index.labels])
     best = F.array_max(F.zip_with("chances", names, lambda p, c: F.struct(p.alias("chance"), c.alias("lang"))))

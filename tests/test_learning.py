@@ -107,3 +107,21 @@ def test_profiles_keep_the_most_frequent_terms_in_chunks_of_any_size(spark, monk
     assert found.keys() == dots.keys() and all(abs(c - dots[k] / math.sqrt(length[k[0]])) < 1e-8 for k, (c, _) in found.items())
     assert "Exchange" not in near._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in near._jdf.queryExecution().optimizedPlan().toString()  # a text stays in its row
     assert len(centroids.frequent_terms(docs.select(F.col("text").alias("said")), 20, 3, ())) < len(total)  # rare terms stay where they are
+
+
+def test_word_vectors_are_those_of_the_stages(spark):
+    rows = [(i, t) for i, t in enumerate(["Red green, red", "blue C++ green", "", None, "x blue  blue #1", "ÄRed"])]
+    df = spark.createDataFrame(rows, "id int, body string")
+    stages = models.Pipeline(stages=models._text_stages("body", 1, 50)).fit(df.fillna(""))
+    values = lambda rows: {r.id: sorted(r.features.values.tolist()) for r in rows.collect()}
+    got = models.word_vectors(df, "body", 50)
+    assert values(got) == values(stages.transform(df.fillna(""))) and got.columns == ["id", "features"]
+    assert "UDF" not in got.select("features")._jdf.queryExecution().analyzed().toString().split("LogicalRDD")[-1]  # tokens are behind the checkpoint
+    assert models.word_vectors(df, "body", 2).first().features.size == 2
+
+
+def test_class_weights_leave_rows_where_they_are(spark):
+    df = spark.range(90).repartition(9).withColumn("y", (F.col("id") % 3 == 0).cast("int"))
+    out = models.class_weights(df, "y")
+    assert out.rdd.getNumPartitions() == 9  # not a partition for a class
+    assert {(r.y, r.weight) for r in out.select("y", "weight").distinct().collect()} == {(0, 0.75), (1, 1.5)}
