@@ -90,3 +90,8 @@ def test_tenths_of_descriptions(spark):
 def test_queries_make_no_row_for_a_pair(spark, name):
     plan = planned(registry.QUERIES[name](spark, SMALL))
     assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_screening_scores_read_vectors_and_not_the_joins(spark):
+    plan = registry.QUERIES["screening_model"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "parquet" not in plan
